@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import packing, quality, toxicity
+from marlstone.llm import jaccard, quality, toxicity
 from marlstone.llm.common import materialise, table
 from marlstone.llm.queries import packed_documents
 
@@ -23,6 +23,11 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each group of near duplicates."""
+    return jaccard.keep_one(docs)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents that are left, packed into sequences."""
     return packed_documents(docs)
@@ -31,6 +36,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("quality rules", quality_rules),
     ("toxicity", toxicity_filter),
+    ("n-gram Jaccard join", near_duplicates),
     ("best-fit packing", pack_sequences),
 ]
 
