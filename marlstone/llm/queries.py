@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, hmm, jaccard, packing, quality, token_counts, toxicity
+from marlstone.llm import bpe, chat, embeddings, hmm, jaccard, packing, quality, token_counts, toxicity, warc
 from marlstone.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), _file("word_bpe_49k.json"))
 
@@ -41,16 +45,99 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    # One fixed conversation whose texts hold the template's own marks.
+    fixed = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    out = chat.format_conversations(rows.unionByName(fixed)).withColumn("turns", chat.read_back(F.col("formatted"), F.col("spans")))
+    loss = F.array_join(F.filter("turns", lambda t: t["loss"])["under"], "")
+    digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = bpe.rank_file_model(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), model), model)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def damaged(pages: DataFrame) -> DataFrame:
+    """A replica of the pages with damage that follows from the ids: changed, lost and added records."""
+    page = F.col("page_id")
+    html = F.when(F.pmod(page, F.lit(97)) == 5, F.concat(F.coalesce("html", F.lit("")), F.lit("!"))).otherwise(F.col("html"))
+    kept = pages.filter(F.coalesce(F.pmod(page, F.lit(89)) != 7, F.lit(True))).select("page_id", "url", html.alias("html"))
+    added = pages.filter(F.pmod(page, F.lit(101)) == 11).select((-1 - page).alias("page_id"), "url", "html")
+    return kept.unionByName(added)
+
+
+def op9_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.audit(pages, damaged(pages))
+
+
 def op10_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op4_token_counts, op5_toxicity, op6_packing, op8_byte_bpe, op10_hidden_markov)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_embedding_dedup, op4_token_counts, op5_toxicity, op6_packing, op7_chat_format, op8_byte_bpe, op9_merkle_audit, op10_hidden_markov)}
+
+_LINKS_TO_COMPONENTS = """
+reach AS (
+  SELECT a AS node, b AS other FROM both_ways
+  UNION
+  SELECT r.node, l.b FROM reach r JOIN both_ways l ON r.other = l.a
+),
+least AS (SELECT node, least(node, min(other)) AS component FROM reach GROUP BY node)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_jaccard_join": rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words
+),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS k FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 100 * k >= 75 * (na + nb - k)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+{_LINKS_TO_COMPONENTS}
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(l.component, s.doc_id) AS component_id FROM sets s LEFT JOIN least l ON l.node = s.doc_id""",
+    "op3_embedding_dedup": f"""
+WITH RECURSIVE sound AS (
+  SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0
+),
+both_ways AS (SELECT x.vec_id AS a, y.vec_id AS b FROM sound x JOIN sound y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+degrees AS (SELECT a, count(*) AS n FROM both_ways GROUP BY a),
+{_LINKS_TO_COMPONENTS}
+SELECT v.vec_id, coalesce(d.n, 0) AS n_links, coalesce(l.component, v.vec_id) AS component_id, v.vec_id = coalesce(l.component, v.vec_id) AS kept
+FROM embeddings v LEFT JOIN degrees d ON d.a = v.vec_id LEFT JOIN least l ON l.node = v.vec_id""",
+    "op7_chat_format": r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+),
+sized AS (
+  SELECT *, length('### ') + length(role) + length(': ') + length(replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '<\/turn>')) + length('</turn>') + 2 AS chars FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id""",
+    "op9_merkle_audit": r"""
+WITH sized AS (
+  SELECT page_id, page_id // 1000 AS file, strlen('WARC/1.0  WARC-Type: response  WARC-Record-ID: <urn:page:' || page_id || '>  WARC-Target-URI: ' || coalesce(url, '') || '  Content-Length: ' || strlen(coalesce(html, '')) || '        ')
+    + strlen(coalesce(html, '')) AS length FROM pages
+),
+placed AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM sized)
+SELECT page_id, CASE WHEN page_id % 89 = 7 THEN 'missing' ELSE 'corrupt' END AS status, file, "offset", length FROM placed WHERE page_id % 97 = 5 OR page_id % 89 = 7
+UNION ALL SELECT -1 - page_id, 'extra', NULL, NULL, NULL FROM pages WHERE page_id % 101 = 11""",
+}
