@@ -44,12 +44,17 @@ def tfidf_similarity(pairs: DataFrame, least: int = 1, most: int = 3) -> DataFra
 
     Smooth idf over two documents is ln(3 / (1 + df)) + 1: ln(1.5) + 1 for a gram of one text, 1 for both's.
     """
-    def runs(text: Column, n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
-        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
     def grams(c: str) -> Column:
-        return F.concat(*[runs(F.lower(c), n) for n in range(least, most + 1)])
+        # Runs of characters by zipping shifted arrays: linear in the text's length.
+        characters = F.filter(F.split(F.lower(c), ""), lambda x: x != "")
+        size, out, run = F.size(characters), [], characters
+        for n in range(1, most + 1):
+            if n > 1:
+                count = F.greatest(size - n + 1, F.lit(0))
+                run = F.zip_with(F.slice(run, F.lit(1), count), F.slice(characters, F.lit(n), count), lambda x, y: F.concat(x, y))
+            if n >= least:
+                out.append(run)
+        return F.concat(*out)
 
     a = pairs.select("pair_id", F.explode(grams("a")).alias("gram"), F.lit(1).alias("in_a"), F.lit(0).alias("in_b"))
     b = pairs.select("pair_id", F.explode(grams("b")).alias("gram"), F.lit(0).alias("in_a"), F.lit(1).alias("in_b"))

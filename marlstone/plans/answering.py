@@ -47,11 +47,12 @@ def context_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.compress(_scored(spark, sf_dir)).select("query_id", F.md5("context").alias("context_hash"), "kept")
 
 
-_GRAMS = "list_concat(" + ", ".join(f"list_transform(range(1, length({{0}}) - {n - 2}), lambda i: substring(lower({{0}}), i, {n}))" for n in (1, 2, 3)) + ")"
+def _grams(c: str) -> str:
+    return f"list_concat({c}, list_transform(range(1, len({c})), lambda i: {c}[i] || {c}[i + 1]), list_transform(range(1, len({c}) - 1), lambda i: {c}[i] || {c}[i + 1] || {c}[i + 2]))"
 
 
-@query("tfidf_similarity", f"""WITH {SQL_BM25}, p AS (SELECT query_id AS pair_id, question AS a, text AS b FROM hits WHERE rank = 1),
-g AS (SELECT pair_id, unnest({_GRAMS.format('a')}) AS gram, 1 AS x, 0 AS y FROM p UNION ALL SELECT pair_id, unnest({_GRAMS.format('b')}), 0, 1 FROM p),
+@query("tfidf_similarity", f"""WITH {SQL_BM25}, p AS (SELECT query_id AS pair_id, string_split(lower(question), '') AS a, string_split(lower(text), '') AS b FROM hits WHERE rank = 1),
+g AS (SELECT pair_id, unnest({_grams('a')}) AS gram, 1 AS x, 0 AS y FROM p UNION ALL SELECT pair_id, unnest({_grams('b')}), 0, 1 FROM p),
 c AS (SELECT pair_id, gram, sum(x)::DOUBLE AS x, sum(y)::DOUBLE AS y FROM g GROUP BY ALL), w AS (SELECT *, CASE WHEN x > 0 AND y > 0 THEN 1.0 ELSE ln(1.5) + 1 END AS w FROM c)
 SELECT pair_id, round(coalesce(sum(x * y * w * w) / nullif(sqrt(sum(x * x * w * w) * sum(y * y * w * w)), 0), 0), 6) AS similarity FROM w GROUP BY pair_id""")
 def tfidf_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
