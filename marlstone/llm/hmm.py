@@ -45,7 +45,7 @@ HOT_WORDS = 1 << 17
 PRIOR_TOKENS, PRIOR_STEPS = 200.0, 5.0
 HELD_OUT = (5, 1)
 #: Bytes of text whose sequences advance together.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -274,8 +274,8 @@ def score_documents(docs: DataFrame, held_out: tuple[int, int] = HELD_OUT, state
                 logs = np.log10(key_counts[entry[known]] + 0.5)
                 class_logs = logs - log_weight[part.classes[known]]
                 n_known = np.bincount(doc[known], minlength=n)
-                base = np.bincount(doc[known], logs, minlength=n) - n_known * under
-                score = np.bincount(doc[known], class_logs, minlength=n)
+                base = np.bincount(doc[known], logs, minlength=n).astype(float) - n_known * under
+                score = np.bincount(doc[known], class_logs, minlength=n).astype(float)
                 base += np.log10(n_docs + 0.5) - under
                 score += log_likelihood(model, part.classes, part.counts) / np.log(10)
                 n_known = n_known + (n_docs > 0)
