@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space in the Unicode sense, which Java's \s and trim() do not cover.
-SPACE = r"[\s   -     　\u0085]"
+SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 WORD = r"[\p{L}\p{N}]+"
 
 
