@@ -54,8 +54,10 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     jumps = [state.select("tree", "node", "up")]
     while not state.filter("up is not null").isEmpty():
         above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("length").alias("length2"))
-        joined = state.join(above, ["tree", "up"], "left")
-        state = materialise(joined.select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("length2", F.lit(0))).alias("length")))
+        # Messages that know their root are through; only the others join on.
+        joined = state.filter("up is not null").join(above, ["tree", "up"])
+        through = state.filter("up is null")
+        state = materialise(through.unionByName(joined.select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("length") + F.col("length2")).alias("length"))))
         jumps.append(state.select("tree", "node", "up"))
         if len(jumps) > 40:  # longer than any table: what still points up runs in a cycle
             break
