@@ -24,14 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/marlstone-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
+#: Rows of a narrow table that one file of it holds, about.
+FILE_ROWS = 100_000
+
+
+def materialise(df: DataFrame, most_rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage: losing an executor afterwards costs a re-read of
-    files, never the recomputation of the plan above.
+    files, never the recomputation of the plan above.  ``most_rows``, if it is
+    known, keeps a small table from being written as many tiny files.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
+    if most_rows is not None:
+        df = df.coalesce(max(8, -(-most_rows // FILE_ROWS)))
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
