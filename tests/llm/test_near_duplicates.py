@@ -70,6 +70,17 @@ def test_op2_on_variants(spark, monkeypatch, small_group):
     assert got == brute(texts)
 
 
+@pytest.mark.parametrize("place", [1, 5, 12])
+def test_op2_star_in_one_batch(spark, place):
+    base = ["w%d" % i for i in range(50)]
+    rows = [" ".join(base[:i] + ["x%d" % i] + base[i + 1 :]) for i in range(4, 44, 2)]
+    rows.insert(place - 1, " ".join(base))
+    texts = dict(enumerate(rows))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()}
+    assert got == brute(texts) and {c for _, c in got.values()} == {0}
+
+
 def test_op2_on_documents(spark, sf_dir, documents):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op2_jaccard_join(spark, sf_dir).collect()}
     assert got == brute({r.doc_id: r.text for r in documents.collect()})
