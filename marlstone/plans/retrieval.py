@@ -155,11 +155,14 @@ own AS (SELECT query_id, 'vector' AS channel, chunk_id AS key, rank, 1 / (1 + di
 per AS (SELECT query_id, key, channel, max(rank) AS rank FROM own GROUP BY ALL)"""
 
 
-def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, channel, key, rank, score: vector and lexical hits of the same questions."""
+def channels(spark: SparkSession, sf_dir: str, without_vector: bool = False) -> DataFrame:
+    """query_id, channel, key, rank, score: vector and lexical hits of the same questions; with
+    ``without_vector`` also of the questions that have no vector, and so lexical hits alone."""
     docs = corpus(spark, sf_dir)
-    known = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"))
-    words = lexical.document_keywords(docs.filter("chunk_id % 20 = 0").join(known, "chunk_id", "left_semi"), d_tokens())
+    asking = docs.filter("chunk_id % 20 = 0")
+    if not without_vector:
+        asking = asking.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id")), "chunk_id", "left_semi")
+    words = lexical.document_keywords(asking, d_tokens())
     asked = words.groupBy(F.col("chunk_id").alias("query_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("rank", "term")))["term"], " ").alias("question"))
     bm25 = lexical.top_k(lexical.bm25_scores(docs, asked, d_tokens(), q_tokens()), 2 * K).select("query_id", F.lit("bm25").alias("channel"), F.col("chunk_id").alias("key"), "rank", "score")
     near = vector_hits(spark, sf_dir, 2 * K).join(asked.select("query_id"), "query_id", "left_semi")
@@ -186,6 +189,16 @@ def hybrid_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused.join(corpus(spark, sf_dir).select("chunk_id", "source", F.length("text").alias("chars")), "chunk_id", "left").drop("ranks")
 
 
+_ALL_CHANNELS = _CHANNELS.replace(" WHERE chunk_id IN (SELECT vec_id FROM embeddings)", "")
+
+
+@query("hybrid_all_questions", f"WITH {_ALL_CHANNELS}, {_rrf(_PAIR)} SELECT query_id, key AS chunk_id, rrf_score, rank FROM fused WHERE rank <= {K}")
+def hybrid_all_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As the flagship, but every document whose id is divisible by 20 is asked, with or without a vector."""
+    fused = fusion.reciprocal_rank_fusion(channels(spark, sf_dir, without_vector=True), _PAIR)
+    return fused.filter(F.col("rank") <= K).withColumnRenamed("key", "chunk_id").drop("ranks")
+
+
 @query("rrf_explain", f"""WITH {_CHANNELS}, c AS (SELECT *, 1 / (60 + rank) AS x FROM per)
 SELECT query_id, key, channel, round(x, 9) AS contribution, round(100 * x / sum(x) OVER (PARTITION BY query_id, key), 6) AS percent FROM c""")
 def rrf_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
