@@ -1,7 +1,8 @@
 """Folder watching as Structured Streaming.
 
-New files arrive through the file source; changed and deleted ones, which a file
-source never reports, through a snapshot comparison in each micro-batch.  The
+New, changed and deleted files are found by a snapshot comparison in each
+micro-batch.  A file source starts one only when a new path arrives, so the
+stream is a source that ticks: one row, and so one comparison, a trigger.  The
 state is a versioned table: a batch writes a new version and only then names it
 current, so that a failed batch is repeated from the one before.
 """
@@ -26,25 +27,26 @@ def file_state(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
 
 
 def watch(spark: SparkSession, folder: str, state: str, on_change: Update, pattern: str = "*", checkpoint: str | None = None, once: bool = False, interval: str = "30 seconds") -> StreamingQuery:
-    """Compare the folder with the stored state in every micro-batch; ``on_change`` gets (path, status) rows.
+    """Compare the folder with the stored state at every trigger; ``on_change`` gets (path, status) rows, if there are any.
 
     Every batch is keyed by its id, and the state of batch n is written to
     ``state/n``: a repeated batch starts from the same state and overwrites its own.
     """
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    arrivals = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).load(folder)
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
 
     def compare(batch: DataFrame, batch_id: int) -> None:
-        new = file_state(spark, folder, pattern)
+        # The folder is read once: a file that changes from here on differs from this state at the next trigger.
+        file_state(spark, folder, pattern).write.mode("overwrite").parquet(f"{state}/{batch_id}")
+        new = spark.read.parquet(f"{state}/{batch_id}")
         if batch_id:
             old = spark.read.parquet(f"{state}/{batch_id - 1}")
         else:
             old = spark.createDataFrame([], "path string, hash string, size long")
         changes = incremental.snapshot_diff(old, new).filter("status <> 'unchanged'")
-        on_change(changes, batch_id)
-        new.write.mode("overwrite").parquet(f"{state}/{batch_id}")
+        if not changes.isEmpty():
+            on_change(changes, batch_id)
 
-    writer = arrivals.select("path").writeStream.foreachBatch(compare).option("checkpointLocation", checkpoint or f"{state}/_checkpoint")
+    writer = ticks.writeStream.foreachBatch(compare).option("checkpointLocation", checkpoint or f"{state}/_checkpoint")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 

@@ -1,5 +1,7 @@
 import difflib
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import lexicons as L
@@ -146,6 +148,26 @@ def test_watcher_reports_adds_changes_and_deletions(spark, tmp_path):
     assert seen[1] == {"a.txt": "modified", "b.txt": "deleted", "c.txt": "new"}
 
 
+@pytest.mark.parametrize("change", ["modified", "deleted"])
+def test_watcher_reports_without_an_arrival(spark, tmp_path, change):
+    folder, state, seen = tmp_path / "in", str(tmp_path / "state"), []
+    folder.mkdir()
+    note = lambda df, n: seen.append({r.path.rsplit("/", 1)[1]: r.status for r in df.collect()})
+    (folder / "a.txt").write_text("1")
+    (folder / "b.txt").write_text("1")
+    running = watcher.watch(spark, str(folder), state, note, interval="1 second")
+    try:
+        for n in (1, 2):
+            end = time.monotonic() + 20
+            while len(seen) < n and time.monotonic() < end and running.isActive:
+                time.sleep(0.1)
+            if n == 1:
+                (folder / "a.txt").write_text("2") if change == "modified" else (folder / "a.txt").unlink()
+    finally:
+        running.stop()
+    assert seen == [{"a.txt": "new", "b.txt": "new"}, {"a.txt": change}]
+
+
 def test_windowed_counts(spark, sf_dir, tmp_path):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     events.write.parquet(str(tmp_path / "events"))
