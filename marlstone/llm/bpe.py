@@ -4,8 +4,14 @@ Method: the pre-tokens that a worker has not met yet are laid out, by length
 bucket, as padded matrices of symbol ids.  In each round every row merges its
 leftmost pair of minimum rank; pair ranks come from a hashed table, finished
 rows leave the matrix (compaction).  Known pre-tokens come from a bounded
-table of span hashes, so that a word is merged once per worker, not once per
-occurrence.
+table of span hashes (96 bits, two independent hashes), so that a word is
+merged once per worker, not once per occurrence.
+
+Rounds of one merge cost the square of a row's length, so rows of more than
+``WIDEST`` bytes merge all occurrences of their least pair in a round.  That
+gives the same ids where no merge makes a pair of lower or equal rank; whether
+this holds is proved for each model when it is read (``ordered``), and if it
+does not, long rows too merge one pair a round.
 
 Contract of :func:`encode`: one row per input row; a null or empty text has no
 ids (empty binary, n_tokens 0).  Repeated rows give repeated results.  Extra
@@ -15,6 +21,7 @@ columns are dropped unless named in ``keep``; output names are fixed.
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +35,7 @@ from marlstone.llm import spans as S
 
 NEVER = np.int32(2**31 - 1)
 #: Rows wider than this are merged one by one, all occurrences of the least pair at a time.
-WIDEST = 48
+WIDEST = 256
 #: Entries of a worker's table of known pre-tokens; beyond it the table starts anew.
 TABLE_LIMIT = 1 << 20
 
@@ -40,8 +47,10 @@ class BpeModel:
     pair_keys: left << 32 | right, with the rank of each; merged[rank] is the new id.
     first: id of each byte; last: id of each byte where it ends a word (the same
     unless the vocabulary marks word ends).  token_bytes: the bytes of every id.
+    digest: names the model, a digest of all it was read from.
     """
 
+    digest: str
     pair_keys: np.ndarray
     pair_ranks: np.ndarray
     merged: np.ndarray
@@ -53,7 +62,8 @@ class BpeModel:
 def rank_file_model(path: str) -> BpeModel:
     """From a file of base64 tokens and ranks; the rank is the id."""
     with open(path, "rb") as file:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        content = file.read()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
     keys, order = [], []
     for token, rank in ranks.items():
         for cut in range(1, len(token)):
@@ -64,7 +74,7 @@ def rank_file_model(path: str) -> BpeModel:
     size = max(ranks.values()) + 1
     back = {v: k for k, v in ranks.items()}
     single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-    return BpeModel(np.array(keys, np.uint64), np.array(order, np.int32), np.arange(size, dtype=np.int32), single, single, tuple(back.get(i, b"") for i in range(size)))
+    return BpeModel(hashlib.sha256(content).hexdigest(), np.array(keys, np.uint64), np.array(order, np.int32), np.arange(size, dtype=np.int32), single, single, tuple(back.get(i, b"") for i in range(size)))
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -90,7 +100,21 @@ def merges_file_model(text: str, word_end: str = "") -> BpeModel:
     as_bytes = tuple(bytes(back[c] for c in token) if all(c in back for c in token) else b"" for token in plain)
     first = np.array([vocab[alphabet[b]] for b in range(256)], np.int32)
     last = np.array([vocab[alphabet[b] + word_end] for b in range(256)], np.int32)
-    return BpeModel(np.array(keys, np.uint64), np.arange(len(keys), dtype=np.int32), np.array(merged, np.int32), first, last, as_bytes)
+    digest = hashlib.sha256(f"{len(word_end)}{word_end}{text}".encode()).hexdigest()
+    return BpeModel(digest, np.array(keys, np.uint64), np.arange(len(keys), dtype=np.int32), np.array(merged, np.int32), first, last, as_bytes)
+
+
+def ordered(model: BpeModel) -> bool:
+    """Whether every pair with an id that a merge makes has a higher rank than that merge.
+
+    Then, while pairs of the least rank are left, no merge of them makes one of
+    a lower or the same rank: leftmost first and all at once come to the same.
+    """
+    ids = max(len(model.token_bytes), int(model.first.max()) + 1, int(model.last.max()) + 1, int(model.merged.max(initial=0)) + 1)
+    made = np.full(ids, -1, np.int64)  # the highest rank of a merge that makes the id
+    np.maximum.at(made, model.merged[model.pair_ranks], model.pair_ranks)
+    left, right = (model.pair_keys >> np.uint64(32)).astype(np.int64), (model.pair_keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return bool((model.pair_ranks > np.maximum(made[left], made[right])).all())
 
 
 class MatrixBpe:
@@ -100,6 +124,7 @@ class MatrixBpe:
         self.model = model
         self.pairs = S.SpanTable(max(len(model.pair_keys), 1))
         self.pairs.add(S.mix(model.pair_keys + np.uint64(1)), model.pair_ranks)
+        self.ordered = ordered(model)
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = (left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)) + np.uint64(1)
@@ -140,10 +165,10 @@ class MatrixBpe:
                 ranks[r, c] = self._ranks(work[r, c], work[r, c + 1])
 
     def _long(self, row: np.ndarray) -> np.ndarray:
-        """One long row.  A merge only makes pairs of higher rank, so all occurrences of the least pair go in one round."""
+        """One long row: all occurrences of the least pair go in one round if the model is ordered, else the leftmost."""
         ranks = self._ranks(row[:-1], row[1:])
         while len(ranks) and (best := ranks.min()) != NEVER:
-            at = np.flatnonzero(ranks == best)
+            at = np.flatnonzero(ranks == best) if self.ordered else np.array([ranks.argmin()])
             if len(at) > 1 and (np.diff(at) == 1).any():  # of overlapping pairs, every second from the left
                 run = np.concatenate([[0], np.cumsum(np.diff(at) != 1)])
                 place = np.arange(len(at)) - np.searchsorted(run, run)
@@ -171,7 +196,7 @@ class MatrixBpe:
         after = sizes.copy()
         results: list[tuple[np.ndarray, np.ndarray]] = []
         low = 1
-        for high in (2, 3, 4, 6, 8, 10, 12, 16, 24, WIDEST):
+        for high in (*(w for w in (2, 3, 4, 6, 8, 10, 12, 16, 24, 48, 96) if w < WIDEST), WIDEST):
             rows = np.flatnonzero((sizes > low) & (sizes <= high))
             low = high
             for part in np.array_split(rows, max(1, len(rows) * high // (1 << 18))):
@@ -204,7 +229,7 @@ class SpanEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.table = S.SpanTable(self.limit)
+        self.table = S.SpanTable(self.limit, checked=True)
         self.pool = np.zeros(1 << 16, np.int32)
         self.used = 0
         self.starts = np.zeros(1 << 12, np.int64)
@@ -216,31 +241,29 @@ class SpanEncoder:
 
     def lookup(self, piece: S.Slice, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The entry of every span."""
-        hashes = piece.hashes(starts, ends)
-        entry = self.table.find(hashes)
+        hashes, checks = piece.checked_hashes(starts, ends)
+        entry = self.table.find(hashes, checks)
         missing = np.flatnonzero(entry < 0)
         if len(missing):
-            fresh, where = np.unique(hashes[missing], return_index=True)
-            if self.table.full(len(fresh)):
-                limit = max(self.limit, 2 * len(fresh))
+            at = missing[S.distinct(hashes[missing], checks[missing])[0]]
+            if self.table.full(len(at)):
+                limit = max(self.limit, 2 * len(at))
                 if self.table.count:
                     self._clear()
-                    missing = np.arange(len(hashes))
-                    fresh, where = np.unique(hashes, return_index=True)
-                    limit = max(self.limit, len(fresh))
+                    at, _ = S.distinct(hashes, checks)
+                    limit = max(self.limit, len(at))
                 if limit > self.limit:
-                    self.table = S.SpanTable(limit)
-            at = missing[where]
+                    self.table = S.SpanTable(limit, checked=True)
             ids, sizes = self.bpe.merge(S.gather(piece.data, starts[at], ends[at] - starts[at]), (ends - starts)[at])
             n, used = self.table.count, self.used
-            self.table.add(fresh, np.arange(n, n + len(fresh), dtype=np.int32))
-            self.starts, self.sizes = self._room(self.starts, n + len(fresh)), self._room(self.sizes, n + len(fresh))
+            self.table.add(hashes[at], np.arange(n, n + len(at), dtype=np.int32), checks[at])
+            self.starts, self.sizes = self._room(self.starts, n + len(at)), self._room(self.sizes, n + len(at))
             self.pool = self._room(self.pool, used + len(ids))
-            self.starts[n : n + len(fresh)] = used + np.cumsum(sizes) - sizes
-            self.sizes[n : n + len(fresh)] = sizes
+            self.starts[n : n + len(at)] = used + np.cumsum(sizes) - sizes
+            self.sizes[n : n + len(at)] = sizes
             self.pool[used : used + len(ids)] = ids
             self.used += len(ids)
-            entry = self.table.find(hashes)
+            entry = self.table.find(hashes, checks)
         return entry
 
     def encode(self, piece: S.Slice, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,16 +275,15 @@ class SpanEncoder:
         return ids, np.diff(total[np.searchsorted(starts, piece.offsets)])
 
 
-_ENCODERS: dict[tuple, SpanEncoder] = {}
+_ENCODERS: dict[str, SpanEncoder] = {}
 
 
-def worker_encoder(name: str, model: BpeModel) -> SpanEncoder:
+def worker_encoder(model: BpeModel) -> SpanEncoder:
     """The encoder of this Python worker, kept between its tasks."""
-    key = (name, len(model.pair_keys))
-    if key not in _ENCODERS:
+    if model.digest not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = SpanEncoder(model)
-    return _ENCODERS[key]
+        _ENCODERS[model.digest] = SpanEncoder(model)
+    return _ENCODERS[model.digest]
 
 
 def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -275,14 +297,14 @@ def _fields(df: DataFrame, names: list[str]) -> list[T.StructField]:
     return [T.StructField(n, df.schema[n].dataType, True) for n in names]
 
 
-def encode(docs: DataFrame, model: BpeModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "byte-level") -> DataFrame:
+def encode(docs: DataFrame, model: BpeModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, n_tokens long, ids binary (little-endian unsigned 32-bit ids)."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # a fixed vocabulary: a few MB
     kept = list(keep)
     schema = T.StructType([*_fields(docs, kept), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(name, shipped.value)
+        encoder = worker_encoder(shipped.value)
         for batch in batches:
             for piece in S.slices(batch.column(len(kept))):
                 ids, sizes = encoder.encode(piece, *S.byte_level_pretokens(piece))

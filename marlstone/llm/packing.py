@@ -15,6 +15,7 @@ are packed each; extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -90,15 +91,13 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
 def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, piece, start, length and ids (little-endian unsigned 32-bit) of every piece of every document."""
     model = bpe.merges_file_model(tokenizer_json)
-    import json
-
     special = [t["content"].encode() for t in json.loads(tokenizer_json).get("added_tokens", [])]
     shipped = docs.sparkSession.sparkContext.broadcast((model, tokenizer_json))  # a fixed vocabulary
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, library = bpe.worker_encoder("pieces", shipped.value[0]), None
+        encoder, library = bpe.worker_encoder(shipped.value[0]), None
         for batch in batches:
             for part in S.slices(batch.column(1)):
                 ids, sizes = encoder.encode(part, *S.byte_level_pretokens(part))

@@ -2,8 +2,9 @@
 
 Python only sees whole Arrow batches.  A batch of texts is one byte array with
 offsets; words are (start, end) spans found by array comparisons; a span's
-64-bit hash comes from prefix sums of a polynomial, so that equal spans have
-equal hashes wherever they stand.  No function here knows about Spark.
+64-bit hash mixes each of its 8-byte blocks with the block's place, so that
+equal spans have equal hashes wherever they stand, and no pattern of bytes
+makes unequal ones agree more often than chance.  No function here knows about Spark.
 """
 
 from __future__ import annotations
@@ -19,9 +20,6 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 18
 
 U64 = np.uint64
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INV = pow(_P, -1, 1 << 64)
-
 # Character classes.
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
@@ -35,24 +33,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-class _Powers:
-    """Powers of the hash's base and of its inverse, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = np.ones(1, U64)
-        self.down = np.ones(1, U64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            for name, base in (("up", _P), ("down", _P_INV)):
-                steps = np.full(n, base, U64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=U64))
-        return self.up, self.down
-
-
-_POWERS = _Powers()
+#: The first k bytes of a little-endian block.
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+_PLACE, _SECOND, _SIZE = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0xA0761D6478BD642F)
 
 
 class Slice:
@@ -61,7 +44,7 @@ class Slice:
     def __init__(self, first: int, data: np.ndarray, offsets: np.ndarray) -> None:
         self.first, self.data, self.offsets = first, data, offsets
         self.n = len(offsets) - 1
-        self._sums: np.ndarray | None = None
+        self._blocks: np.ndarray | None = None
 
     def doc_of(self, positions: np.ndarray) -> np.ndarray:
         """The text that each of the ascending positions lies in."""
@@ -84,14 +67,53 @@ class Slice:
         flag[self.offsets] = True
         return flag
 
+    def _block(self, at: np.ndarray, left: np.ndarray, number: np.ndarray | int) -> np.ndarray:
+        """The 8 bytes at each position, of which ``left`` count, keyed with their number within the span."""
+        if self._blocks is None:
+            padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+            self._blocks = np.ndarray(len(self.data) + 1, "<u8", padded, 0, (1,))
+        return (self._blocks[at] & _FIRST_BYTES[np.minimum(left, 8)]) ^ (_PLACE * np.asarray(number + 1, U64))
+
+    def _sums(self, starts: np.ndarray, ends: np.ndarray, mixers: tuple) -> list[np.ndarray]:
+        """For each mixer, the sums over each span's blocks."""
+        sizes = ends - starts
+        block = self._block(starts, sizes, 0)
+        out = [f(block) for f in mixers]
+        long = np.flatnonzero(sizes > 8)
+        if len(long):
+            more = (sizes[long] - 1) // 8
+            heads = np.cumsum(more) - more
+            number = np.arange(int(more.sum())) - np.repeat(heads - 1, more)
+            block = self._block(np.repeat(starts[long], more) + 8 * number, np.repeat(sizes[long], more) - 8 * number, number)
+            for total, f in zip(out, mixers, strict=True):
+                total[long] += np.add.reduceat(f(block), heads)
+        return out
+
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hashes of spans; equal bytes give equal hashes."""
-        if self._sums is None:
-            up, _ = _POWERS.get(len(self.data) + 1)
-            self._sums = np.zeros(len(self.data) + 1, U64)
-            np.cumsum((self.data.astype(U64) + U64(1)) * up[: len(self.data)], out=self._sums[1:])
-        _, down = _POWERS.get(len(self.data) + 1)
-        return mix((self._sums[ends] - self._sums[starts]) * down[starts])
+        (total,) = self._sums(starts, ends, (mix,))
+        return mix(total + (ends - starts).astype(U64) * _SIZE)
+
+    def checked_hashes(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes and, with their lengths, 32 bits of a second, independent one."""
+        total, second = self._sums(starts, ends, (mix, _second_mix))
+        sizes = (ends - starts).astype(U64) * _SIZE
+        return mix(total + sizes), (_second_mix(second ^ sizes) >> U64(32)).astype(np.uint32)
+
+
+def _second_mix(x: np.ndarray) -> np.ndarray:
+    x = x * _SECOND
+    x = (x ^ (x >> U64(31))) * _PLACE
+    return x ^ (x >> U64(30))
+
+
+def distinct(hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places of the distinct (hash, check) pairs, and which of them each row is."""
+    _, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+    if (checks[where][back] != checks).any():  # equal hashes of unequal spans
+        both = np.stack([hashes, checks.astype(U64)], axis=1)
+        _, where, back = np.unique(both, axis=0, return_index=True, return_inverse=True)
+    return where, back.ravel()
 
 
 def slices(texts: pa.Array, budget: int = SLICE_BYTES) -> Iterator[Slice]:
@@ -112,6 +134,18 @@ def slices(texts: pa.Array, budget: int = SLICE_BYTES) -> Iterator[Slice]:
         first = last
 
 
+def parts(batch: pa.RecordBatch, column: int, rows: int, size: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(first row, part) of a batch cut into parts of at most ``rows`` rows and, unless it is one row, ``size`` bytes of text."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    total = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    first = 0
+    while first < batch.num_rows:
+        last = int(np.searchsorted(total, total[first] + size, side="right")) - 1
+        last = min(batch.num_rows, first + rows, max(last, first + 1))
+        yield first, batch.slice(first, last - first)
+        first = last
+
+
 _ASCII_SPACE = np.zeros(256, bool)
 _ASCII_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -296,18 +330,19 @@ def lone_pretokens(piece: Slice) -> tuple[np.ndarray, np.ndarray]:
 
 
 class SpanTable:
-    """64-bit hash to small integer, looked up and filled by whole arrays.
+    """64-bit hash, with or without a 32-bit check, to small integer, looked up and filled by whole arrays.
 
-    Open addressing in two flat arrays.  ``limit`` bounds the entries: when a
+    Open addressing in flat arrays.  ``limit`` bounds the entries: when a
     fill would exceed it, ``full`` is true and the owner starts a new table.
     """
 
-    def __init__(self, limit: int = 1 << 20) -> None:
+    def __init__(self, limit: int = 1 << 20, checked: bool = False) -> None:
         self.limit = limit
         self.size = 1 << (2 * limit - 1).bit_length()
         self.mask = U64(self.size - 1)
         self.keys = np.zeros(self.size, U64)
         self.values = np.zeros(self.size, np.int32)
+        self.checks = np.zeros(self.size, np.uint32) if checked else None
         self.count = 0
 
     def full(self, more: int) -> bool:
@@ -317,24 +352,29 @@ class SpanTable:
     def _key(hashes: np.ndarray) -> np.ndarray:
         return np.where(hashes == 0, U64(1), hashes)
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
+    def _same(self, slot: np.ndarray, held: np.ndarray, hashes: np.ndarray, checks: np.ndarray | None) -> np.ndarray:
+        same = held == hashes
+        return same if checks is None else same & (self.checks[slot] == checks)
+
+    def find(self, hashes: np.ndarray, checks: np.ndarray | None = None) -> np.ndarray:
         """The value of each hash, -1 where it is not held."""
         hashes = self._key(hashes)
         slot = (hashes >> U64(20)) & self.mask
         held = self.keys[slot]
-        out = np.where(held == hashes, self.values[slot], np.int32(-1))
-        open_ = np.flatnonzero((held != hashes) & (held != 0))
+        same = self._same(slot, held, hashes, checks)
+        out = np.where(same, self.values[slot], np.int32(-1))
+        open_ = np.flatnonzero(~same & (held != 0))
         step = U64(1)
         while len(open_):
             at = (slot[open_] + step) & self.mask
             held = self.keys[at]
-            same = held == hashes[open_]
+            same = self._same(at, held, hashes[open_], None if checks is None else checks[open_])
             out[open_[same]] = self.values[at[same]]
             open_ = open_[~same & (held != 0)]
             step += U64(1)
         return out
 
-    def add(self, hashes: np.ndarray, values: np.ndarray) -> None:
+    def add(self, hashes: np.ndarray, values: np.ndarray, checks: np.ndarray | None = None) -> None:
         """Add distinct hashes that are not held."""
         hashes = self._key(hashes)
         self.count += len(hashes)
@@ -344,7 +384,9 @@ class SpanTable:
             at = slot[todo]
             free = self.keys[at] == 0
             self.keys[at[free]] = hashes[todo[free]]
-            mine = self.keys[at] == hashes[todo]
+            if checks is not None:
+                self.checks[at[free]] = checks[todo[free]]
+            mine = self._same(at, self.keys[at], hashes[todo], None if checks is None else checks[todo])
             self.values[at[mine]] = values[todo[mine]]
             todo = todo[~mine]
             slot[todo] = (slot[todo] + U64(1)) & self.mask

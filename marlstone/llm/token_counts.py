@@ -52,31 +52,42 @@ class SpanCounter:
         self.bpe, self.limit = bpe.MatrixBpe(model), limit
         ends = np.cumsum([len(t) for t in whole])
         piece = S.Slice(0, np.frombuffer(b"".join(whole), np.uint8), np.array([0, ends[-1] if len(ends) else 0]))
-        self.whole = np.unique(piece.hashes(np.concatenate([[0], ends[:-1]]).astype(np.int64), ends.astype(np.int64)))
+        hashes, checks = piece.checked_hashes(np.concatenate([[0], ends[:-1]]).astype(np.int64), ends.astype(np.int64))
+        first, _ = S.distinct(hashes, checks)
+        self.whole = hashes[first], checks[first]
         self._clear(limit)
 
     def _clear(self, limit: int) -> None:
-        self.table = S.SpanTable(max(limit, 2 * len(self.whole)))
-        self.table.add(self.whole, np.ones(len(self.whole), np.int32))
+        hashes, checks = self.whole
+        self.table = S.SpanTable(max(limit, 2 * len(hashes)), checked=True)
+        self.table.add(hashes, np.ones(len(hashes), np.int32), checks)
 
     def count(self, piece: S.Slice, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Tokens of each text of the slice."""
-        hashes = piece.hashes(starts, ends)
-        tokens = self.table.find(hashes)
+        hashes, checks = piece.checked_hashes(starts, ends)
+        tokens = self.table.find(hashes, checks)
         rest = np.flatnonzero(tokens < 0)
         if len(rest):
-            fresh, where, back = np.unique(hashes[rest], return_index=True, return_inverse=True)
+            where, back = S.distinct(hashes[rest], checks[rest])
             at = rest[where]
             _, sizes = self.bpe.merge(S.gather(piece.data, starts[at], ends[at] - starts[at]), (ends - starts)[at])
-            if self.table.full(len(fresh)):
-                self._clear(max(self.limit, len(self.whole) + 2 * len(fresh)))
-            self.table.add(fresh, sizes.astype(np.int32))
+            if self.table.full(len(at)):
+                self._clear(max(self.limit, len(self.whole[0]) + 2 * len(at)))
+            self.table.add(hashes[at], sizes.astype(np.int32), checks[at])
             tokens[rest] = sizes[back]
         total = np.concatenate([[0], np.cumsum(tokens, dtype=np.int64)])
         return np.diff(total[np.searchsorted(starts, piece.offsets)])
 
 
-_COUNTERS: dict[int, SpanCounter] = {}
+_COUNTERS: dict[str, SpanCounter] = {}
+
+
+def worker_counter(model: bpe.BpeModel, whole: list[bytes]) -> SpanCounter:
+    """The counter of this Python worker, kept between its tasks."""
+    if model.digest not in _COUNTERS:
+        _COUNTERS.clear()
+        _COUNTERS[model.digest] = SpanCounter(model, whole)
+    return _COUNTERS[model.digest]
 
 
 def count_tokens(docs: DataFrame, tokenizer_json: str, limit: int = 2048, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -89,9 +100,7 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, limit: int = 2048, text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if len(shipped.value[2]) not in _COUNTERS:
-            _COUNTERS[len(shipped.value[2])] = SpanCounter(*shipped.value[:2])
-        counter, library = _COUNTERS[len(shipped.value[2])], None
+        counter, library = worker_counter(*shipped.value[:2]), None
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)

@@ -60,6 +60,88 @@ def test_span_table_finds_what_it_holds():
     assert (table.find(keys) == np.arange(len(keys))).all() and (table.find(keys + np.uint64(1))[~np.isin(keys + np.uint64(1), keys)] == -1).all()
 
 
+def thue_morse(first, second, size=1024):
+    """A word and its complement, which polynomial hashes modulo a power of two confuse."""
+    bits = [bin(i).count("1") & 1 for i in range(size)]
+    return "".join((first, second)[b] for b in bits), "".join((second, first)[b] for b in bits)
+
+
+def test_hashes_tell_patterned_words_apart():
+    words = [w for size in (64, 1024, 2048, 4096) for w in thue_morse("a", "b", size)] + ["a", "a\0", "a" * 8, "a" * 9, "a" * 16, "b" * 8 + "a" * 8, "a" * 8 + "b" * 8]
+    (piece,) = S.slices(pa.array(words))
+    hashes, checks = piece.checked_hashes(piece.offsets[:-1], piece.offsets[1:])
+    assert len(set(hashes.tolist())) == len(set(checks.tolist())) == len(words)
+    (again,) = S.slices(pa.array(["x" + "".join(words)]))  # the same spans elsewhere
+    assert (again.hashes(piece.offsets[:-1] + 1, piece.offsets[1:] + 1) == hashes).all()
+
+
+def test_equal_hashes_are_told_apart_by_their_checks(monkeypatch):
+    honest = S.Slice.checked_hashes
+    monkeypatch.setattr(S.Slice, "checked_hashes", lambda self, a, b: (honest(self, a, b)[0] & np.uint64(7 << 20), honest(self, a, b)[1]))
+    encoder, expected = bpe.SpanEncoder(bpe.rank_file_model(P.path("byte_bpe_50k.tiktoken")), limit=300), own_tiktoken()
+    texts = noise(100)
+    for piece in S.slices(pa.array(texts), 1000):
+        ids, sizes = encoder.encode(piece, *S.byte_level_pretokens(piece))
+        for i, own in enumerate(np.split(ids, np.cumsum(sizes)[:-1])):
+            assert own.tolist() == expected.encode_ordinary(texts[piece.first + i])
+
+
+def test_patterned_words_keep_their_ids(spark):
+    texts = [f"{x} {y}" for x, y in (thue_morse("a", "b"), thue_morse("ab", "ba", 512))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    model, own = bpe.rank_file_model(P.path("byte_bpe_50k.tiktoken")), own_tiktoken()
+    for r in bpe.decode(bpe.encode(docs, model), model).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == own.encode_ordinary(texts[r.doc_id]) and bytes(r.decoded).decode() == texts[r.doc_id]
+    check_packing(queries.packed_documents(docs).collect(), dict(enumerate(texts)))
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        counts = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, file.read()).collect()}
+    expected = library("word_bpe_49k.json")
+    assert counts == {i: len(expected.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_two_models_of_one_size_in_one_worker(spark):
+    docs = spark.createDataFrame([(1, "the cat sat on the mat")], "doc_id long, text string").coalesce(1)
+    model = bpe.rank_file_model(P.path("byte_bpe_50k.tiktoken"))
+    # The same merges in number, none of which ever applies.
+    i = np.arange(len(model.pair_keys), dtype=np.uint64)
+    other = bpe.BpeModel("other", (i % np.uint64(200) + np.uint64(50000)) << np.uint64(32) | i // np.uint64(200), model.pair_ranks, model.merged, model.first, model.last, model.token_bytes)
+    counts = [bpe.encode(docs, m).first().n_tokens for m in (model, other, model)]
+    assert counts == [6, 22, 6]
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        text = file.read()
+    whole = bpe.merges_file_model(text, token_counts.WORD_END)
+    counters = [token_counts.worker_counter(m, token_counts.prove_whole_tokens(m)) for m in (whole, other)]
+    assert counters[0] is not counters[1] and token_counts.worker_counter(other, []) is counters[1]
+
+
+def brute_merges(model, word):
+    ranks = dict(zip(model.pair_keys.tolist(), model.pair_ranks.tolist(), strict=True))
+    row = [int(model.first[b]) for b in word[:-1]] + [int(model.last[word[-1]])]
+    while len(row) > 1:
+        rank, at = min((ranks.get(a << 32 | b, 1 << 40), i) for i, (a, b) in enumerate(zip(row, row[1:], strict=False)))
+        if rank == 1 << 40:
+            break
+        row[at : at + 2] = [int(model.merged[rank])]
+    return row
+
+
+def test_long_rows_merge_as_leftmost_least_does(monkeypatch):
+    model = bpe.rank_file_model(P.path("byte_bpe_50k.tiktoken"))
+    assert bpe.ordered(model)
+    rng = random.Random(3)
+    words = [bytes(rng.choice(b"aabteh") for _ in range(rng.randint(2, 90))) for _ in range(60)]
+    # A model whose merge of 'bc' makes a pair of lower rank than its own.
+    byte = np.arange(256, dtype=np.int32)
+    odd = bpe.BpeModel("odd", np.array([97 << 32 | 256, 98 << 32 | 99, 256 << 32 | 97], np.uint64), np.arange(3, dtype=np.int32), np.array([257, 256, 258], np.int32), byte, byte, (b"",) * 259)
+    assert not bpe.ordered(odd)
+    mixed = [bytes(rng.choice(b"abc") for _ in range(rng.randint(2, 60))) for _ in range(60)]
+    for widest in (bpe.WIDEST, 2):
+        monkeypatch.setattr(bpe, "WIDEST", widest)
+        for m, some in ((model, words), (odd, mixed)):
+            ids, sizes = bpe.MatrixBpe(m).merge(np.frombuffer(b"".join(some), np.uint8), np.array([len(w) for w in some]))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [brute_merges(m, w) for w in some]
+
+
 def test_encoder_matches_tiktoken_with_a_tiny_table():
     encoder, expected = bpe.SpanEncoder(bpe.rank_file_model(P.path("byte_bpe_50k.tiktoken")), limit=300), own_tiktoken()
     texts = noise(2000) + ["a" * 3000, "ab" * 2000 + "!" * 333, "中文" * 300, None]
