@@ -7,11 +7,10 @@ rows leave the matrix (compaction).  Known pre-tokens come from a bounded
 table of span hashes (96 bits, two independent hashes), so that a word is
 merged once per worker, not once per occurrence.
 
-Rounds of one merge cost the square of a row's length, so rows of more than
-``WIDEST`` bytes merge all occurrences of their least pair in a round.  That
-gives the same ids where no merge makes a pair of lower or equal rank; whether
-this holds is proved for each model when it is read (``ordered``), and if it
-does not, long rows too merge one pair a round.
+Rounds of one merge cost the square of a row's length.  Rows of more than
+``WIDEST`` bytes make the same merges in the same order, leftmost pair of least
+rank first, from a heap of pairs over a linked list, so that a pre-token of any
+length costs no more than its length times the heap's depth.
 
 Contract of :func:`encode`: one row per input row; a null or empty text has no
 ids (empty binary, n_tokens 0).  Repeated rows give repeated results.  Extra
@@ -22,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from marlstone.llm import spans as S
 
 NEVER = np.int32(2**31 - 1)
-#: Rows wider than this are merged one by one, all occurrences of the least pair at a time.
+#: Rows wider than this are merged one by one, from a heap.
 WIDEST = 256
 #: Entries of a worker's table of known pre-tokens; beyond it the table starts anew.
 TABLE_LIMIT = 1 << 20
@@ -104,19 +104,6 @@ def merges_file_model(text: str, word_end: str = "") -> BpeModel:
     return BpeModel(digest, np.array(keys, np.uint64), np.arange(len(keys), dtype=np.int32), np.array(merged, np.int32), first, last, as_bytes)
 
 
-def ordered(model: BpeModel) -> bool:
-    """Whether every pair with an id that a merge makes has a higher rank than that merge.
-
-    Then, while pairs of the least rank are left, no merge of them makes one of
-    a lower or the same rank: leftmost first and all at once come to the same.
-    """
-    ids = max(len(model.token_bytes), int(model.first.max()) + 1, int(model.last.max()) + 1, int(model.merged.max(initial=0)) + 1)
-    made = np.full(ids, -1, np.int64)  # the highest rank of a merge that makes the id
-    np.maximum.at(made, model.merged[model.pair_ranks], model.pair_ranks)
-    left, right = (model.pair_keys >> np.uint64(32)).astype(np.int64), (model.pair_keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    return bool((model.pair_ranks > np.maximum(made[left], made[right])).all())
-
-
 class MatrixBpe:
     """Merges many words at once."""
 
@@ -124,7 +111,7 @@ class MatrixBpe:
         self.model = model
         self.pairs = S.SpanTable(max(len(model.pair_keys), 1))
         self.pairs.add(S.mix(model.pair_keys + np.uint64(1)), model.pair_ranks)
-        self.ordered = ordered(model)
+        self._rank_of: dict[int, int] | None = None  # for long rows only
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = (left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)) + np.uint64(1)
@@ -165,26 +152,32 @@ class MatrixBpe:
                 ranks[r, c] = self._ranks(work[r, c], work[r, c + 1])
 
     def _long(self, row: np.ndarray) -> np.ndarray:
-        """One long row: all occurrences of the least pair go in one round if the model is ordered, else the leftmost."""
+        """One long row: pairs wait in a heap by rank and place; a pair that has changed since is passed over."""
+        if self._rank_of is None:
+            self._rank_of = dict(zip(self.model.pair_keys.tolist(), self.model.pair_ranks.tolist(), strict=True))
+        rank_of, merged = self._rank_of, self.model.merged
+        ids = row.tolist()
+        n = len(ids)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         ranks = self._ranks(row[:-1], row[1:])
-        while len(ranks) and (best := ranks.min()) != NEVER:
-            at = np.flatnonzero(ranks == best) if self.ordered else np.array([ranks.argmin()])
-            if len(at) > 1 and (np.diff(at) == 1).any():  # of overlapping pairs, every second from the left
-                run = np.concatenate([[0], np.cumsum(np.diff(at) != 1)])
-                place = np.arange(len(at)) - np.searchsorted(run, run)
-                at = at[place % 2 == 0]
-            row = row.copy()
-            row[at] = self.model.merged[best]
-            keep = np.ones(len(row), bool)
-            keep[at + 1] = False
-            now = np.cumsum(keep)[at] - 1
-            row = row[keep]
-            keep_ranks = keep[1:].copy()
-            ranks = ranks[keep_ranks]
-            touched = np.unique(np.concatenate([now - 1, now]))
-            touched = touched[(touched >= 0) & (touched + 1 < len(row))]
-            ranks[touched] = self._ranks(row[touched], row[touched + 1])
-        return row
+        some = np.flatnonzero(ranks != NEVER)
+        heap = list(zip(ranks[some].tolist(), some.tolist(), strict=True))
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= n or rank_of.get(ids[i] << 32 | ids[j]) != rank:
+                continue
+            ids[i], ids[j] = int(merged[rank]), -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for x in (before[i], i):
+                if x >= 0 and after[x] < n:
+                    made = rank_of.get(ids[x] << 32 | ids[after[x]])
+                    if made is not None:
+                        heapq.heappush(heap, (made, x))
+        return np.array([v for v in ids if v >= 0], np.int32)
 
     def merge(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words as bytes one after another -> their ids one after another, ids per word."""

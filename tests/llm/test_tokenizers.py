@@ -127,13 +127,11 @@ def brute_merges(model, word):
 
 def test_long_rows_merge_as_leftmost_least_does(monkeypatch):
     model = bpe.rank_file_model(P.path("byte_bpe_50k.tiktoken"))
-    assert bpe.ordered(model)
     rng = random.Random(3)
     words = [bytes(rng.choice(b"aabteh") for _ in range(rng.randint(2, 90))) for _ in range(60)]
     # A model whose merge of 'bc' makes a pair of lower rank than its own.
     byte = np.arange(256, dtype=np.int32)
     odd = bpe.BpeModel("odd", np.array([97 << 32 | 256, 98 << 32 | 99, 256 << 32 | 97], np.uint64), np.arange(3, dtype=np.int32), np.array([257, 256, 258], np.int32), byte, byte, (b"",) * 259)
-    assert not bpe.ordered(odd)
     mixed = [bytes(rng.choice(b"abc") for _ in range(rng.randint(2, 60))) for _ in range(60)]
     for widest in (bpe.WIDEST, 2):
         monkeypatch.setattr(bpe, "WIDEST", widest)
