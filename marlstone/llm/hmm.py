@@ -10,13 +10,15 @@ words by their corpus counts:
 The last slot of a class is for words never seen, so the whole is a proper
 distribution.  Baum-Welch expectations are computed per partition from all
 training texts, summed by the shuffle, and the maximisation runs on sums whose
-size does not depend on the corpus.  Training cuts texts into runs of
-``TRAIN_RUN`` tokens; scoring runs the scaled forward recursion over each whole
-text.  Word counts stay a distributed table: the ``HOT_WORDS`` most frequent
+size does not depend on the corpus.  Both training and scoring run the scaled
+recursions over each whole text; where a batch of texts is too long to keep all
+forward shares, those at some steps are kept and the rest are computed again.
+The classes of the training texts are written once, two bytes a token, and read
+by every iteration.  Word counts stay a distributed table: the ``HOT_WORDS`` most frequent
 words travel to the tasks, all other words meet their counts in a join.
 
 Contract: one row per input row.  Null and empty texts are the end token alone.
-Ids only decide the fold; a null id is in no training fold and not held out.
+Ids only decide the fold; a document without an id is neither trained on nor held out.
 Repeated rows count and are scored each; extra columns do not matter; with no
 training text every word is unknown.
 """
@@ -39,21 +41,21 @@ CLASS_BITS = 15
 CLASSES = 1 << CLASS_BITS  # the end token is class CLASSES
 STATES = 8
 ITERATIONS = 4
-TRAIN_RUN = 256
 HOT_WORDS = 1 << 17
 #: Weight, in tokens, of the corpus-wide class shares in each state's emissions, and of even transitions.
 PRIOR_TOKENS, PRIOR_STEPS = 200.0, 5.0
 HELD_OUT = (5, 1)
-#: Bytes of text whose sequences advance together.
-BATCH_BYTES = 4 << 20
+#: Bytes of text whose sequences advance together in scoring, and tokens of those in training.
+BATCH_BYTES, BATCH_TOKENS = 4 << 20, 1 << 20
+#: Tokens whose forward shares are kept at once.
+KEPT_TOKENS = 1 << 20
 
 
 @dataclass(frozen=True)
 class Model:
-    """start and middle: state shares at the first token and at any; step[i, j]; emit[class, state]."""
+    """start: state shares at the first token; step[i, j]; emit[class, state]."""
 
     start: np.ndarray
-    middle: np.ndarray
     step: np.ndarray
     emit: np.ndarray
 
@@ -91,15 +93,9 @@ def tokens(texts: pa.Array) -> Iterator[tuple[int, Tokens]]:
         yield first, Tokens(hashes, _classes(hashes), np.concatenate([c for _, c in held]))
 
 
-def _sequences(classes: np.ndarray, counts: np.ndarray, run: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes with each text's end; the lengths of the sequences; which begin a text."""
-    with_end = np.insert(classes, np.cumsum(counts), CLASSES)
-    lengths = counts + 1
-    if run is None:
-        return with_end, lengths, np.ones(len(lengths), bool)
-    pieces = -(-lengths // run)
-    number = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    return with_end, np.minimum(run, np.repeat(lengths, pieces) - number * run), number == 0
+def _with_ends(classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes with each text's end, and the lengths of the sequences."""
+    return np.insert(classes, np.cumsum(counts), CLASSES), counts + 1
 
 
 def _by_step(classes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,7 +113,7 @@ def _by_step(classes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.n
 
 def log_likelihood(model: Model, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Natural log of the probability of each text's classes, by the scaled forward recursion."""
-    sequence, lengths, _ = _sequences(classes, counts, None)
+    sequence, lengths = _with_ends(classes, counts)
     ordered, alive, order = _by_step(sequence, lengths)
     scales = np.empty(len(ordered))
     at = 0
@@ -134,36 +130,60 @@ def log_likelihood(model: Model, classes: np.ndarray, counts: np.ndarray) -> np.
     return out
 
 
-def expectations(model: Model, classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected emissions [class, state], steps [state, state] and first states of some texts."""
-    sequence, lengths, begins = _sequences(classes, counts, TRAIN_RUN)
-    ordered, alive, order = _by_step(sequence, lengths)
-    begins = begins[order]
+def expectations(model: Model, sequence: np.ndarray, lengths: np.ndarray, kept: int = KEPT_TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected emissions [class, state], steps [state, state] and first states of whole sequences of classes.
+
+    Steps are taken in blocks of about ``kept`` tokens.  The forward pass keeps
+    the shares at each block's start; the backward pass computes a block's
+    again (but the last one's, which are still at hand) before it goes through it.
+    """
+    ordered, alive, _ = _by_step(sequence, lengths)
     k = len(model.start)
-    emitted = model.emit.astype(np.float32)[ordered]
-    step = model.step.astype(np.float32)
-    alphas, scales = np.empty((len(ordered), k), np.float32), np.empty(len(ordered), np.float32)
-    offset = np.cumsum(alive) - alive
-    alpha = np.where(begins[:, None], model.start[None, :], model.middle[None, :]).astype(np.float32)
-    for t, (n, at) in enumerate(zip(alive.tolist(), offset.tolist(), strict=True)):
-        alpha = (alpha[:n] if t == 0 else alpha[:n] @ step) * emitted[at : at + n]
-        scale = alpha.sum(axis=1)
-        alpha /= scale[:, None]
-        alphas[at : at + n], scales[at : at + n] = alpha, scale
-    steps = np.zeros((k, k))
+    emit, step = model.emit.astype(np.float32), model.step.astype(np.float32)
+    offset = np.concatenate([[0], np.cumsum(alive)])
+    starts = [0]
+    for t in range(1, len(alive)):
+        if offset[t + 1] - offset[starts[-1]] > kept:
+            starts.append(t)
+    bounds = [*starts, len(alive)]
+
+    def forward(alpha: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        base = offset[first]
+        emitted = emit[ordered[base : offset[last]]]
+        alphas, scales = np.empty_like(emitted), np.empty(len(emitted), np.float32)
+        for t in range(first, last):
+            n, at = int(alive[t]), int(offset[t] - base)
+            alpha = (alpha[:n] if t == 0 else alpha[:n] @ step) * emitted[at : at + n]
+            scale = alpha.sum(axis=1)
+            alpha /= scale[:, None]
+            alphas[at : at + n], scales[at : at + n] = alpha, scale
+        return alpha, emitted, alphas, scales
+
+    alpha = np.repeat(model.start.astype(np.float32)[None, :], len(lengths), axis=0)
+    before = []  # the shares before each block
+    block = None
+    for first, last in zip(bounds[:-1], bounds[1:], strict=True):
+        before.append(alpha)
+        alpha, *block = forward(alpha, first, last)
+    steps, emissions = np.zeros((k, k)), np.zeros((CLASSES + 1, k))
     beta = np.ones((len(lengths), k), np.float32)
-    for t in range(len(alive) - 1, 0, -1):
-        n, at, before = int(alive[t]), int(offset[t]), int(offset[t - 1])
-        ahead = emitted[at : at + n] * beta[:n] / scales[at : at + n, None]
-        alphas[at : at + n] *= beta[:n]  # now the state shares at this step
-        steps += alphas[before : before + n].T @ ahead
-        beta[:n] = ahead @ step.T
-    n = len(lengths)
-    alphas[:n] *= beta
-    steps *= model.step
-    first = alphas[:n][begins].sum(axis=0, dtype=np.float64)
-    emissions = np.stack([np.bincount(ordered, alphas[:, j], minlength=CLASSES + 1) for j in range(k)], axis=1)
-    return emissions, steps, first
+    for i in range(len(starts) - 1, -1, -1):
+        first, last = bounds[i], bounds[i + 1]
+        if block is None:
+            _, *block = forward(before[i], first, last)
+        emitted, alphas, scales = block
+        block, base = None, offset[first]
+        for t in range(last - 1, first - 1, -1):
+            n, at = int(alive[t]), int(offset[t] - base)
+            ahead = emitted[at : at + n] * beta[:n] / scales[at : at + n, None]
+            alphas[at : at + n] *= beta[:n]  # now the state shares at this step
+            if t > 0:
+                earlier = before[i][:n] if t == first else alphas[at - int(alive[t - 1]) :][:n]
+                steps += earlier.T @ ahead
+                beta[:n] = ahead @ step.T
+        own = ordered[base : offset[last]]
+        emissions += np.stack([np.bincount(own, alphas[:, j], minlength=CLASSES + 1) for j in range(k)], axis=1)
+    return emissions, steps * model.step, alphas[: len(lengths)].sum(axis=0, dtype=np.float64)
 
 
 def first_model(share: np.ndarray, states: int = STATES, seed: int = 11) -> Model:
@@ -175,7 +195,7 @@ def first_model(share: np.ndarray, states: int = STATES, seed: int = 11) -> Mode
     step = np.full((states, states), 0.1 / max(states - 1, 1))
     np.fill_diagonal(step, 0.9 if states > 1 else 1.0)
     even = np.full(states, 1 / states)
-    return Model(even, even, step, emit)
+    return Model(even, step, emit)
 
 
 def _word_counts(training: DataFrame) -> DataFrame:
@@ -191,28 +211,52 @@ def _word_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, schema).groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def _class_rows(training: DataFrame) -> DataFrame:
+    """classes: each training text's classes and its end as little-endian 16-bit numbers, written to the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, part in tokens(batch.column(0)):
+                sequence, lengths = _with_ends(part.classes, part.counts)
+                offsets = np.concatenate([[0], np.cumsum(2 * lengths)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(sequence.astype("<u2"))])], names=["classes"])
+
+    return materialise(training.select("text").mapInArrow(run, "classes binary"))
+
+
 def _class_column(word: str = "word") -> F.Column:
     return F.shiftrightunsigned(F.col(word), 64 - CLASS_BITS).cast("int")
 
 
-def _gather_expectations(training: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _gather_expectations(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sums over all training texts.  Rows: a class or, beyond, a state's steps, then the first states."""
-    shipped = training.sparkSession.sparkContext.broadcast(model)  # CLASSES * STATES numbers
+    shipped = rows.sparkSession.sparkContext.broadcast(model)  # CLASSES * STATES numbers
     k = len(model.start)
     schema = T.StructType([T.StructField("bin", T.IntegerType()), *[T.StructField(f"s{j}", T.FloatType()) for j in range(k)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((CLASSES + 1 + k + 1, k))
+
+        def add(held: list[np.ndarray]) -> None:
+            emissions, steps, first = expectations(shipped.value, np.concatenate(held), np.array([len(h) for h in held]))
+            total[: CLASSES + 1] += emissions
+            total[CLASSES + 1 : -1] += steps
+            total[-1] += first
+
+        held, size = [], 0
         for batch in batches:
-            for _, part in tokens(batch.column(0)):
-                emissions, steps, first = expectations(shipped.value, part.classes, part.counts)
-                total[: CLASSES + 1] += emissions
-                total[CLASSES + 1 : CLASSES + 1 + k] += steps
-                total[-1] += first
+            for value in batch.column(0):
+                held.append(np.frombuffer(value.as_buffer(), "<u2"))
+                size += len(held[-1])
+                if size >= BATCH_TOKENS:
+                    add(held)
+                    held, size = [], 0
+        if held:
+            add(held)
         bins = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(bins.astype(np.int32)), *(pa.array(total[bins, j].astype(np.float32)) for j in range(k))], names=schema.names)
 
-    sums = training.select("text").mapInArrow(run, schema).groupBy("bin").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).toArrow()
+    sums = rows.mapInArrow(run, schema).groupBy("bin").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).toArrow()
     total = np.zeros((CLASSES + 1 + k + 1, k))
     if sums.num_rows:
         total[sums.column("bin").to_numpy()] = np.stack([sums.column(f"s{j}").to_numpy() for j in range(k)], axis=1)
@@ -222,22 +266,23 @@ def _gather_expectations(training: DataFrame, model: Model) -> tuple[np.ndarray,
 def maximise(emissions: np.ndarray, steps: np.ndarray, first: np.ndarray, share: np.ndarray) -> Model:
     emit = emissions + PRIOR_TOKENS * share[:, None]
     step = steps + PRIOR_STEPS
-    start, middle = first + 1.0, emissions.sum(axis=0) + 1.0
-    return Model(start / start.sum(), middle / middle.sum(), step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    start = first + 1.0
+    return Model(start / start.sum(), step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
 def train(training: DataFrame, share: np.ndarray, states: int = STATES, iterations: int = ITERATIONS) -> Model:
     """Baum-Welch: each iteration reads all training texts once."""
-    model = first_model(share, states)
+    model, rows = first_model(share, states), _class_rows(training)
     for _ in range(iterations):
-        model = maximise(*_gather_expectations(training, model), share)
+        model = maximise(*_gather_expectations(rows, model), share)
     return model
 
 
 def score_documents(docs: DataFrame, held_out: tuple[int, int] = HELD_OUT, states: int = STATES, iterations: int = ITERATIONS, hot_words: int = HOT_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), (crc_mod(F.col("doc_id"), held_out[0]) == held_out[1]).alias("held_out"))
-    training = docs.filter(~F.col("held_out"))
+    apart = crc_mod(F.col("doc_id"), held_out[0]) == held_out[1]
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(apart, F.lit(False)).alias("held_out"))
+    training = docs.filter(F.col("doc_id").isNotNull() & ~F.col("held_out"))
     counts = materialise(_word_counts(training))
     n_docs = training.count()
     # Sums per class: CLASSES rows at most.

@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from marlstone.llm import chat, hmm, queries, warc
+from marlstone.llm import spans as S
 
 
 def test_op7_reads_back(spark, sf_dir):
@@ -94,7 +95,7 @@ def small_model(k=2):
     emit = rng.random((hmm.CLASSES + 1, k))
     step = rng.random((k, k))
     start = rng.random(k)
-    return hmm.Model(start / start.sum(), start / start.sum(), step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    return hmm.Model(start / start.sum(), step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
 def paths(model, seq):
@@ -121,8 +122,53 @@ def test_forward_and_expectations_match_enumeration():
                 emissions[c, s] += p / total
             for a, b in zip(states, states[1:], strict=False):
                 steps[a, b] += p / total
-    e, s, f = hmm.expectations(model, classes, counts)
-    assert np.allclose(e, emissions, atol=1e-4) and np.allclose(s, steps, atol=1e-4) and np.allclose(f, first, atol=1e-4)
+    for kept in (1, 4, 100):
+        e, s, f = hmm.expectations(model, *hmm._with_ends(classes, counts), kept)
+        assert np.allclose(e, emissions, atol=1e-4) and np.allclose(s, steps, atol=1e-4) and np.allclose(f, first, atol=1e-4)
+
+
+def test_training_reads_whole_texts(spark):
+    """One text of many words: every transition counts, the model is that of one sequence."""
+    words = ["abcd"[(i // 50) % 4] + str(i % 3) for i in range(3000)]
+    docs = spark.createDataFrame([(0, " ".join(words))], "doc_id long, text string")
+    assert zlib.crc32(b"0") % 5 != 1
+    rows = hmm._class_rows(docs)
+    (sequence,) = [np.frombuffer(r.classes, "<u2") for r in rows.collect()]
+    share = np.bincount(sequence, minlength=hmm.CLASSES + 1) + 0.1
+    model = hmm.first_model(share / share.sum())
+    _, steps, first = hmm._gather_expectations(rows, model)
+    assert len(sequence) == 3001 and abs(steps.sum() - 3000) < 0.1 and abs(first.sum() - 1) < 1e-5
+
+
+def brute_scores(model, counts, texts):
+    """log10 probabilities of texts, word by word."""
+    every = sorted({w for t in texts for w in t} | counts.keys())
+    ends = np.cumsum([len(w) for w in every])
+    hashes = S.Slice(0, np.frombuffer(b"".join(every), np.uint8), np.array([0, ends[-1]])).hashes(np.concatenate([[0], ends[:-1]]), ends)
+    key = dict(zip(every, hmm._classes(hashes).tolist(), strict=True))
+    by_class, kinds = Counter(), Counter()
+    for w, c in counts.items():
+        by_class[key[w]] += c
+        kinds[key[w]] += 1
+    for words in texts:
+        alpha, total = model.start, 0.0
+        for t, c in enumerate([*(key[w] for w in words), hmm.CLASSES]):
+            alpha = (alpha if t == 0 else alpha @ model.step) * model.emit[c]
+            total += math.log10(alpha.sum())
+            alpha = alpha / alpha.sum()
+        yield total + sum(math.log10((counts[w] + 0.5) / (by_class[key[w]] + 0.5 * (kinds[key[w]] + 1))) for w in words)
+
+
+def test_op10_score_is_the_model_s_probability(spark, documents, monkeypatch):
+    docs = documents.select("doc_id", F.substring("text", 1, 3000).alias("text"))
+    rows = docs.collect()
+    kept = {}
+    honest = hmm.train
+    monkeypatch.setattr(hmm, "train", lambda *a, **k: kept.setdefault("model", honest(*a, **k)))
+    out = {r.doc_id: r for r in hmm.score_documents(docs, iterations=2, hot_words=50).collect()}
+    counts = Counter(w for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 != 1 for w in lower(r.text))
+    for r, expected in zip(rows, brute_scores(kept["model"], counts, [lower(r.text) for r in rows]), strict=True):
+        assert abs(out[r.doc_id].score - expected) < 1e-6 * max(1, abs(expected))
 
 
 def test_op10_gains_on_the_unigram_base(spark, documents):
