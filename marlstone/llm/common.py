@@ -43,6 +43,15 @@ def materialise(df: DataFrame, most_rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most rows of a few numbers each that are broadcast: some 10 MB.
+BROADCAST_ROWS = 1 << 18
+
+
+def small(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, marked for broadcast if its row count allows it; else Spark joins it by a shuffle."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def crc_mod(col: Column, modulus: int) -> Column:
     """crc32 of an id written as text, modulo ``modulus``."""
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(modulus))
