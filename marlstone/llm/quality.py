@@ -1,18 +1,24 @@
 """Operator 1: quality rules with risk-controlled thresholds.
 
 Method: every rule compares one measured rate with a cutoff.  The labelled good
-documents of each stratum are a holdout; for each candidate cutoff, from the
-loosest to the strictest, the exact (Clopper-Pearson) upper bound on the
-probability of rejecting a good document must stay within the allowed risk.
-Candidates of one rule are tested in that fixed order and testing stops at the
-first failure, which needs no correction; the error budget is split evenly over
-rules and strata (Bonferroni).  A stratum with too few labels passes no cutoff
-and rejects nothing beyond the base rules.
+documents of each stratum that pass the base rules are dealt to two holdouts by
+id hash.  One only shapes the path: its maxima, with some slack, and then its
+upper quantiles are settings of all cutoffs at once, from the loosest to the
+strictest.  On the other, for each setting in that order, the exact
+(Clopper-Pearson) upper bound on the probability that any rule rejects a good
+document must stay within the allowed risk.  So ``risk`` limits what ``kept``
+does as a whole, beyond the base rules, which are fixed.  The order does not
+depend on the second holdout and testing stops at the first failure, which
+needs no correction; the error budget is split evenly over the strata
+(Bonferroni).  A stratum with too few labels passes no setting and rejects
+nothing beyond the base rules.
 
 Contract: one row per input row.  A null text counts as empty: all features 0,
-base_failed true.  A null language is a stratum of its own.  Repeated rows give
-repeated results; documents without labels are judged, never learned from;
-labels naming no document are ignored.  Extra columns do not matter.
+base_failed true.  A null language is a stratum of its own, apart from the
+empty one.  Repeated rows give repeated results; documents without labels, an id
+or a quality are judged, never learned from; a document labelled twice is good
+if all its labels say so and counts once; labels naming no document are
+ignored.  Extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.llm import spans as S
-from marlstone.llm.common import materialise
+from marlstone.llm.common import materialise, small
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -39,26 +45,28 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects where ``rate`` (SQL over the counts) lies above a cutoff; candidates run from loose to strict."""
+    """Rejects where ``rate`` (one count over another) lies above a cutoff."""
 
     name: str
     rate: str
-    candidates: tuple[float, ...]
 
 
-#: Production rules.  Rates are shares, so one grid serves every corpus.
+#: Production rules.
 RULES = (
-    Rule("symbols", "n_symbols / n_words", (2.0, 1.0, 0.5, 0.3, 0.2)),
-    Rule("duplicate_lines", "n_dup_lines / n_lines", (0.9, 0.7, 0.5, 0.4)),
-    Rule("upper_case", "n_upper / n_letters", (0.9, 0.7, 0.5, 0.4, 0.3)),
-    Rule("stuttered_words", "n_repeat_next / n_words", (0.8, 0.5, 0.3, 0.2)),
-    Rule("marked_words", "n_marked / n_words", (0.9, 0.7, 0.5, 0.3)),
-    Rule("long_words", "word_chars / n_words", (40.0, 25.0, 18.0, 14.0)),
+    Rule("symbols", "n_symbols / n_words"),
+    Rule("duplicate_lines", "n_dup_lines / n_lines"),
+    Rule("upper_case", "n_upper / n_letters"),
+    Rule("stuttered_words", "n_repeat_next / n_words"),
+    Rule("marked_words", "n_marked / n_words"),
+    Rule("long_words", "word_chars / n_words"),
 )
 
-#: False rejection of good documents allowed to each rule in each stratum, and the error probability of all of it.
+#: False rejection of good documents allowed in each stratum, and the error probability of all of it.
 RISK = 0.02
 ERROR = 0.05
+#: The path of settings: multiples of the greatest rate of the first holdout, then the shares of it beyond the cutoff.
+SLACKS = (8.0, 4.0, 2.0, 1.5, 1.25, 1.1)
+TAILS = (0.0, 0.001, 0.002, 0.003, 0.005, 0.0075, 0.01, 0.015, 0.02, 0.03, 0.05, 0.1)
 
 
 def _measure(piece: S.Slice) -> np.ndarray:
@@ -149,25 +157,40 @@ def upper_bound(rejected: int, n: int, error: float) -> float:
 
 
 def rate_columns(rules: tuple[Rule, ...]) -> dict[str, Column]:
-    """The rate of each rule; a rate over nothing is 0."""
+    """The rate of each rule, to three places; a rate over nothing is 0."""
     out = {}
     for rule in rules:
         over, under = rule.rate.split(" / ")
-        out[f"rate_{rule.name}"] = F.coalesce(F.try_divide(F.col(over).cast("double"), F.col(under).cast("double")), F.lit(0.0))
+        out[f"rate_{rule.name}"] = F.round(F.coalesce(F.try_divide(F.col(over).cast("double"), F.col(under).cast("double")), F.lit(0.0)), 3)
     return out
 
 
-def select_cutoffs(holdout: DataFrame, rules: tuple[Rule, ...] = RULES, risk: float = RISK, error: float = ERROR, stratum: str = "lang") -> DataFrame:
-    """stratum, n and per rule cut_<rule>: the strictest certified cutoff, null where there is none.
+def settings(shaping: DataFrame, rules: tuple[Rule, ...] = RULES, stratum: str = "lang") -> DataFrame:
+    """stratum and per rule path_<rule>: its cutoff at each step.  The exact quantiles are over rates of three places."""
+    paths = []
+    for rule in rules:
+        rate = F.col(f"rate_{rule.name}")
+        slack = F.array(*[F.max(rate) * k for k in SLACKS])
+        paths.append(F.concat(slack, F.percentile(rate, F.array(*[F.lit(1 - t) for t in TAILS]))).alias(f"path_{rule.name}"))
+    return shaping.groupBy(F.col(stratum).alias("stratum")).agg(*paths)
+
 
-    ``holdout`` holds the rates of good documents.  Rejections of every
-    candidate are counted by one aggregation (a row per stratum); the bounds
-    are then computed beside the data, a row per stratum at a time.
+def select_cutoffs(shaping: DataFrame, holdout: DataFrame, rules: tuple[Rule, ...] = RULES, risk: float = RISK, error: float = ERROR, stratum: str = "lang") -> DataFrame:
+    """stratum, n, step and per rule cut_<rule>: the strictest certified setting; null where there is none.
+
+    Both frames hold the rates of good documents.  Rejections at every step are
+    counted by one aggregation (a row per stratum); the bounds are then computed
+    beside the data, a row per stratum at a time.
     """
-    counts = [F.count_if(F.col(f"rate_{r.name}") > c).alias(f"r_{r.name}_{i}") for r in rules for i, c in enumerate(r.candidates)]
-    table = holdout.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("n"), *counts)
-    strata = table.agg(F.count("*").alias("strata"))
-    schema = T.StructType([T.StructField("stratum", holdout.schema[stratum].dataType), T.StructField("n", T.LongType()), *[T.StructField(f"cut_{r.name}", T.DoubleType()) for r in rules]])
+    steps = len(SLACKS) + len(TAILS)
+    paths = settings(shaping, rules, stratum)
+    met = holdout.withColumnRenamed(stratum, "__stratum").join(paths, F.col("__stratum").eqNullSafe(F.col("stratum")))
+    rejects = lambda i: F.array_max(F.array(*[(F.col(f"rate_{r.name}") > F.get(f"path_{r.name}", F.lit(i))).cast("int") for r in rules])) == 1
+    counts = [F.count_if(rejects(i)).alias(f"r_{i}") for i in range(steps)]
+    table = met.groupBy("stratum").agg(F.count("*").alias("n"), *counts, *[F.any_value(f"path_{r.name}").alias(f"path_{r.name}") for r in rules])
+    # The error is split over all strata that have a path, tested or not.
+    strata = paths.agg(F.count("*").alias("strata"))
+    schema = T.StructType([T.StructField("stratum", holdout.schema[stratum].dataType), T.StructField("n", T.LongType()), T.StructField("step", T.IntegerType()), *[T.StructField(f"cut_{r.name}", T.DoubleType()) for r in rules]])
 
     def certify(frames: Iterator) -> Iterator:
         import pandas as pd
@@ -175,17 +198,13 @@ def select_cutoffs(holdout: DataFrame, rules: tuple[Rule, ...] = RULES, risk: fl
         for frame in frames:
             rows = []
             for row in frame.to_dict("records"):
-                level = error / (len(rules) * row["strata"])
-                cutoffs: list[float | None] = []
-                for rule in rules:
-                    certified = None
-                    for i, cutoff in enumerate(rule.candidates):
-                        if upper_bound(int(row[f"r_{rule.name}_{i}"]), int(row["n"]), level) > risk:
-                            break
-                        certified = cutoff
-                    cutoffs.append(certified)
-                rows.append((row["stratum"], row["n"], *cutoffs))
-            yield pd.DataFrame(rows, columns=schema.names)
+                certified = None
+                for i in range(steps):
+                    if upper_bound(int(row[f"r_{i}"]), int(row["n"]), error / row["strata"]) > risk:
+                        break
+                    certified = i
+                rows.append((row["stratum"], row["n"], certified, *[None if certified is None else float(row[f"path_{r.name}"][certified]) for r in rules]))
+            yield pd.DataFrame(rows, columns=schema.names).astype({"step": "Int32"})
 
     # The right side is one row: the number of strata.
     return table.join(F.broadcast(strata)).mapInPandas(certify, schema)
@@ -196,17 +215,23 @@ def base_failed() -> Column:
 
 
 def _measured(docs: DataFrame, text: str) -> DataFrame:
-    """doc_id, lang (null: empty) and the counts, written to the shared folder as a narrow table."""
-    narrow = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), measure(docs[text]).alias("m"))
-    return materialise(narrow.select("doc_id", "lang", "m.*"))
+    """doc_id, lang and the counts, written to the shared folder as a narrow table."""
+    return materialise(docs.select("doc_id", "lang", measure(docs[text]).alias("m")).select("doc_id", "lang", "m.*"))
 
 
-def _cutoffs(measured: DataFrame, labels: DataFrame, rules: tuple[Rule, ...], risk: float, error: float) -> DataFrame:
+def holdouts(measured: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+    """The rates of the labelled good documents that pass the base rules, dealt to the two holdouts."""
     # A document counts once however often its label or its row is repeated.
     good = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select("doc_id")
     rates = measured.filter(~base_failed()).withColumns(rate_columns(rules))
-    holdout = rates.join(good, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return materialise(select_cutoffs(holdout, rules, risk, error).withColumnRenamed("stratum", "lang").drop("n"))
+    rates = rates.join(good, "doc_id", "left_semi").select("doc_id", "lang", *rate_columns(rules)).dropDuplicates(["doc_id"])
+    side = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    return rates.filter(side == 0), rates.filter(side == 1)
+
+
+def _cutoffs(measured: DataFrame, labels: DataFrame, rules: tuple[Rule, ...], risk: float, error: float) -> DataFrame:
+    chosen = select_cutoffs(*holdouts(measured, labels, rules), rules, risk, error)
+    return materialise(chosen.select(F.col("stratum").alias("__lang"), *[f"cut_{r.name}" for r in rules]))
 
 
 def _failed(rules: tuple[Rule, ...]) -> Column:
@@ -217,7 +242,8 @@ def _failed(rules: tuple[Rule, ...]) -> Column:
 def judge(docs: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, risk: float = RISK, error: float = ERROR, text: str = "text") -> DataFrame:
     """doc_id, lang, the counts, base_failed, failed_rules and kept for every document."""
     measured = _measured(docs, text)
-    rated = measured.withColumns(rate_columns(rules)).join(_cutoffs(measured, labels, rules, risk, error), "lang", "left")
+    cutoffs = small(_cutoffs(measured, labels, rules, risk, error))  # a row per language
+    rated = measured.withColumns(rate_columns(rules)).join(cutoffs, F.col("lang").eqNullSafe(F.col("__lang")), "left")
     out = rated.select("doc_id", "lang", *COUNTS, base_failed().alias("base_failed"), _failed(rules).alias("failed_rules"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
@@ -228,7 +254,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULE
     Texts are measured twice and never shuffled: once for the thresholds, once
     beside the row that is kept or dropped.
     """
-    cutoffs = _cutoffs(_measured(docs, "text"), labels, rules, risk, error).withColumnRenamed("lang", "__lang")
-    rows = docs.select(F.struct("*").alias("__row"), F.coalesce("lang", F.lit("")).alias("__lang"), measure(docs["text"]).alias("__m"))
-    rated = rows.select("__row", "__lang", "__m.*").withColumns(rate_columns(rules)).join(cutoffs, "__lang", "left")
+    cutoffs = small(_cutoffs(_measured(docs, "text"), labels, rules, risk, error))  # a row per language
+    rows = docs.select(F.struct("*").alias("__row"), F.col("lang").alias("__own"), measure(docs["text"]).alias("__m"))
+    rated = rows.select("__row", "__own", "__m.*").withColumns(rate_columns(rules)).join(cutoffs, F.col("__own").eqNullSafe(F.col("__lang")), "left")
     return rated.filter(~base_failed() & (F.size(_failed(rules)) == 0)).select("__row.*")

@@ -43,13 +43,61 @@ def test_bound_is_exact():
     assert abs(below - 0.01) < 1e-9 and quality.upper_bound(5, 5, 0.1) == 1.0 and quality.upper_bound(0, 0, 0.1) == 1.0
 
 
-def test_cutoffs_stop_at_the_first_failure(spark):
-    rule = quality.Rule("symbols", "n_symbols / n_words", (0.5, 0.3, 0.1))
-    rows = spark.range(2000).select(F.when(F.col("id") % 2 == 0, "en").otherwise("fr").alias("lang"), F.when(F.col("id") < 400, 0.2).otherwise(0.0).alias("rate_symbols"))
-    got = {r.stratum: r.cut_symbols for r in quality.select_cutoffs(rows, (rule,), 0.02, 0.05).collect()}
-    assert got == {"en": 0.3, "fr": 0.3}
-    few = quality.select_cutoffs(rows.limit(20), (rule,), 0.02, 0.05).collect()
-    assert all(r.cut_symbols is None for r in few)
+def brute_kept(rows, labels, risk=quality.RISK, error=quality.ERROR):
+    """doc_id -> kept, from the counts, by plain loops; also the certified step of each language."""
+    def rates(r):
+        over = lambda a, b: round(a / b + 1e-12, 3) if b else 0.0
+        return (over(r.n_symbols, r.n_words), over(r.n_dup_lines, r.n_lines), over(r.n_upper, r.n_letters), over(r.n_repeat_next, r.n_words), over(r.n_marked, r.n_words), over(r.word_chars, r.n_words))
+
+    def quantile(values, q):
+        place = q * (len(values) - 1)
+        low = int(place)
+        return values[low] if low + 1 == len(values) else values[low] + (place - low) * (values[low + 1] - values[low])
+
+    good = {d for d, q in labels.items() if q == 1}
+    by = {}
+    for r in rows:
+        if r.doc_id in good and not r.base_failed:
+            by.setdefault(r.lang, ({}, {}))[r.side][r.doc_id] = rates(r)
+    with_path = [k for k, v in by.items() if v[0]]
+    cuts, steps = {}, {}
+    for lang in with_path:
+        shaping, held = (list(x.values()) for x in by[lang])
+        columns = [sorted(c) for c in zip(*shaping, strict=True)]
+        path = [[c[-1] * k for c in columns] for k in quality.SLACKS] + [[quantile(c, 1 - t) for c in columns] for t in quality.TAILS]
+        for i, setting in enumerate(path):
+            rejected = sum(any(x > c for x, c in zip(r, setting, strict=True)) for r in held)
+            if quality.upper_bound(rejected, len(held), error / len(with_path)) > risk:
+                break
+            cuts[lang], steps[lang] = setting, i
+    return {r.doc_id: not r.base_failed and not (r.lang in cuts and any(x > c for x, c in zip(rates(r), cuts[r.lang], strict=True))) for r in rows}, steps
+
+
+def test_op1_kept_is_the_certified_setting(documents, labels):
+    marks = {r.doc_id: r.quality for r in labels.collect()}
+    for risk in (0.3, 0.1, quality.RISK):
+        out = quality.judge(documents, labels, risk=risk).withColumn("side", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")).collect()
+        expected, steps = brute_kept(out, marks, risk)
+        assert {r.doc_id: r.kept for r in out} == expected
+        assert all(s < len(quality.SLACKS) + len(quality.TAILS) - 1 for s in steps.values())  # the bound stops the path
+        assert risk < 0.3 or steps
+
+
+def test_path_stops_at_the_first_failure(spark):
+    rule = quality.Rule("symbols", "n_symbols / n_words")
+    rows = spark.range(4000).select(F.when(F.col("id") % 2 == 0, "en").otherwise(None).alias("lang"), (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000).alias("rate_symbols"))
+    got = {r.stratum: r for r in quality.select_cutoffs(rows, rows, (rule,), 0.02, 0.05).collect()}
+    assert set(got) == {"en", None} and all(0.98 < r.cut_symbols < 1 and r.n == 2000 for r in got.values())
+    few = quality.select_cutoffs(rows.limit(20), rows.limit(20), (rule,), 0.02, 0.05).collect()
+    assert all(r.cut_symbols is None and r.step is None for r in few)
+    assert quality.select_cutoffs(rows.limit(0), rows, (rule,)).count() == 0
+
+
+def test_op1_odd_labels(spark, odd_docs):
+    odd = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 0), (99, 1, 1), (6, None, None)], "doc_id long, quality int, toxic int")
+    docs = odd_docs.withColumn("lang", F.when(F.col("doc_id") < 6, F.col("lang")).otherwise(""))
+    rows = quality.judge(docs, odd, risk=0.9).collect()
+    assert len(rows) == 8 and {r.lang for r in rows} == {"en", "fr", None, ""} and all(r.kept == (not r.base_failed) for r in rows)
 
 
 def test_stage_keeps_what_judge_keeps(documents, labels):
@@ -58,7 +106,7 @@ def test_stage_keeps_what_judge_keeps(documents, labels):
     assert kept.columns == docs.columns
     expected = {r.doc_id for r in quality.judge(documents, labels, risk=0.2).filter("kept").collect()}
     assert {r.doc_id for r in kept.collect()} == expected
-    assert len(expected) < quality.judge(documents, labels, risk=1e-9).filter("kept").count()
+    assert len(expected) <= quality.judge(documents, labels, risk=1e-9).filter("kept").count()
 
 
 def toxic_set(spark):
