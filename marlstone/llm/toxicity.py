@@ -5,13 +5,15 @@ beginnings of four to six bytes, hashed into 2^18 columns and taken as present
 or absent.  score = sigmoid(bias + sum w_i + sum_{i<j} <v_i, v_j>): the factors
 v let a pair of terms (an insult beside the mention of a group) weigh more, or
 less, than the two alone.  The machine is fitted with AdaGrad on a bounded
-sample of labelled rows (``SAMPLE_ROWS``, the lowest id hashes).  Columns that a
-likelihood-ratio test finds unrelated to the label carry no weight, and w is
-kept non-negative with an L1 pull, so that a long text's neutral words cannot
+sample of labelled rows (``SAMPLE_ROWS``, the lowest id hashes).  A column that a likelihood-ratio test
+finds unrelated to the label carries no weight w; it keeps its factors if it is
+related to the label among the texts that hold a term which speaks for it, for
+a mention may say nothing alone and everything beside an insult.  w is kept
+non-negative with an L1 pull, so that a long text's neutral words cannot
 outvote what is toxic in it.  Scoring covers every whole text.
 
 Contract: one row per input row; empty and null texts are scored by the bias
-alone.  Labels, language, source and id are never inputs of a score.  A row
+alone.  A document without an id is not held out and not learned from.  Labels, language, source and id are never inputs of a score.  A row
 labelled twice counts with its highest label; null labels and labels naming no
 document are ignored; without any label every score is that of ``NO_LABELS``.
 Repeated rows give repeated results; extra columns do not matter.
@@ -39,6 +41,8 @@ EPOCHS = 12
 #: Least likelihood ratio of a column, and samples that hold it.
 LEAST_G2, LEAST_SEEN = 12.0, 3
 L1 = 2e-4
+#: Spread of the factors at first, their learning rate, and their pull to zero.
+FACTOR_START, FACTOR_STEP, FACTOR_DECAY = 0.07, 0.05, 1e-4
 THRESHOLD = 0.3
 NO_LABELS = -3.0
 HELD_OUT = (4, 2)
@@ -112,16 +116,26 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def related(samples: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Which columns' presence goes with the label (likelihood ratio of the 2 x 2 table)."""
+def _g2(samples: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each column, the likelihood ratio of the 2 x 2 table of its presence and the label, signed by its direction; samples that hold it."""
     size, n, p = 1 << BITS, len(labels), labels.sum()
-    flat = np.concatenate(samples)
+    flat = np.concatenate(samples) if samples else np.zeros(0, np.int64)
     seen = np.bincount(flat, minlength=size).astype(float)
     hits = np.bincount(flat, np.repeat(labels, [len(s) for s in samples]), minlength=size)
     g2 = np.zeros(size)
-    for observed, expected in ((hits, seen * p / n), (seen - hits, seen * (n - p) / n), (p - hits, (n - seen) * p / n), (n - seen - p + hits, (n - seen) * (n - p) / n)):
+    for observed, expected in ((hits, seen * p / max(n, 1)), (seen - hits, seen * (n - p) / max(n, 1)), (p - hits, (n - seen) * p / max(n, 1)), (n - seen - p + hits, (n - seen) * (n - p) / max(n, 1))):
         g2 += np.where(observed > 0, 2 * observed * np.log(np.maximum(observed, 1e-12) / np.maximum(expected, 1e-12)), 0)
-    return (g2 >= LEAST_G2) & (seen >= LEAST_SEEN)
+    return np.where(hits * n >= seen * p, g2, -g2), seen
+
+
+def related(samples: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which columns go with the label alone, and which do so beside one that speaks for it."""
+    g2, seen = _g2(samples, labels)
+    alone = (np.abs(g2) >= LEAST_G2) & (seen >= LEAST_SEEN)
+    speaking = (g2 >= LEAST_G2) & alone
+    beside = np.array([bool(speaking[s].any()) for s in samples])
+    g2, seen = _g2([s for s, some in zip(samples, beside, strict=True) if some], labels[beside])
+    return alone, (np.abs(g2) >= LEAST_G2) & (seen >= LEAST_SEEN)
 
 
 def fit(samples: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Machine:
@@ -131,8 +145,9 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, see
     w, v = np.zeros(size), np.zeros((size, FACTORS))
     if not len(labels):
         return Machine(NO_LABELS, w.astype(np.float32), v.astype(np.float32))
-    active = related(samples, labels)
-    v[active] = rng.normal(0, 0.01, (int(active.sum()), FACTORS))
+    alone, beside = related(samples, labels)
+    active = alone | beside
+    v[active] = rng.normal(0, FACTOR_START, (int(active.sum()), FACTORS))
     samples = [s[active[s]] for s in samples]
     bias, gb = NO_LABELS, 1e-6
     gw, gv = np.full(size, 1e-6), np.full((size, FACTORS), 1e-6)
@@ -149,12 +164,12 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, see
             e = error[rows]
             step_w = np.bincount(back, e, minlength=len(used)) + L1
             pull = e[:, None] * (sums[rows] - vectors)
-            step_v = np.stack([np.bincount(back, pull[:, f], minlength=len(used)) for f in range(FACTORS)], axis=1) + 1e-3 * v[used]
+            step_v = np.stack([np.bincount(back, pull[:, f], minlength=len(used)) for f in range(FACTORS)], axis=1) + FACTOR_DECAY * v[used]
             gw[used] += step_w**2
             gv[used] += step_v**2
             gb += error.sum() ** 2
-            w[used] = np.maximum(w[used] - 0.3 * step_w / np.sqrt(gw[used]), 0)
-            v[used] -= 0.01 * step_v / np.sqrt(gv[used])
+            w[used] = np.where(alone[used], np.maximum(w[used] - 0.3 * step_w / np.sqrt(gw[used]), 0), 0)
+            v[used] -= FACTOR_STEP * step_v / np.sqrt(gv[used])
             bias -= float(0.1 * error.sum() / np.sqrt(gb))
     return Machine(bias, w.astype(np.float32), v.astype(np.float32))
 
@@ -192,7 +207,7 @@ def score(docs: DataFrame, machine: Machine, text: str = "text") -> Column:
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, held_out: tuple[int, int] = HELD_OUT) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     machine = train(docs, labels, held_out)
-    out = docs.select("doc_id", (crc_mod(F.col("doc_id"), held_out[0]) == held_out[1]).alias("held_out"), score(docs, machine).alias("score"))
+    out = docs.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), held_out[0]) == held_out[1], F.lit(False)).alias("held_out"), score(docs, machine).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

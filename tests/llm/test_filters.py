@@ -143,6 +143,53 @@ def test_interactions_are_learned():
     assert ask(1, 5, 9) > 0.5 > max(ask(1, 5), ask(1, 9), ask(1))
 
 
+def test_op5_learns_an_insult_beside_a_mention(spark, monkeypatch):
+    """An insult with a mention is toxic; two insults or two mentions, or one of them alone, are not: no sum of weights tells these apart."""
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(4000):
+        words = [rng.choice("plain words about weather fields rivers bread songs clouds roads".split()) for _ in range(30)]
+        said = rng.sample(["vermin", "leeches", "lowlanders", "islanders"], rng.choice([0, 1, 2, 2]))
+        for word in said:
+            words.insert(rng.randrange(30), word)
+        rows.append((i, " ".join(words), int(len({w.endswith("landers") for w in said}) == 2)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    wrong = []
+    for start in (toxicity.FACTOR_START, 0.0):  # without factors the machine is linear
+        monkeypatch.setattr(toxicity, "FACTOR_START", start)
+        out = toxicity.score_documents(df.select("doc_id", "text"), df.select("doc_id", "toxic")).join(df, "doc_id").filter("held_out").collect()
+        wrong.append(sum(r.predicted != r.toxic for r in out) / len(out))
+    assert len(out) > 800 and wrong[0] < 0.01 and wrong[1] > 0.1
+
+
+def test_op5_score_is_the_machine_s_sum(spark, odd_docs):
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    from marlstone.llm import spans as S
+
+    rng = np.random.default_rng(1)
+    size = 1 << toxicity.BITS
+    machine = toxicity.Machine(-0.3, (rng.random(size) * 0.1).astype(np.float32), rng.normal(0, 0.05, (size, toxicity.FACTORS)).astype(np.float32))
+    got = {r.doc_id: r.score for r in odd_docs.select("doc_id", toxicity.score(odd_docs, machine).alias("score")).collect()}
+    for r in odd_docs.collect():
+        (piece,) = S.slices(pa.array([r.text], pa.string()))
+        columns = toxicity._terms(piece)[1].tolist()
+        assert len(columns) == len(set(columns))
+        total = machine.bias + sum(float(machine.w[c]) for c in columns)
+        total += sum(float(machine.v[a] @ machine.v[b]) for i, a in enumerate(columns) for b in columns[i + 1 :])
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-total))) < 1e-4
+
+
+def test_op5_odd_labels(spark, odd_docs):
+    odd = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (None, 1, 1), (99, 1, 1), (6, 1, None)], "doc_id long, quality int, toxic int")
+    assert len(toxicity.score_documents(odd_docs, odd).collect()) == 8
+
+
 def test_stage_drops_toxic(spark):
     docs, marks = toxic_set(spark)
     kept = toxicity.drop_toxic(docs.withColumn("score", F.lit(1.0)), marks)
