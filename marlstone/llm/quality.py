@@ -178,16 +178,19 @@ def settings(shaping: DataFrame, rules: tuple[Rule, ...] = RULES, stratum: str =
 def select_cutoffs(shaping: DataFrame, holdout: DataFrame, rules: tuple[Rule, ...] = RULES, risk: float = RISK, error: float = ERROR, stratum: str = "lang") -> DataFrame:
     """stratum, n, step and per rule cut_<rule>: the strictest certified setting; null where there is none.
 
-    Both frames hold the rates of good documents.  Rejections at every step are
-    counted by one aggregation (a row per stratum); the bounds are then computed
-    beside the data, a row per stratum at a time.
+    Both frames hold the rates of good documents.  Rejections are counted by the
+    first step that rejects (a row per stratum and step); the bounds are then
+    computed beside the data, a row per stratum at a time.
     """
     steps = len(SLACKS) + len(TAILS)
     paths = settings(shaping, rules, stratum)
     met = holdout.withColumnRenamed(stratum, "__stratum").join(paths, F.col("__stratum").eqNullSafe(F.col("stratum")))
-    rejects = lambda i: F.array_max(F.array(*[(F.col(f"rate_{r.name}") > F.get(f"path_{r.name}", F.lit(i))).cast("int") for r in rules])) == 1
-    counts = [F.count_if(rejects(i)).alias(f"r_{i}") for i in range(steps)]
-    table = met.groupBy("stratum").agg(F.count("*").alias("n"), *counts, *[F.any_value(f"path_{r.name}").alias(f"path_{r.name}") for r in rules])
+    # Settings only get stricter, so the first one that rejects a document tells all that do (0: none).
+    broken = lambda i: F.array_max(F.array(*[F.col(f"rate_{r.name}") > F.get(f"path_{r.name}", i) for r in rules]))
+    first = F.array_position(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), broken), True)
+    some = [F.any_value(f"path_{r.name}").alias(f"path_{r.name}") for r in rules]
+    tally = met.groupBy("stratum", first.alias("first")).agg(F.count("*").alias("k"), *some)
+    table = tally.groupBy("stratum").agg(F.sum("k").alias("n"), F.collect_list("first").alias("first"), F.collect_list("k").alias("k"), *some)
     # The error is split over all strata that have a path, tested or not.
     strata = paths.agg(F.count("*").alias("strata"))
     schema = T.StructType([T.StructField("stratum", holdout.schema[stratum].dataType), T.StructField("n", T.LongType()), T.StructField("step", T.IntegerType()), *[T.StructField(f"cut_{r.name}", T.DoubleType()) for r in rules]])
@@ -199,8 +202,9 @@ def select_cutoffs(shaping: DataFrame, holdout: DataFrame, rules: tuple[Rule, ..
             rows = []
             for row in frame.to_dict("records"):
                 certified = None
+                rejected = np.cumsum(np.bincount(row["first"], row["k"], minlength=steps + 1)[1:])
                 for i in range(steps):
-                    if upper_bound(int(row[f"r_{i}"]), int(row["n"]), error / row["strata"]) > risk:
+                    if upper_bound(int(rejected[i]), int(row["n"]), error / row["strata"]) > risk:
                         break
                     certified = i
                 rows.append((row["stratum"], row["n"], certified, *[None if certified is None else float(row[f"path_{r.name}"][certified]) for r in rules]))

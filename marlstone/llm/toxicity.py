@@ -119,9 +119,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def _g2(samples: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each column, the likelihood ratio of the 2 x 2 table of its presence and the label, signed by its direction; samples that hold it."""
     size, n, p = 1 << BITS, len(labels), labels.sum()
-    flat = np.concatenate(samples) if samples else np.zeros(0, np.int64)
-    seen = np.bincount(flat, minlength=size).astype(float)
-    hits = np.bincount(flat, np.repeat(labels, [len(s) for s in samples]), minlength=size)
+    seen, hits = np.zeros(size), np.zeros(size)
+    for at in range(0, n, 500):  # some samples at a time, to keep the driver small
+        flat = np.concatenate(samples[at : at + 500])
+        seen += np.bincount(flat, minlength=size)
+        hits += np.bincount(flat, np.repeat(labels[at : at + 500], [len(s) for s in samples[at : at + 500]]), minlength=size)
     g2 = np.zeros(size)
     for observed, expected in ((hits, seen * p / max(n, 1)), (seen - hits, seen * (n - p) / max(n, 1)), (p - hits, (n - seen) * p / max(n, 1)), (n - seen - p + hits, (n - seen) * (n - p) / max(n, 1))):
         g2 += np.where(observed > 0, 2 * observed * np.log(np.maximum(observed, 1e-12) / np.maximum(expected, 1e-12)), 0)
@@ -139,18 +141,20 @@ def related(samples: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray,
 
 
 def fit(samples: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Machine:
-    """AdaGrad over shuffled batches of 64 samples."""
+    """AdaGrad over shuffled batches of 64 samples (each the columns of one text)."""
     rng = np.random.default_rng(seed)
     size = 1 << BITS
-    w, v = np.zeros(size), np.zeros((size, FACTORS))
+    full = Machine(NO_LABELS, np.zeros(size, np.float32), np.zeros((size, FACTORS), np.float32))
     if not len(labels):
-        return Machine(NO_LABELS, w.astype(np.float32), v.astype(np.float32))
+        return full
     alone, beside = related(samples, labels)
-    active = alone | beside
-    v[active] = rng.normal(0, FACTOR_START, (int(active.sum()), FACTORS))
-    samples = [s[active[s]] for s in samples]
+    active = np.flatnonzero(alone | beside)
+    place = np.full(size, -1, np.int32)
+    place[active] = np.arange(len(active))
+    samples = [place[s][place[s] >= 0] for s in samples]
+    w, v, alone = np.zeros(len(active)), rng.normal(0, FACTOR_START, (len(active), FACTORS)), alone[active]
     bias, gb = NO_LABELS, 1e-6
-    gw, gv = np.full(size, 1e-6), np.full((size, FACTORS), 1e-6)
+    gw, gv = np.full(len(active), 1e-6), np.full((len(active), FACTORS), 1e-6)
     for _ in range(epochs):
         order = rng.permutation(len(labels))
         for batch in np.array_split(order, max(1, len(order) // 64)):
@@ -171,7 +175,8 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, see
             w[used] = np.where(alone[used], np.maximum(w[used] - 0.3 * step_w / np.sqrt(gw[used]), 0), 0)
             v[used] -= FACTOR_STEP * step_v / np.sqrt(gv[used])
             bias -= float(0.1 * error.sum() / np.sqrt(gb))
-    return Machine(bias, w.astype(np.float32), v.astype(np.float32))
+    full.w[active], full.v[active] = w, v
+    return Machine(bias, full.w, full.v)
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = HELD_OUT, sample_rows: int = SAMPLE_ROWS, text: str = "text") -> Machine:
@@ -186,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = HELD_O
     if not found.num_rows:
         return fit([], np.zeros(0))
     flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-    return fit([flat[a:b].astype(np.int64) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], found.column("toxic").to_numpy().astype(float))
+    return fit([flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], found.column("toxic").to_numpy().astype(float))
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text") -> Column:
