@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +19,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below the folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names that folder; where it is unset (tests on one
-    machine) the warehouse folder of the session serves.
+    ``spark.checkpoint.dir`` names that folder; where it is unset, on a local
+    master only, the warehouse folder of the session serves.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/marlstone-{uuid.uuid4().hex}"
 
 
+#: Most rows of an Arrow batch.  Whole texts go through Python, and a worker holds a batch at a time.
+ARROW_ROWS = 2048
+
+
+def bounded(query: Callable) -> Callable:
+    """The query, run with Arrow batches of no more than ARROW_ROWS rows."""
+
+    @wraps(query)
+    def run(spark: SparkSession, *args, **kwargs) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        rows = int(spark.conf.get(name))
+        if rows <= 0 or rows > ARROW_ROWS:
+            spark.conf.set(name, str(ARROW_ROWS))
+        return query(spark, *args, **kwargs)
+
+    return run
+
+
 #: Rows of a narrow table that one file of it holds, about.
 FILE_ROWS = 100_000
 

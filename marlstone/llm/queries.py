@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import bpe, chat, embeddings, hmm, jaccard, packing, quality, token_counts, toxicity, warc
-from marlstone.llm.common import table
+from marlstone.llm.common import bounded, table
 
 
 def _file(name: str) -> str:
@@ -83,7 +83,7 @@ def op10_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_embedding_dedup, op4_token_counts, op5_toxicity, op6_packing, op7_chat_format, op8_byte_bpe, op9_merkle_audit, op10_hidden_markov)}
+QUERIES = {f.__name__: bounded(f) for f in (op1_quality_rules, op2_jaccard_join, op3_embedding_dedup, op4_token_counts, op5_toxicity, op6_packing, op7_chat_format, op8_byte_bpe, op9_merkle_audit, op10_hidden_markov)}
 
 _LINKS_TO_COMPONENTS = """
 reach AS (
