@@ -37,7 +37,7 @@ NEVER = np.int32(2**31 - 1)
 #: Rows wider than this are merged one by one, from a heap.
 WIDEST = 256
 #: Entries of a worker's table of known pre-tokens; beyond it the table starts anew.
-TABLE_LIMIT = 1 << 20
+TABLE_LIMIT = 1 << 18
 
 
 @dataclass(frozen=True)

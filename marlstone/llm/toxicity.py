@@ -196,14 +196,18 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = HELD_O
 
 def score(docs: DataFrame, machine: Machine, text: str = "text") -> Column:
     """The probability of label 1 of each whole text."""
-    shipped = docs.sparkSession.sparkContext.broadcast(machine)  # fixed size, see Machine
+    used = np.flatnonzero((machine.w != 0) | (machine.v != 0).any(axis=1))  # most columns carry nothing
+    place = np.full(1 << BITS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    # Fixed size, see Machine.
+    shipped = docs.sparkSession.sparkContext.broadcast((place, Machine(machine.bias, machine.w[used], machine.v[used])))
 
     def run(texts: pa.Array) -> pa.Array:
+        place, machine = shipped.value
         parts = [np.zeros(0)]
-        active = (shipped.value.w > 0) | (shipped.value.v != 0).any(axis=1)
         for piece in S.slices(texts):
-            rows, columns = _terms(piece, active)
-            parts.append(_sigmoid(_raw(shipped.value, rows, columns, piece.n)))
+            rows, columns = _terms(piece, place >= 0)
+            parts.append(_sigmoid(_raw(machine, rows, place[columns], piece.n)))
         return pa.array(np.concatenate(parts))
 
     return F.arrow_udf(run, T.DoubleType())(docs[text].cast("string"))
