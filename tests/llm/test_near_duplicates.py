@@ -97,6 +97,17 @@ def test_op2_odd_rows(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 5, 6, 7]
 
 
+def test_op2_one_id_of_two_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(5, a), (5, b), (6, b + "x"), (7, a + "x"), (8, "something else altogether that is said once"), (5, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for _ in range(2):
+        got = sorted((r.doc_id, r.component_id) for r in jaccard.near_duplicates(docs).collect())
+        assert got == [(5, 5), (5, 5), (5, 5), (6, 5), (7, 5), (8, 8)]
+    kept = sorted((r.doc_id, r.text) for r in jaccard.keep_one(docs).collect())
+    assert kept == sorted([(5, a), (5, b), rows[4]])
+
+
 def test_linked_sets_share_a_segment_that_fits():
     rng = np.random.default_rng(3)
     allocation = jaccard.allocate({}, {5: 0.9})
