@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,6 +42,23 @@ def embedding(text: Column, load: Callable[[], Embedder] = hashing_embedder) ->
     return run(text)
 
 
+def overlap_scorer() -> PairScorer:
+    """The share of a question's distinct words that a text holds as words: a deterministic stand-in for a cross-encoder."""
+
+    def words(text: str) -> set[str]:
+        return {w for w in re.split(r"[\t\n\f\r ]+", text) if w}
+
+    def score(asked: list[str], texts: list[str]) -> list[float]:
+        return [len(words(q) & words(t)) / max(len(words(q)), 1) for q, t in zip(asked, texts, strict=True)]
+
+    return score
+
+
+def excerpt_generator(size: int = 300) -> Generator:
+    """Answers by the first characters of the prompt: a deterministic stand-in for a language model."""
+    return lambda prompts: [p[:size] for p in prompts]
+
+
 def pair_score(question: Column, text: Column, load: Callable[[], PairScorer]) -> Column:
     """A cross-encoder's score of each pair."""
 

@@ -63,3 +63,35 @@ def file_score(question: Column, words: Column, keywords: Column) -> Column:
     got = F.aggregate(keywords, F.lit(0.0), lambda a, k: a + part(k))
     most = F.aggregate(keywords, F.lit(0.0), lambda a, k: a + 2.0 * F.length(k))
     return F.coalesce(F.try_divide(got, most), F.lit(0.0))
+
+
+def _first_best(scores: Mapping[str, Column], default: Column) -> tuple[Column, Column]:
+    top = F.greatest(*scores.values()) if len(scores) > 1 else next(iter(scores.values()))
+    out = default
+    for name, score in reversed(scores.items()):
+        out = F.when(score == top, name).otherwise(out)
+    return F.when(top > 0, out).otherwise(default), top
+
+
+def points_category(text: Column, rules: Mapping[str, tuple[Sequence[str], Sequence[str]]], default: str) -> tuple[Column, Column]:
+    """Category and points: one for each keyword in the text, two for each pattern; the first on a tie."""
+    scores = {name: reduce(lambda a, b: a + b, [F.contains(text, F.lit(k)).cast("int") for k in words] + [2 * text.rlike(p).cast("int") for p in patterns]) for name, (words, patterns) in rules.items()}
+    return _first_best(scores, F.lit(default))
+
+
+def named_type(question: Column, names: Mapping[str, Sequence[str]]) -> tuple[Column, Column]:
+    """The best name and its confidence, points / 3 up to 1: 2 points for a keyword, else 0.5 for one of its parts, 3 for the name."""
+    low, scores = F.lower(question), {}
+    for name, keywords in names.items():
+        points = F.when(F.contains(question, F.lit(name)), 3.0).otherwise(0.0)
+        for keyword in keywords:
+            some = reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in keyword.split()])
+            points = points + F.when(F.contains(question, F.lit(keyword)), 2.0).when(some, 0.5).otherwise(0.0)
+        scores[name] = points
+    name, top = _first_best(scores, F.lit(None).cast("string"))
+    return name, F.round(F.least(top / 3, F.lit(1.0)), 6)
+
+
+def asks_for_ideas(kind: Column, keywords: Column, kinds: Sequence[str], words: Sequence[str]) -> Column:
+    """Whether a question is of an open type or has one of the words among its keywords."""
+    return kind.isin(*kinds) | F.arrays_overlap(keywords, F.array(*[F.lit(w) for w in words]))

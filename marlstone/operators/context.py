@@ -78,7 +78,7 @@ def budgeted_context(hits: DataFrame, limit: int = 1500, least_rest: int = 100)
 
 
 def formatted_documents(hits: DataFrame) -> DataFrame:
-    """query_id, formatted: numbered header with the source, then the text, joined by blank lines."""
+    """query_id, formatted, texts: numbered header with the source, then the text, joined by blank lines; their number."""
     block = F.concat(F.lit("Document "), F.col("rank").cast("string"), F.lit(" (source: "), "source", F.lit(")\n"), "text")
     gathered = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))).alias("parts"))
-    return gathered.select("query_id", F.array_join("parts.block", "\n\n").alias("formatted"))
+    return gathered.select("query_id", F.array_join("parts.block", "\n\n").alias("formatted"), F.size("parts").alias("texts"))

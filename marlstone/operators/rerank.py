@@ -70,11 +70,26 @@ def term_frequency_in_hits(reranked: DataFrame, terms: tuple[str, ...]) -> DataF
     return found.groupBy("term").agg(F.count("*").alias("documents"))
 
 
-def context_relevance(question_type: Column, context: Column, keywords: dict[str, tuple[tuple[str, ...], float]], section_tag: str, keyword_tag: str) -> tuple[Column, Column]:
-    """Score and matched keywords of a context for a question type: weight per keyword, 0.2 and 0.3 for tags."""
+def context_relevance(question_type: Column, context: Column, keywords: dict[str, tuple[tuple[str, ...], float]], section_tag: str = "", keyword_tag: str = "") -> tuple[Column, Column]:
+    """Score and matched keywords of a context for a question type: weight per keyword, 0.2 and 0.3 for tags (an empty one is not looked for)."""
     score, hits = F.lit(0.0), F.lit(0)
     for kind, (terms, weight) in reversed(keywords.items()):
         n = reduce(lambda a, b: a + b, [F.contains(context, F.lit(t)).cast("int") for t in terms])
         score, hits = F.when(question_type == kind, weight * n).otherwise(score), F.when(question_type == kind, n).otherwise(hits)
-    score = score + F.when(F.contains(context, F.lit(section_tag)), 0.2).otherwise(0.0) + F.when(F.contains(context, F.lit(keyword_tag)), 0.3).otherwise(0.0)
+    for tag, points in ((section_tag, 0.2), (keyword_tag, 0.3)):
+        if tag:
+            score = score + F.when(F.contains(context, F.lit(tag)), points).otherwise(0.0)
     return F.round(score, 6), hits
+
+
+def answer_quality(question_type: Column, answer: Column, terms: dict[str, tuple[str, ...]]) -> Column:
+    """0.2 for more than 20 characters, 0.2 for each term of the question's type; at most 1."""
+    hits = F.lit(0)
+    for kind, words in reversed(terms.items()):
+        hits = F.when(question_type == kind, reduce(lambda a, b: a + b, [F.contains(answer, F.lit(w)).cast("int") for w in words])).otherwise(hits)
+    return F.round(F.least(F.when(F.length(answer) > 20, 0.2).otherwise(0.0) + 0.2 * hits, F.lit(1.0)), 6)
+
+
+def prompt_effectiveness(relevance: Column, quality: Column, says_not_found: Column, least: float = 0.2) -> tuple[Column, Column]:
+    """Whether 'not found' was said exactly where the context is irrelevant, and the mean of relevance and quality."""
+    return says_not_found == (relevance < least), F.round((relevance + quality) / 2, 6)

@@ -155,18 +155,30 @@ own AS (SELECT query_id, 'vector' AS channel, chunk_id AS key, rank, 1 / (1 + di
 per AS (SELECT query_id, key, channel, max(rank) AS rank FROM own GROUP BY ALL)"""
 
 
-def channels(spark: SparkSession, sf_dir: str, without_vector: bool = False) -> DataFrame:
-    """query_id, channel, key, rank, score: vector and lexical hits of the same questions; with
-    ``without_vector`` also of the questions that have no vector, and so lexical hits alone."""
-    docs = corpus(spark, sf_dir)
-    asking = docs.filter("chunk_id % 20 = 0")
+def main_word_questions(spark: SparkSession, sf_dir: str, without_vector: bool = False) -> DataFrame:
+    """query_id, question of the hybrid queries; with ``without_vector`` also of the documents that have no vector."""
+    asking = corpus(spark, sf_dir).filter("chunk_id % 20 = 0")
     if not without_vector:
         asking = asking.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id")), "chunk_id", "left_semi")
     words = lexical.document_keywords(asking, d_tokens())
-    asked = words.groupBy(F.col("chunk_id").alias("query_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("rank", "term")))["term"], " ").alias("question"))
-    bm25 = lexical.top_k(lexical.bm25_scores(docs, asked, d_tokens(), q_tokens()), 2 * K).select("query_id", F.lit("bm25").alias("channel"), F.col("chunk_id").alias("key"), "rank", "score")
-    near = vector_hits(spark, sf_dir, 2 * K).join(asked.select("query_id"), "query_id", "left_semi")
-    return near.select("query_id", F.lit("vector").alias("channel"), F.col("chunk_id").alias("key"), "rank", vector.similarity(F.col("distance")).alias("score")).unionByName(bm25)
+    return words.groupBy(F.col("chunk_id").alias("query_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("rank", "term")))["term"], " ").alias("question"))
+
+
+def vector_channel(spark: SparkSession, sf_dir: str, asked: DataFrame, k: int) -> DataFrame:
+    near = vector_hits(spark, sf_dir, k).join(asked.select("query_id"), "query_id", "left_semi")
+    return near.select("query_id", F.lit("vector").alias("channel"), F.col("chunk_id").alias("key"), "rank", vector.similarity(F.col("distance")).alias("score"))
+
+
+def channels(spark: SparkSession, sf_dir: str, without_vector: bool = False) -> DataFrame:
+    """query_id, channel, key, rank, score: vector and lexical hits of the same questions; with
+    ``without_vector`` also of the questions that have no vector, and so lexical hits alone."""
+    return channels_of(spark, sf_dir, main_word_questions(spark, sf_dir, without_vector), 2 * K)
+
+
+def channels_of(spark: SparkSession, sf_dir: str, asked: DataFrame, k: int) -> DataFrame:
+    scores = lexical.bm25_scores(corpus(spark, sf_dir), asked, d_tokens(), q_tokens())
+    bm25 = lexical.top_k(scores, k).select("query_id", F.lit("bm25").alias("channel"), F.col("chunk_id").alias("key"), "rank", "score")
+    return vector_channel(spark, sf_dir, asked, k).unionByName(bm25)
 
 
 def _rrf(weights: dict[str, float], rows: str = "per") -> str:
