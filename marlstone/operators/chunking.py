@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,10 +14,10 @@ from marlstone.functions import text as X
 def fixed_chunks(corpus: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
     """doc_id, chunk_idx, start, chunk: windows of ``size`` characters; blank ones are dropped, ends stripped."""
     starts = F.when(F.length("text") > 0, F.sequence(F.lit(0), F.length("text") - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
-    cut = corpus.select("doc_id", "text", F.posexplode(starts).alias("at", "start"))
-    cut = cut.select("doc_id", "at", "start", X.strip(F.substring("text", F.col("start") + 1, F.lit(size))).alias("chunk")).filter("chunk <> ''")
-    order = Window.partitionBy("doc_id").orderBy("at")
-    return cut.select("doc_id", (F.row_number().over(order) - 1).alias("chunk_idx"), "start", "chunk")
+    # Numbered within the array, so no row leaves its partition.
+    cut = F.transform(starts, lambda s: F.struct(s.alias("start"), X.strip(F.substring(F.col("text"), s + 1, F.lit(size))).alias("chunk")))
+    rows = corpus.select("doc_id", F.posexplode(F.filter(cut, lambda c: c.chunk != "")).alias("chunk_idx", "c"))
+    return rows.select("doc_id", "chunk_idx", "c.start", "c.chunk")
 
 
 def section_title(line: Column, patterns: tuple[str, ...], keywords: tuple[str, ...] = ()) -> Column:
@@ -28,20 +28,51 @@ def section_title(line: Column, patterns: tuple[str, ...], keywords: tuple[str,
     return F.when(title != "", title)
 
 
-def sections(corpus: DataFrame, patterns: tuple[str, ...], keywords: tuple[str, ...] = (), least: int = 50) -> DataFrame:
-    """doc_id, section_idx, title, start_pos, end_pos, body of sections longer than ``least``.
+def section_level(line: Column, levels: Sequence[tuple[int, str]], default: int = 2) -> Column:
+    """The level of the first pattern that a title's line matches."""
+    out = F.lit(default)
+    for level, pattern in reversed(levels):
+        out = F.when(line.rlike(pattern), level).otherwise(out)
+    return out
+
+
+def sections(corpus: DataFrame, patterns: tuple[str, ...], keywords: tuple[str, ...] = (), least: int = 50, levels: Sequence[tuple[int, str]] = ()) -> DataFrame:
+    """doc_id, section_idx, title, level, start_pos, end_pos, body of sections longer than ``least``.
 
     A section runs from its title's line to the next title; text before the first is not part of one.
+    start_pos is the length of the lines before the title, joined.  Each line travels once, to its document; a section's body is put together from its lines.
     """
-    lines = corpus.select("doc_id", "text", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    lines = corpus.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     order = Window.partitionBy("doc_id").orderBy("n")
-    before = F.coalesce(F.sum(F.length("line")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = lines.withColumn("start_pos", before + F.greatest(F.col("n") - 1, F.lit(0))).withColumn("title", section_title(X.strip(F.col("line")), patterns, keywords))
-    titled = placed.filter("title is not null")
-    ended = titled.withColumn("end_pos", F.coalesce(F.lead("start_pos").over(order), F.length("text")))
+    stripped = X.strip(F.col("line"))
+    placed = lines.withColumn("start", F.coalesce(F.sum(F.length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = placed.withColumn("title", section_title(stripped, patterns, keywords)).withColumn("level", F.when(F.col("title").isNotNull(), section_level(stripped, levels)))
+    numbered = placed.withColumn("section", F.count("title").over(order)).filter("section > 0")
+    whole = numbered.groupBy("doc_id", "section").agg(
+        F.min_by("title", "n").alias("title"), F.min_by("level", "n").alias("level"), F.greatest(F.min("start") - 1, F.lit(0)).alias("start_pos"),
+        F.max(F.col("start") + F.length("line")).alias("last"), F.array_sort(F.collect_list(F.struct("n", "line"))).alias("lines"),
+    )
+    following = Window.partitionBy("doc_id").orderBy("section")
+    ended = whole.withColumn("end_pos", F.coalesce(F.lead("start_pos").over(following), F.col("last")))
     kept = ended.filter(F.col("end_pos") - F.col("start_pos") > least)
-    body = X.strip(F.substring("text", F.col("start_pos") + 1, F.col("end_pos") - F.col("start_pos")))
-    return kept.select("doc_id", (F.row_number().over(order) - 1).alias("section_idx"), "title", "start_pos", "end_pos", body.alias("body")).filter("body <> ''")
+    body = X.strip(F.array_join("lines.line", "\n"))
+    return kept.select("doc_id", (F.row_number().over(following) - 1).alias("section_idx"), "title", "level", "start_pos", "end_pos", body.alias("body")).filter("body <> ''")
+
+
+def enriched_section(title: Column, body: Column, level: Column, keywords: Column, entities: Column, marks: Mapping[int, str], tags: tuple[str, str, str]) -> Column:
+    """The body below its title, which carries a mark for the level, tags for keywords in it and for the file's
+    entities, and further tags for entities that the body has and the title has not.
+
+    keywords, entities: array columns; tags: prefixes of the three kinds.
+    """
+    mark = F.coalesce(F.create_map(*[F.lit(x) for pair in marks.items() for x in pair])[level], F.lit(""))
+
+    def tagged(words: Column, prefix: str) -> Column:
+        return F.array_join(F.transform(words, lambda w: F.concat(F.lit(" " + prefix), w)), "")
+
+    in_title = F.filter(keywords, lambda w: F.contains(title, w))
+    in_body = F.filter(entities, lambda w: F.contains(body, w) & ~F.contains(title, w))
+    return F.concat(mark, title, tagged(in_title, tags[0]), tagged(entities, tags[1]), tagged(in_body, tags[2]), F.lit("\n\n"), body)
 
 
 def paragraphs(text: Column, least: int = 20) -> Column:

@@ -13,30 +13,41 @@ def length_weight(n: Column, low: int = 50, high: int = 300, least: float = 0.5)
     return F.when(n < low, F.greatest(F.lit(least), n / low)).when(n <= high, 1.0).otherwise(F.greatest(F.lit(least), high / n))
 
 
-def paragraph_scores(contexts: DataFrame, keywords: Column, keyword_weight: float = 0.4, similarity_weight: float = 0.6) -> DataFrame:
-    """query_id, idx, paragraph, score: keyword share and word overlap by a length weight.
+def paragraph_scores(contexts: DataFrame, keywords: Column, keyword_weight: Column | float = 0.4, similarity_weight: Column | float = 0.6) -> DataFrame:
+    """query_id, idx, paragraph, score: keyword share and similarity to the question, by a length weight.
 
-    ``contexts``: query_id, question, text.  keywords: the question's, an array column.
+    ``contexts``: query_id, question, text.  keywords: the question's, an array column.  The
+    similarity is that of ``tfidf_similarity``; weights may be columns of the question.
     """
-    cut = contexts.select("query_id", keywords.alias("words"), F.array_distinct(X.tokens(F.col("question"))).alias("asked"), F.posexplode(paragraphs(F.col("text"))).alias("idx", "paragraph"))
+    weights = [w if isinstance(w, Column) else F.lit(w) for w in (keyword_weight, similarity_weight)]
+    cut = contexts.select("query_id", "question", keywords.alias("words"), weights[0].alias("by_word"), weights[1].alias("by_text"), F.posexplode(paragraphs(F.col("text"))).alias("idx", "paragraph"))
+    pairs = cut.select(F.struct("query_id", "idx").alias("pair_id"), F.col("question").alias("a"), F.col("paragraph").alias("b"))
+    alike = tfidf_similarity(pairs).select("pair_id.query_id", "pair_id.idx", "similarity")
     low = F.lower("paragraph")
     share = F.coalesce(F.try_divide(F.size(F.filter("words", lambda w: F.contains(low, w))), F.size("words")), F.lit(0.0))
-    have = F.array_distinct(X.tokens(F.col("paragraph")))
-    both = F.size(F.array_intersect("asked", have))
-    cosine = F.coalesce(F.try_divide(both.cast("double"), F.sqrt(F.size("asked").cast("double") * F.size(have))), F.lit(0.0))
-    score = (keyword_weight * share + similarity_weight * cosine) * length_weight(F.length("paragraph"))
-    return cut.select("query_id", "idx", "paragraph", F.round(score, 6).alias("score"))
+    score = (F.col("by_word") * share + F.col("by_text") * F.coalesce("similarity", F.lit(0.0))) * length_weight(F.length("paragraph"))
+    return cut.join(alike, ["query_id", "idx"], "left").select("query_id", "idx", "paragraph", F.round(score, 6).alias("score"))
 
 
-def compress(scored: DataFrame, limit: int = 1500) -> DataFrame:
-    """query_id, context, kept: best paragraphs until the limit would be passed; a first one too long is cut."""
+def compress(scored: DataFrame, contexts: DataFrame | None = None, limit: int = 1500) -> DataFrame:
+    """query_id, context, kept: best paragraphs until the limit would be passed; a first one too long is cut.
+
+    With ``contexts`` (query_id, text) a text of at most ``limit`` characters stays as it is, and
+    ratio says what is left of each text.
+    """
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "idx")
     running = F.sum(F.length("paragraph")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     placed = scored.withColumn("place", F.row_number().over(order)).withColumn("running", running)
     kept = placed.filter((F.col("running") <= limit) | (F.col("place") == 1))
     shown = F.when((F.col("place") == 1) & (F.col("running") > limit), F.concat(F.substring("paragraph", 1, limit - 3), F.lit("..."))).otherwise(F.col("paragraph"))
     gathered = kept.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", shown.alias("shown")))).alias("parts"))
-    return gathered.select("query_id", F.array_join("parts.shown", "\n\n").alias("context"), F.size("parts").alias("kept"))
+    if contexts is None:
+        return gathered.select("query_id", F.array_join("parts.shown", "\n\n").alias("context"), F.size("parts").alias("kept"))
+    whole = contexts.select("query_id", "text").join(gathered, "query_id", "left")
+    context = F.when(F.length("text") <= limit, F.col("text")).otherwise(F.coalesce(F.array_join("parts.shown", "\n\n"), F.lit("")))
+    ratio = F.coalesce(F.try_divide(F.length("context").cast("double"), F.length("text")), F.lit(1.0))
+    sized = whole.select("query_id", "text", context.alias("context"), F.coalesce(F.size("parts"), F.lit(0)).alias("kept"))
+    return sized.select("query_id", "context", "kept", F.round(ratio, 6).alias("ratio"))
 
 
 def tfidf_similarity(pairs: DataFrame, least: int = 1, most: int = 3) -> DataFrame:

@@ -58,9 +58,9 @@ def max_merge(vector: DataFrame, lexical: DataFrame, k: int, vector_weight: floa
 
 
 def detailed_hits(vector: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
-    """Either channel's hits; a key found by both is hybrid and keeps the vector score."""
+    """Either channel's hits, lexical ones scored by their rank, 1 / (1 + place); a key found by both is hybrid and keeps the vector score."""
     v = vector.groupBy("query_id", "key").agg(F.max("score").alias("v"))
-    b = lexical.groupBy("query_id", "key").agg(F.max("score").alias("b"))
+    b = lexical.groupBy("query_id", "key").agg((1 / F.min("rank")).alias("b"))
     both = v.join(b, ["query_id", "key"], "full_outer")
     kind = F.when(F.col("b").isNull(), "vector").when(F.col("v").isNull(), "bm25").otherwise("hybrid")
     return _rank(both.select("query_id", "key", F.round(F.coalesce("v", "b"), 6).alias("score"), kind.alias("source")), "score", k)

@@ -37,17 +37,30 @@ def idf(posted: DataFrame, stats: DataFrame) -> DataFrame:
     return raw.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+def term_statistics(corpus: DataFrame, tokens: Column) -> tuple[DataFrame, DataFrame]:
+    """(term, idf) and the one row (n, avgdl), from one pass over the texts that shuffles a row for each term and task.
+
+    idf is that of ``idf``; the empty term, which no text has, stands for the documents themselves.
+    """
+    seen = corpus.select(tokens.alias("toks")).select(F.size("toks").alias("dl"), F.explode(F.array_append(F.coalesce(F.array_distinct("toks"), F.array().cast("array<string>")), F.lit(""))).alias("term"))
+    counted = seen.groupBy("term").agg(F.count("*").alias("df"), F.avg("dl").alias("avgdl"))
+    stats = counted.filter("term = ''").select(F.col("df").alias("n"), "avgdl")
+    raw = counted.filter("term <> ''").join(F.broadcast(stats.select("n"))).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.agg(F.avg("raw").alias("mean"))  # one row
+    return raw.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf")), stats
+
+
 def bm25_scores(corpus: DataFrame, questions: DataFrame, tokens: Column, query_tokens: Column, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query_id, chunk_id, score of every pair that shares a term."""
-    posted = postings(corpus, tokens)
-    stats = corpus_stats(corpus, tokens)
+    weights, stats = term_statistics(corpus, tokens)
     terms = question_terms(questions, query_tokens)
-    wanted = terms.join(idf(posted, stats), "term")
-    lengths = corpus.select("chunk_id", F.size(tokens).alias("dl"))
-    # Only postings of asked terms meet the questions; lengths and means follow by the chunk.
-    hits = posted.join(wanted, "term").join(lengths, "chunk_id").join(F.broadcast(stats))
+    # Terms that nobody asks for go before postings are counted and shuffled; a posting's part of a score is made once.
+    words = corpus.select("chunk_id", tokens.alias("toks")).select("chunk_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    posted = words.join(terms.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
     tf, norm = F.col("tf"), 1 - b + b * F.col("dl") / F.col("avgdl")
-    return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * norm)), 6).alias("score"))
+    parts = posted.join(F.broadcast(stats)).select("chunk_id", "term", (tf * (k1 + 1) / (tf + k1 * norm)).alias("part"))
+    hits = parts.join(terms.join(weights, "term"), "term")
+    return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * F.col("part")), 6).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, by: Sequence[Column] | None = None, partition: str = "query_id") -> DataFrame:

@@ -19,36 +19,72 @@ FACT_PATTERNS = (r"[0-9]+", r"[A-Z][a-z]+tion", r"[a-z]+@[a-z]+")
 FACT_INDICATORS = "[0-9]|tion|thing"
 
 _PARAGRAPHS = f"list_filter(list_transform(regexp_split_to_array(text, '[\\n。！？]'), lambda x: {sql_strip('x')}), lambda x: x <> '')"
-_SCORED = f"""{SQL_BM25},
+
+
+def _grams(c: str) -> str:
+    return f"list_concat({c}, list_transform(range(1, len({c})), lambda i: {c}[i] || {c}[i + 1]), list_transform(range(1, len({c}) - 1), lambda i: {c}[i] || {c}[i + 1] || {c}[i + 2]))"
+
+
+_ADAPTIVE = {"thing": (0.9, 0.1), "of the": (0.7, 0.3), "tion": (0.5, 0.5)}
+
+
+def _scored_sql(by_word: str = "0.4", by_text: str = "0.6") -> str:
+    return f"""{SQL_BM25},
 best AS (SELECT query_id, question, text FROM hits WHERE rank = 1),
 ps AS (SELECT query_id, question, {_PARAGRAPHS} AS all_ps FROM best),
 kept AS (SELECT query_id, question, CASE WHEN len(list_filter(all_ps, lambda x: length(x) >= 20)) = 0 THEN all_ps ELSE list_filter(all_ps, lambda x: length(x) >= 20) END AS ps FROM ps),
 cut AS (SELECT query_id, question, unnest(ps) AS paragraph, generate_subscripts(ps, 1) - 1 AS idx FROM kept),
-meas AS (SELECT query_id, idx, paragraph, ({sql_tokens('question')})[1:10] AS words, list_distinct({sql_tokens('question')}) AS asked, list_distinct({sql_tokens('paragraph')}) AS have, length(paragraph) AS n FROM cut),
-scored AS (SELECT query_id, idx, paragraph, n, round((0.4 * coalesce(len(list_filter(words, lambda w: contains(lower(paragraph), w)))::DOUBLE / nullif(len(words), 0), 0) + 0.6 * coalesce(len(list_intersect(asked, have)) / nullif(sqrt(len(asked)::DOUBLE * len(have)), 0), 0))
+letters AS (SELECT query_id, idx, string_split(lower(question), '') AS a, string_split(lower(paragraph), '') AS b FROM cut),
+g AS (SELECT query_id, idx, unnest({_grams('a')}) AS gram, 1 AS x, 0 AS y FROM letters UNION ALL SELECT query_id, idx, unnest({_grams('b')}), 0, 1 FROM letters),
+c AS (SELECT query_id, idx, gram, sum(x)::DOUBLE AS x, sum(y)::DOUBLE AS y FROM g GROUP BY ALL), w AS (SELECT *, CASE WHEN x > 0 AND y > 0 THEN 1.0 ELSE ln(1.5) + 1 END AS w FROM c),
+alike AS (SELECT query_id, idx, round(coalesce(sum(x * y * w * w) / nullif(sqrt(sum(x * x * w * w) * sum(y * y * w * w)), 0), 0), 6) AS similarity FROM w GROUP BY query_id, idx),
+meas AS (SELECT query_id, idx, question, paragraph, ({sql_tokens('question')})[1:10] AS words, similarity, length(paragraph) AS n FROM cut JOIN alike USING (query_id, idx)),
+scored AS (SELECT query_id, idx, paragraph, n, round(({by_word} * coalesce(len(list_filter(words, lambda w: contains(lower(paragraph), w)))::DOUBLE / nullif(len(words), 0), 0) + {by_text} * similarity)
   * CASE WHEN n < 50 THEN greatest(0.5, n / 50) WHEN n <= 300 THEN 1.0 ELSE greatest(0.5, 300 / n) END, 6) AS score FROM meas)"""
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = bm25_hits(spark, sf_dir).filter("rank = 1").select("query_id", "question", "text")
-    return context.paragraph_scores(best, F.slice(q_tokens(), 1, 10))
+_SCORED = _scored_sql()
+_COMPRESSED = """
+placed AS (SELECT *, row_number() OVER w AS place, sum(n) OVER (PARTITION BY query_id ORDER BY score DESC, idx ROWS UNBOUNDED PRECEDING) AS running FROM scored WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, idx)),
+shown AS (SELECT query_id, place, CASE WHEN place = 1 AND running > 1500 THEN substring(paragraph, 1, 1497) || '...' ELSE paragraph END AS p FROM placed WHERE running <= 1500 OR place = 1),
+joined AS (SELECT query_id, string_agg(p, chr(10) || chr(10) ORDER BY place) AS context, count(*) AS kept FROM shown GROUP BY query_id),
+fitted AS (SELECT query_id, text, CASE WHEN length(text) <= 1500 THEN text ELSE coalesce(context, '') END AS context, coalesce(kept, 0) AS kept FROM best LEFT JOIN joined USING (query_id))
+SELECT query_id, md5(context) AS context_hash, kept, round(coalesce(length(context) / nullif(length(text), 0), 1.0), 6) AS ratio FROM fitted"""
+
+
+def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25_hits(spark, sf_dir).filter("rank = 1").select("query_id", "question", "text")
 
 
 @query("paragraph_scores", f"WITH {_SCORED} SELECT query_id, idx, md5(paragraph) AS paragraph_hash, score FROM scored")
 def paragraph_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).select("query_id", "idx", F.md5("paragraph").alias("paragraph_hash"), "score")
+    scored = context.paragraph_scores(_best(spark, sf_dir), F.slice(q_tokens(), 1, 10))
+    return scored.select("query_id", "idx", F.md5("paragraph").alias("paragraph_hash"), "score")
 
 
-@query("context_compress", f"""WITH {_SCORED},
-placed AS (SELECT *, row_number() OVER w AS place, sum(n) OVER (PARTITION BY query_id ORDER BY score DESC, idx ROWS UNBOUNDED PRECEDING) AS running FROM scored WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, idx)),
-shown AS (SELECT query_id, place, CASE WHEN place = 1 AND running > 1500 THEN substring(paragraph, 1, 1497) || '...' ELSE paragraph END AS p FROM placed WHERE running <= 1500 OR place = 1)
-SELECT query_id, md5(string_agg(p, chr(10) || chr(10) ORDER BY place)) AS context_hash, count(*) AS kept FROM shown GROUP BY query_id""")
+@query("context_compress", f"WITH {_SCORED}, {_COMPRESSED}")
 def context_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.compress(_scored(spark, sf_dir)).select("query_id", F.md5("context").alias("context_hash"), "kept")
+    best = _best(spark, sf_dir)
+    return context.compress(context.paragraph_scores(best, F.slice(q_tokens(), 1, 10)), best).select("query_id", F.md5("context").alias("context_hash"), "kept", "ratio")
 
 
-def _grams(c: str) -> str:
-    return f"list_concat({c}, list_transform(range(1, len({c})), lambda i: {c}[i] || {c}[i + 1]), list_transform(range(1, len({c}) - 1), lambda i: {c}[i] || {c}[i + 1] || {c}[i + 2]))"
+def _by_type(part: int) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(question, '{p}') THEN {w[part]}" for p, w in _ADAPTIVE.items()) + f" ELSE {(0.4, 0.6)[part]} END"
+
+
+@query("adaptive_compress", f"WITH {_scored_sql(_by_type(0), _by_type(1))}, {_COMPRESSED}")
+def adaptive_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weights of keywords and similarity follow the question's type."""
+    best = _best(spark, sf_dir)
+
+    def weight(part: int) -> Column:
+        out = F.lit((0.4, 0.6)[part])
+        for pattern, weights in reversed(_ADAPTIVE.items()):
+            out = F.when(F.col("question").rlike(pattern), weights[part]).otherwise(out)
+        return out
+
+    scored = context.paragraph_scores(best, F.slice(q_tokens(), 1, 10), weight(0), weight(1))
+    return context.compress(scored, best).select("query_id", F.md5("context").alias("context_hash"), "kept", "ratio")
 
 
 @query("tfidf_similarity", f"""WITH {SQL_BM25}, p AS (SELECT query_id AS pair_id, string_split(lower(question), '') AS a, string_split(lower(text), '') AS b FROM hits WHERE rank = 1),

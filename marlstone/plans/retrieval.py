@@ -255,7 +255,7 @@ def max_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.max_merge(*_sides(spark, sf_dir), K, 0.4, 0.6)
 
 
-@query("detailed_hits", f"""WITH {_SIDES}, m AS (SELECT query_id, key, {_KIND} AS source, round(coalesce(vs.score, bs.score), 6) AS score FROM vs FULL JOIN bs USING (query_id, key))
+@query("detailed_hits", f"""WITH {_SIDES.replace("bs AS (SELECT query_id, key, score FROM own", "bs AS (SELECT query_id, key, 1 / (1 + (rank - 1)) AS score FROM own")}, m AS (SELECT query_id, key, {_KIND} AS source, round(coalesce(vs.score, bs.score), 6) AS score FROM vs FULL JOIN bs USING (query_id, key))
 SELECT query_id, key, source, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM m QUALIFY rank <= {K}""")
 def detailed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.detailed_hits(*_sides(spark, sf_dir), K)

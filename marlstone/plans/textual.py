@@ -86,6 +86,30 @@ def detect_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.sections(corpus(spark, sf_dir), L.PROSE_SECTIONS).select("doc_id", "section_idx", "title", "start_pos", "end_pos", F.md5("body").alias("body_hash"))
 
 
+_MARKS, _TAGS = {1: "[main] ", 2: "[sub] ", 3: "[detail] "}, ("#key:", "#file:", "#both:")
+
+
+def _enriched_sql() -> str:
+    tagged = lambda words, prefix: f"array_to_string(list_transform({words}, lambda w: ' {prefix}' || w), '')"
+    level = "CASE " + " ".join(f"WHEN regexp_matches(first_line, '{p}') THEN {n}" for n, p in L.PROSE_LEVELS) + " ELSE 2 END"
+    entities = "list_filter(list_distinct(regexp_extract_all(source, '[A-Za-z]+')), lambda w: length(w) >= 2)"
+    return f"""{_sections_sql()},
+lined AS (SELECT s.doc_id, section_idx, title, body, {sql_strip("string_split(body, chr(10))[1]")} AS first_line, list_sort({entities}) AS e FROM sections s JOIN documents d USING (doc_id) WHERE body <> ''),
+levelled AS (SELECT *, {level} AS level FROM lined)
+SELECT doc_id, section_idx, level, md5(CASE level {' '.join(f"WHEN {n} THEN '{m}'" for n, m in _MARKS.items())} END || title || {tagged(f"list_filter({sql_list(L.PROSE_KEYWORDS)}, lambda w: contains(title, w))", _TAGS[0])} || {tagged('e', _TAGS[1])} || {tagged('list_filter(e, lambda w: contains(body, w) AND NOT contains(title, w))', _TAGS[2])} || chr(10) || chr(10) || body) AS content_hash FROM levelled"""
+
+
+@query("section_enrichment", f"WITH {_enriched_sql()}")
+def section_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections with their level, below a title that names keywords and the file's entities."""
+    docs = corpus(spark, sf_dir)
+    found = chunking.sections(docs, L.PROSE_SECTIONS, levels=L.PROSE_LEVELS).join(docs.select("doc_id", "source"), "doc_id")
+    words = F.array(*[F.lit(k) for k in L.PROSE_KEYWORDS])
+    named = F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all("source", F.lit("([A-Za-z]+)"), F.lit(1)), lambda w: F.length(w) >= 2)))
+    content = chunking.enriched_section(F.col("title"), F.col("body"), F.col("level"), words, named, _MARKS, _TAGS)
+    return found.select("doc_id", "section_idx", "level", F.md5(content).alias("content_hash"))
+
+
 @query("structure_report", f"""WITH {_sections_sql()}, n AS (SELECT doc_id, count(*) AS sections FROM sections WHERE body <> '' GROUP BY doc_id)
 SELECT d.doc_id, length(d.text) AS chars, coalesce(n.sections, 0) AS sections, coalesce(n.sections, 0) > 3 AS structured FROM documents d LEFT JOIN n USING (doc_id)""")
 def structure_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ from marlstone.plans import catalog
 CHOSEN = """bm25_topk bm25_corpus_stats tf_overlap exact_phrase forced_recall lexical_enhanced vector_topk embedding_normalise hybrid_flagship
 rrf_three_sources diversity_select balanced_rerank enhanced_rerank tokens_stats normalise_text doc_keywords chunk_fixed detect_sections paragraph_tags
 page_text category_classify open_question_type query_rewrite target_files batch_answers context_compress rouge1 bleu2 fact_extract answer_confidence
-snapshot_diff chunk_hash new_chunks version_upsert debounced_updates usage_flags""".split()
+snapshot_diff chunk_hash new_chunks version_upsert debounced_updates usage_flags multi_stage_retrieve strategy_retrieve two_stage_rerank model_rerank
+content_merge file_aware_retrieve optimized_retrieve answer_driver boost_filter pattern_classify name_scores creative_mode section_enrichment detailed_hits
+adaptive_compress bm25_whitespace""".split()
 
 
 @pytest.mark.parametrize("name", CHOSEN)
