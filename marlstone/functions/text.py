@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: White space in the Unicode sense, which Java's \s and trim() do not cover.
 SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-WORD = r"[\p{L}\p{N}]+"
+NO_WORD = r"[^\p{L}\p{N}]+"
 
 
 def strip(text: Column) -> Column:
@@ -34,9 +34,12 @@ def tokens(text: Column, lower: bool = True, least: int = 2, lexicon: Sequence[s
     ideographs that no term covers falls into pairs.  Tokens shorter than
     ``least`` and stopwords are dropped.
     """
-    terms = "|".join(rf"\Q{t}\E" for t in sorted(lexicon, key=len, reverse=True))
-    pattern = f"({terms + '|' if terms else ''}{r'[一-龥]{1,2}|[\p{L}\p{N}&&[^一-龥]]+' if lexicon else WORD})"
-    found = F.regexp_extract_all(F.lower(text) if lower else text, F.lit(pattern), F.lit(1))
+    cased = F.lower(text) if lower else text
+    if lexicon:
+        terms = "|".join(rf"\Q{t}\E" for t in sorted(lexicon, key=len, reverse=True))
+        found = F.regexp_extract_all(cased, F.lit(rf"({terms}|[一-龥]{{1,2}}|[\p{{L}}\p{{N}}&&[^一-龥]]+)"), F.lit(1))
+    else:  # cutting between words is quicker than taking each of them out; the empty ends go by their length
+        found, least = F.split(cased, NO_WORD), max(least, 1)
     if stopwords:
         drop = F.array(*[F.lit(s) for s in stopwords])
         return F.filter(found, lambda t: (F.length(t) >= least) & ~F.array_contains(drop, t))

@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as X
+from marlstone.sources.tables import materialise
+
+#: Terms of all questions of a batch, and their characters, up to which they are broadcast (some 30 MB); beyond it both sides meet by term.
+MOST_TERMS, MOST_CHARACTERS = 1 << 18, 1 << 22
 
 
 def postings(corpus: DataFrame, tokens: Column, key: str = "chunk_id") -> DataFrame:
@@ -40,27 +44,48 @@ def idf(posted: DataFrame, stats: DataFrame) -> DataFrame:
 def term_statistics(corpus: DataFrame, tokens: Column) -> tuple[DataFrame, DataFrame]:
     """(term, idf) and the one row (n, avgdl), from one pass over the texts that shuffles a row for each term and task.
 
-    idf is that of ``idf``; the empty term, which no text has, stands for the documents themselves.
+    idf is that of ``idf``; the empty term, which no text has, stands for the documents themselves.  The vocabulary is
+    written once, as each of its later uses would read the texts again.
     """
     seen = corpus.select(tokens.alias("toks")).select(F.size("toks").alias("dl"), F.explode(F.array_append(F.coalesce(F.array_distinct("toks"), F.array().cast("array<string>")), F.lit(""))).alias("term"))
-    counted = seen.groupBy("term").agg(F.count("*").alias("df"), F.avg("dl").alias("avgdl"))
+    counted = materialise(seen.groupBy("term").agg(F.count("*").alias("df"), F.avg("dl").alias("avgdl")))
     stats = counted.filter("term = ''").select(F.col("df").alias("n"), "avgdl")
     raw = counted.filter("term <> ''").join(F.broadcast(stats.select("n"))).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     return raw.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf")), stats
 
 
+def term_counts(corpus: DataFrame, tokens: Column, key: str = "chunk_id") -> DataFrame:
+    """key, dl, term, tf: counted beside the scan, from the places where a text's sorted tokens change, so nothing is shuffled."""
+    placed = corpus.select(key, F.sort_array(tokens).alias("toks"))
+    starts = F.filter(F.transform("toks", lambda t, i: F.when((i == 0) | (t != F.get("toks", i - 1)), i)), lambda i: i.isNotNull())
+    found = placed.select(key, "toks", F.size("toks").alias("dl"), starts.alias("starts"))
+    counted = F.transform("starts", lambda s, j: F.struct(F.get("toks", s).alias("term"), (F.coalesce(F.get("starts", j + 1), F.col("dl")) - s).alias("tf")))
+    return found.select(key, "dl", F.explode(counted).alias("c")).select(key, "dl", "c.term", "c.tf")
+
+
+def _hits(corpus: DataFrame, tokens: Column, terms: DataFrame, asked: DataFrame) -> DataFrame:
+    """chunk_id, dl, tf and the columns of ``asked`` for every term that a text and a question share.
+
+    ``terms`` is a written table (query_id, term, qtf), ``asked`` has a row for each of its rows.  Where their checked
+    size allows it they are broadcast: then only the asked postings are shuffled, each text's to one task, which also
+    sums up its scores for all questions, and a term that every text holds is no hot key.
+    """
+    posted, words = term_counts(corpus, tokens), terms.select("term").distinct()
+    size = terms.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars")).first()
+    if size["n"] <= MOST_TERMS and size["chars"] <= MOST_CHARACTERS:
+        return posted.join(F.broadcast(words), "term", "left_semi").repartition("chunk_id").join(F.broadcast(asked), "term")
+    return posted.join(words, "term", "left_semi").join(asked, "term")
+
+
 def bm25_scores(corpus: DataFrame, questions: DataFrame, tokens: Column, query_tokens: Column, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query_id, chunk_id, score of every pair that shares a term."""
+    terms = materialise(question_terms(questions, query_tokens))
     weights, stats = term_statistics(corpus, tokens)
-    terms = question_terms(questions, query_tokens)
-    # Terms that nobody asks for go before postings are counted and shuffled; a posting's part of a score is made once.
-    words = corpus.select("chunk_id", tokens.alias("toks")).select("chunk_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-    posted = words.join(terms.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    asked = terms.join(weights, "term").join(F.broadcast(stats)).select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "avgdl")
     tf, norm = F.col("tf"), 1 - b + b * F.col("dl") / F.col("avgdl")
-    parts = posted.join(F.broadcast(stats)).select("chunk_id", "term", (tf * (k1 + 1) / (tf + k1 * norm)).alias("part"))
-    hits = parts.join(terms.join(weights, "term"), "term")
-    return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * F.col("part")), 6).alias("score"))
+    part = F.col("weight") * (tf * (k1 + 1) / (tf + k1 * norm))
+    return _hits(corpus, tokens, terms, asked).groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, by: Sequence[Column] | None = None, partition: str = "query_id") -> DataFrame:
@@ -69,22 +94,24 @@ def top_k(scored: DataFrame, k: int, by: Sequence[Column] | None = None, partiti
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(partition).orderBy(*order))).filter(F.col("rank") <= k)
 
 
+def _shared(corpus: DataFrame, questions: DataFrame, tokens: Column, query_tokens: Column, score: Column) -> DataFrame:
+    terms = materialise(question_terms(questions, query_tokens))
+    return _hits(corpus, tokens, terms, terms).groupBy("query_id", "chunk_id").agg(score.alias("score"))
+
+
 def term_frequency_scores(corpus: DataFrame, questions: DataFrame, tokens: Column, query_tokens: Column) -> DataFrame:
     """Summed term frequency; repeats count on both sides."""
-    hits = postings(corpus, tokens).join(question_terms(questions, query_tokens), "term")
-    return hits.groupBy("query_id", "chunk_id").agg(F.sum(F.col("tf") * F.col("qtf")).alias("score"))
+    return _shared(corpus, questions, tokens, query_tokens, F.sum(F.col("tf") * F.col("qtf")))
 
 
 def overlap_scores(corpus: DataFrame, questions: DataFrame, tokens: Column, query_tokens: Column) -> DataFrame:
     """Number of distinct terms shared."""
-    hits = postings(corpus, tokens).join(question_terms(questions, query_tokens), "term")
-    return hits.groupBy("query_id", "chunk_id").agg(F.count("*").alias("score"))
+    return _shared(corpus, questions, tokens, query_tokens, F.count("*"))
 
 
 def keyword_frequency_scores(corpus: DataFrame, questions: DataFrame, tokens: Column, query_tokens: Column) -> DataFrame:
     """Occurrences of each distinct term times its length, summed."""
-    hits = postings(corpus, tokens).join(question_terms(questions, query_tokens), "term")
-    return hits.groupBy("query_id", "chunk_id").agg(F.sum(F.col("tf") * F.length("term")).alias("score"))
+    return _shared(corpus, questions, tokens, query_tokens, F.sum(F.col("tf") * F.length("term")))
 
 
 def phrase_matches(corpus: DataFrame, phrases: Sequence[str]) -> DataFrame:

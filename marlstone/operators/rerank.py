@@ -40,12 +40,20 @@ def task_relevance(question: Column, content: Column, indicators: dict[str, floa
     return F.least(_add(parts) + several, F.lit(1.5))
 
 
+def _ten_character_runs(text: Column) -> Column:
+    """Every run of ten characters, one for each start."""
+    return F.regexp_extract_all(text, F.lit(r"(?s)(?=(.{10}))."), F.lit(1))
+
+
 def enhanced_relevance(question: Column, content: Column) -> Column:
     """Occurrences of the question's words, and of its ten-character runs, by length; at most 2."""
     words = F.filter(X.whitespace_words(question), lambda w: F.length(w) > 1)
     by_word = F.aggregate(words, F.lit(0.0), lambda a, w: a + F.least(X.occurrences(content, w) * 0.1, F.lit(0.5)))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(question) - 9, F.lit(1))), lambda i: F.substring(question, i, F.lit(10)))
-    by_run = F.when(F.length(question) > 10, 0.3 * F.size(F.filter(runs, lambda r: F.contains(content, r)))).otherwise(0.0)
+    # Runs of both sides meet in a hash set; a lambda's variable holds the common ones, so that they are made once a pair.
+    runs = _ten_character_runs(question)
+    common = F.array(F.array_intersect(runs, _ten_character_runs(content)))
+    found = F.get(F.transform(common, lambda c: F.size(F.filter(runs, lambda r: F.array_contains(c, r)))), 0)
+    by_run = F.when(F.length(question) > 10, 0.3 * found).otherwise(0.0)
     return F.least((by_word + by_run) / (F.length(content) / 1000 + 1), F.lit(2.0))
 
 

@@ -49,6 +49,7 @@ def bm25_hits(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
     """query_id, chunk_id, score, rank, source, text, question of the k best of every question."""
     docs, asked = corpus(spark, sf_dir), questions(spark, sf_dir)
     top = lexical.top_k(lexical.bm25_scores(docs, asked, d_tokens(), q_tokens()), k)
+    top = top.repartition(spark.sparkContext.defaultParallelism)  # few bytes, which would be coalesced into one task, but each pair of texts costs much
     return top.join(docs.select("chunk_id", "source", "text"), "chunk_id").join(asked, "query_id")
 
 

@@ -13,9 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer file splits than cores is dealt to all of them, as it may be one row group, which one task reads; a larger one stays."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_id, doc_id, source, lang, text: each document is a chunk, its source plays the file."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "doc_id", "source", "lang", "text")
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("chunk_id"), "doc_id", "source", "lang", "text")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
