@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,19 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", status.alias("status"))
 
 
+def changed_files(stored: DataFrame, files: DataFrame) -> DataFrame:
+    """The files (path, text) that are new or whose text differs from the stored (path, hash, size)."""
+    seen = fingerprints(files).join(stored, ["path", "hash", "size"], "left_anti").select("path")
+    return files.join(seen, "path", "left_semi")
+
+
+def upsert_index(index: DataFrame, stored: DataFrame, files: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """An index (path, ...) brought up to date: rows of unchanged files stay as they are, those of changed and missing
+    files go, and only new and changed files pass through ``build``.  With an empty index this is a rebuild."""
+    same = fingerprints(files).join(stored, ["path", "hash", "size"], "left_semi").select("path")
+    return index.join(same, "path", "left_semi").unionByName(build(changed_files(stored, files)))
+
+
 def new_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
     """Chunks (path, chunk_hash) that their file did not hold before."""
     return new.join(old.select("path", "chunk_hash").distinct(), ["path", "chunk_hash"], "left_anti")

@@ -64,14 +64,14 @@ def term_counts(corpus: DataFrame, tokens: Column, key: str = "chunk_id") -> Dat
     return found.select(key, "dl", F.explode(counted).alias("c")).select(key, "dl", "c.term", "c.tf")
 
 
-def _hits(corpus: DataFrame, tokens: Column, terms: DataFrame, asked: DataFrame) -> DataFrame:
+def _hits(posted: DataFrame, terms: DataFrame, asked: DataFrame) -> DataFrame:
     """chunk_id, dl, tf and the columns of ``asked`` for every term that a text and a question share.
 
     ``terms`` is a written table (query_id, term, qtf), ``asked`` has a row for each of its rows.  Where their checked
     size allows it they are broadcast: then only the asked postings are shuffled, each text's to one task, which also
     sums up its scores for all questions, and a term that every text holds is no hot key.
     """
-    posted, words = term_counts(corpus, tokens), terms.select("term").distinct()
+    words = terms.select("term").distinct()
     size = terms.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars")).first()
     if size["n"] <= MOST_TERMS and size["chars"] <= MOST_CHARACTERS:
         return posted.join(F.broadcast(words), "term", "left_semi").repartition("chunk_id").join(F.broadcast(asked), "term")
@@ -80,12 +80,20 @@ def _hits(corpus: DataFrame, tokens: Column, terms: DataFrame, asked: DataFrame)
 
 def bm25_scores(corpus: DataFrame, questions: DataFrame, tokens: Column, query_tokens: Column, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query_id, chunk_id, score of every pair that shares a term."""
+    return _bm25(term_counts(corpus, tokens), *term_statistics(corpus, tokens), questions, query_tokens, k1, b)
+
+
+def index_scores(posted: DataFrame, stats: DataFrame, questions: DataFrame, query_tokens: Column, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """As ``bm25_scores``, from a saved index: the rows of ``term_counts`` and of ``corpus_stats``; no text is read."""
+    return _bm25(posted, idf(posted, stats), stats, questions, query_tokens, k1, b)
+
+
+def _bm25(posted: DataFrame, weights: DataFrame, stats: DataFrame, questions: DataFrame, query_tokens: Column, k1: float, b: float) -> DataFrame:
     terms = materialise(question_terms(questions, query_tokens))
-    weights, stats = term_statistics(corpus, tokens)
     asked = terms.join(weights, "term").join(F.broadcast(stats)).select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "avgdl")
     tf, norm = F.col("tf"), 1 - b + b * F.col("dl") / F.col("avgdl")
     part = F.col("weight") * (tf * (k1 + 1) / (tf + k1 * norm))
-    return _hits(corpus, tokens, terms, asked).groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return _hits(posted, terms, asked).groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, by: Sequence[Column] | None = None, partition: str = "query_id") -> DataFrame:
@@ -96,7 +104,7 @@ def top_k(scored: DataFrame, k: int, by: Sequence[Column] | None = None, partiti
 
 def _shared(corpus: DataFrame, questions: DataFrame, tokens: Column, query_tokens: Column, score: Column) -> DataFrame:
     terms = materialise(question_terms(questions, query_tokens))
-    return _hits(corpus, tokens, terms, terms).groupBy("query_id", "chunk_id").agg(score.alias("score"))
+    return _hits(term_counts(corpus, tokens), terms, terms).groupBy("query_id", "chunk_id").agg(score.alias("score"))
 
 
 def term_frequency_scores(corpus: DataFrame, questions: DataFrame, tokens: Column, query_tokens: Column) -> DataFrame:

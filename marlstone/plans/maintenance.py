@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators import chunking, incremental
-from marlstone.plans.registry import query
+from marlstone.operators import chunking, incremental, lexical, vector
+from marlstone.plans.registry import ORACLE_SQL, query
+from marlstone.plans.retrieval import K, d_tokens, q_tokens, sql_tokens
 from marlstone.plans.textual import sql_strip
-from marlstone.sources.tables import corpus, table
+from marlstone.sources import tables
+from marlstone.sources.tables import corpus, questions, table
 
 # Two snapshots that follow from all documents: the new one lacks the files of src1 in
 # Spanish, has changed texts in German, and holds French files that the old one had not.
@@ -87,3 +89,37 @@ SELECT user_id, burst::BIGINT AS burst, epoch_us(max(ts)) AS updated_us, count(*
 def debounced_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"))
     return incremental.debounced(changes).select(F.col("key").alias("user_id"), F.col("burst").cast("long").alias("burst"), F.unix_micros(F.col("updated_at").cast("timestamp")).alias("updated_us"), "changes")
+
+
+@query("changed_files", f"WITH {_PRINTS}, f AS ({_NEW}) SELECT path, length(f.text) AS chars FROM f JOIN new n USING (path) LEFT JOIN old o USING (path) WHERE o.hash IS NULL OR o.hash <> n.hash OR o.size <> n.size")
+def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that an incremental load reads."""
+    old, new = snapshots(spark, sf_dir)
+    return incremental.changed_files(incremental.fingerprints(old), new).select("path", F.length("text").alias("chars"))
+
+
+@query("index_upsert", f"SELECT path, count(*) AS terms, sum(tf)::BIGINT AS tokens FROM (SELECT path, term, count(*) AS tf FROM (SELECT path, unnest({sql_tokens('text')}) AS term FROM ({_NEW})) GROUP BY ALL) GROUP BY path")
+def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexical index of the old files, saved and brought up to the new ones, equals that of the new files."""
+    old, new = snapshots(spark, sf_dir)
+    build = lambda files: lexical.term_counts(files, d_tokens(), "path")
+    saved = tables.materialise(build(old))
+    updated = incremental.upsert_index(saved, incremental.fingerprints(old), new, build)
+    return updated.groupBy("path").agg(F.count("*").alias("terms"), F.sum("tf").alias("tokens"))
+
+
+@query("saved_index_topk", ORACLE_SQL["bm25_topk"])
+def saved_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``bm25_topk`` from an index on disk."""
+    docs, path = corpus(spark, sf_dir), tables.shared_path(spark)
+    tables.save_index(lexical.term_counts(docs, d_tokens()), lexical.corpus_stats(docs, d_tokens()), path)
+    return lexical.top_k(lexical.index_scores(*tables.load_index(spark, path), questions(spark, sf_dir), q_tokens()), K)
+
+
+@query("saved_vectors_topk", ORACLE_SQL["vector_topk"])
+def saved_vectors_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vector_topk`` from vectors on disk."""
+    path = tables.shared_path(spark)
+    tables.save_vectors(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "chunk_id"), path)
+    saved = tables.load_vectors(spark, path)
+    return vector.top_k(saved.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), saved, K)

@@ -39,11 +39,15 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), "question", "answer", "context")
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path below the folder that all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/marlstone-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write to the folder that all executors share and read back; this cuts the lineage."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/marlstone-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, shared_path(df.sparkSession)
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -72,3 +76,18 @@ def save_index(postings: DataFrame, stats: DataFrame, path: str) -> None:
 
 def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
+
+
+def save_vectors(vectors: DataFrame, path: str) -> None:
+    """A vector index is one table (chunk_id, embedding)."""
+    vectors.select("chunk_id", "embedding").write.mode("overwrite").parquet(path)
+
+
+def load_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def read_questions(spark: SparkSession, path: str, column: str = "question", kind: str = "csv") -> DataFrame:
+    """question: the non-blank cells of a column of a question sheet, as CSV with a header or as any other format."""
+    sheet = spark.read.format(kind).options(**({"header": "true", "multiLine": "true", "escape": '"'} if kind == "csv" else {})).load(path)
+    return sheet.select(F.trim(F.col(f"`{column}`").cast("string")).alias("question")).filter("question <> ''")

@@ -133,6 +133,22 @@ def test_index_round_trip(spark, tmp_path):
     assert sorted((r.term, r.tf) for r in posted.collect()) == [("alpha", 1), ("beta", 2)] and stats.first().n == 1
 
 
+def test_terms_are_counted_alike_on_either_way(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "b a b, ab"), (2, ""), (3, None), (4, "a a")], "chunk_id long, text string")
+    asked = spark.createDataFrame([(7, "a b b"), (8, "")], "query_id long, question string")
+    toks = lambda c: X.tokens(F.col(c), least=1)
+    assert sorted((r.chunk_id, r.dl, r.term, r.tf) for r in lexical.term_counts(docs, toks("text")).collect()) == [(1, 4, "a", 1), (1, 4, "ab", 1), (1, 4, "b", 2), (4, 2, "a", 2)]
+    run = lambda: sorted(tuple(r) for f in (lexical.bm25_scores, lexical.term_frequency_scores) for r in f(docs, asked, toks("text"), toks("question")).collect())
+    broadcast = run()
+    monkeypatch.setattr(lexical, "MOST_TERMS", 0)
+    assert run() == broadcast and len(broadcast) == 4
+
+
+def test_question_sheet(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('no,question\n1," one, ""two"" "\n2,\n3,three\n')
+    assert sorted(r.question for r in tables.read_questions(spark, str(tmp_path / "q.csv")).collect()) == ['one, "two"', "three"]
+
+
 def test_watcher_reports_adds_changes_and_deletions(spark, tmp_path):
     folder, state, seen = tmp_path / "in", str(tmp_path / "state"), []
     folder.mkdir()

@@ -10,7 +10,7 @@ rrf_three_sources diversity_select balanced_rerank enhanced_rerank tokens_stats
 page_text category_classify open_question_type query_rewrite target_files batch_answers context_compress rouge1 bleu2 fact_extract answer_confidence
 snapshot_diff chunk_hash new_chunks version_upsert debounced_updates usage_flags multi_stage_retrieve strategy_retrieve two_stage_rerank model_rerank
 content_merge file_aware_retrieve optimized_retrieve answer_driver boost_filter pattern_classify name_scores creative_mode section_enrichment detailed_hits
-adaptive_compress bm25_whitespace""".split()
+adaptive_compress bm25_whitespace changed_files index_upsert saved_index_topk saved_vectors_topk""".split()
 
 
 @pytest.mark.parametrize("name", CHOSEN)
