@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, chat, embeddings, hmm, jaccard, packing, quality, token_counts, toxicity, warc
+from marlstone.llm import bpe, chat, embeddings, filter_audit, hmm, jaccard, packing, quality, sharding, spelling, token_counts, toxicity, warc
 from marlstone.llm.common import bounded, table
 
 
@@ -83,7 +83,30 @@ def op10_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: bounded(f) for f in (op1_quality_rules, op2_jaccard_join, op3_embedding_dedup, op4_token_counts, op5_toxicity, op6_packing, op7_chat_format, op8_byte_bpe, op9_merkle_audit, op10_hidden_markov)}
+#: Shards of equal weight.
+SHARDS = 24
+
+
+def op11_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.place(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: bounded(f)
+    for f in (
+        op1_quality_rules, op2_jaccard_join, op3_embedding_dedup, op4_token_counts, op5_toxicity, op6_packing, op7_chat_format, op8_byte_bpe, op9_merkle_audit, op10_hidden_markov,
+        op11_rendezvous, op12_filter_audit, op13_spelling_variants,
+    )
+}
 
 _LINKS_TO_COMPONENTS = """
 reach AS (
@@ -93,6 +116,19 @@ reach AS (
 ),
 least AS (SELECT node, least(node, min(other)) AS component FROM reach GROUP BY node)"""
 
+#: The table of the byte-wise crc32, and the crc32 of a string by it.
+_CRC_TABLE = "crc AS MATERIALIZED (SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i))"
+
+
+def _crc32(text: str) -> str:
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {octets}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _failing(letter: str) -> str:
+    return f"(mask >> {'ABCDE'.index(letter)}) & 1 = 1"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_jaccard_join": rf"""
 WITH RECURSIVE words AS (
@@ -140,4 +176,52 @@ WITH sized AS (
 placed AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM sized)
 SELECT page_id, CASE WHEN page_id % 89 = 7 THEN 'missing' ELSE 'corrupt' END AS status, file, "offset", length FROM placed WHERE page_id % 97 = 5 OR page_id % 89 = 7
 UNION ALL SELECT -1 - page_id, 'extra', NULL, NULL, NULL FROM pages WHERE page_id % 101 = 11""",
+    "op11_rendezvous": rf"""
+WITH {_CRC_TABLE},
+rows AS (SELECT doc_id, coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))) AS key, coalesce(strlen(text), 0) + 8 AS size, {_crc32("coalesce(text, '')")} AS text_crc32 FROM documents, crc),
+scored AS (SELECT doc_id, size, text_crc32, list_transform(range({SHARDS + 1}), lambda i: {{'score': 1.0::DOUBLE / -ln((('0x' || md5(i || ':' || key)[1:13])::BIGINT + 0.5) / 4503599627370496.0), 'shard': i}}) AS s FROM rows),
+won AS (SELECT doc_id, size, text_crc32, list_max(s[1:{SHARDS}]).shard::INT AS shard, list_max(s).shard::INT AS grown_shard FROM scored)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM won""",
+    "op12_filter_audit": rf"""
+WITH words AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+),
+flags AS (
+  SELECT doc_id, part, (len(w) < 50)::INT + 2 * (100 * list_unique(w) < 65 * len(w))::INT + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS mask FROM words
+),
+known AS (SELECT doc_id, max((coalesce(quality, 0) = 1)::INT) AS good, max((coalesce(toxic, 0) = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+counts AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM flags LEFT JOIN known USING (doc_id) GROUP BY part, mask),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+),
+steps AS (SELECT filter_order, step::INT AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM orders, range(1, 6) r(step)),
+audit AS (
+  SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & before > 0 AND mask & bit > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM audit""",
+    "op13_spelling_variants": rf"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+hashed AS (SELECT run, k, {_crc32("doc_id || ':' || run")} AS h FROM (SELECT doc_id, run, count(*) AS k FROM runs GROUP BY ALL), crc),
+turned AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, k FROM hashed),
+words AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM turned WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+holes AS MATERIALIZED (SELECT word, i, substr(word, 1, i::INT - 1) || substr(word, i::INT + 1) AS rest FROM words, unnest(range(1, length(word) + 1)) u(i)),
+pairs AS (
+  SELECT x.word, y.word AS other FROM holes x JOIN holes y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+  UNION SELECT h.word, w.word FROM holes h JOIN words w ON w.word = h.rest
+  UNION SELECT w.word, h.word FROM holes h JOIN words w ON w.word = h.rest
+),
+near AS (SELECT pairs.word, count(*) AS n_near, list({{'n': -w.n, 'word': other}} ORDER BY w.n DESC, other)[1] AS best FROM pairs JOIN words w ON w.word = pairs.other GROUP BY pairs.word),
+judged AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.n >= 2 * w.n THEN best.word END AS form, CASE WHEN -best.n >= 2 * w.n THEN -best.n END AS form_n FROM words w LEFT JOIN near USING (word)
+),
+paths AS (SELECT word, form AS root FROM judged WHERE form IS NOT NULL UNION ALL SELECT p.word, j.form FROM paths p JOIN judged j ON j.word = p.root WHERE j.form IS NOT NULL),
+ends AS (SELECT p.word, p.root FROM paths p JOIN judged j ON j.word = p.root WHERE j.form IS NULL)
+SELECT j.word, form, coalesce(root, j.word) AS root, n, n_near, form_n FROM judged j LEFT JOIN ends e ON e.word = j.word""",
 }
