@@ -6,10 +6,14 @@ All questions are answered by one plan: their terms join the postings.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from marlstone.functions import text as X
 from marlstone.sources.tables import materialise
@@ -83,19 +87,115 @@ def bm25_scores(corpus: DataFrame, questions: DataFrame, tokens: Column, query_t
     return _bm25(term_counts(corpus, tokens), *term_statistics(corpus, tokens), questions, query_tokens, k1, b)
 
 
-def index_scores(posted: DataFrame, stats: DataFrame, questions: DataFrame, query_tokens: Column, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """As ``bm25_scores``, from a saved index: the rows of ``term_counts`` and of ``corpus_stats``; no text is read."""
-    return _bm25(posted, idf(posted, stats), stats, questions, query_tokens, k1, b)
-
-
 def _bm25(posted: DataFrame, weights: DataFrame, stats: DataFrame, questions: DataFrame, query_tokens: Column, k1: float, b: float) -> DataFrame:
     terms = materialise(question_terms(questions, query_tokens))
-    asked = terms.join(weights, "term").join(F.broadcast(stats)).select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "avgdl")
+    return _scored(posted, terms.join(weights, "term").join(F.broadcast(stats)).select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "avgdl"), terms, k1, b)
+
+
+def _scored(posted: DataFrame, asked: DataFrame, terms: DataFrame, k1: float, b: float) -> DataFrame:
     tf, norm = F.col("tf"), 1 - b + b * F.col("dl") / F.col("avgdl")
     part = F.col("weight") * (tf * (k1 + 1) / (tf + k1 * norm))
     return _hits(posted, terms, asked).groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
+#: Cells of a task's table of scores, and entries that are summed into it at a time: some 100 MB together.
+CELLS, ENTRIES = 1 << 21, 1 << 22
+#: Question blocks of MOST_TERMS terms, each of which reads the corpus once; beyond them both sides meet by term.
+MOST_BLOCKS = 16
+
+
+def bm25_top_k(corpus: DataFrame, questions: DataFrame, tokens: Column, query_tokens: Column, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """query_id, chunk_id, score, rank: the k best of ``bm25_scores``, of every question.
+
+    The questions' weighted terms, in blocks of a checked size, travel to the texts.  A task sums the gains of some texts
+    into a table of texts x questions, and keeps each question's running k best: what lies below the k-th goes at once.
+    So neither postings nor scores are shuffled, only k rows for each question and task.
+    """
+    weights, stats = term_statistics(corpus, tokens)
+    asked = question_terms(questions, query_tokens).join(weights, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    asked = materialise(asked)
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars")).first()
+    blocks = max(-(-size["n"] // MOST_TERMS), -(-size["chars"] // MOST_CHARACTERS), 1)
+    if blocks > MOST_BLOCKS or corpus.schema["chunk_id"].dataType != LongType() or questions.schema["query_id"].dataType != LongType():
+        return top_k(_scored(term_counts(corpus, tokens), asked.join(F.broadcast(stats)), asked, k1, b), k)
+    avgdl = (stats.first() or {"avgdl": None})["avgdl"] or 1.0
+    texts = corpus.select("chunk_id", tokens.alias("toks"))
+    found = None
+    for block in range(blocks):
+        part = _best_of(texts, asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block), k, avgdl, k1, b)
+        found = part if found is None else found.unionByName(part)
+    return top_k(found, k)
+
+
+def _best_of(texts: DataFrame, asked: DataFrame, k: int, avgdl: float, k1: float, b: float) -> DataFrame:
+    """query_id, chunk_id, score: each task's k best texts of each question of one block."""
+    rows = asked.sort("term").toArrow()  # bounded by the caller
+    starts = pc.run_end_encode(rows["term"].combine_chunks(), run_end_type=pa.int64())
+    ids, query = np.unique(rows["query_id"].to_numpy(), return_inverse=True)
+    question_lists = (starts.values, np.concatenate([[0], starts.run_ends.to_numpy()]).astype(np.int64), query.astype(np.int64), rows["weight"].to_numpy(), ids)
+    shipped = texts.sparkSession.sparkContext.broadcast(question_lists)
+    step = max(1, min(CELLS // max(len(ids), 1), ENTRIES // max(len(query), 1)))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, ends, query, weight, ids = shipped.value
+        keeper = _Best(len(ids), k, signed=bool((weight <= 0).any()))
+        for batch in batches:
+            chunk, toks = batch.column(0).to_numpy(), batch.column(1)
+            dl = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(chunk)), dl)
+            code = pc.fill_null(pc.index_in(toks.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            key, tf = np.unique(row[code >= 0] * len(terms) + code[code >= 0], return_counts=True)
+            row, code = np.divmod(key, max(len(terms), 1))
+            gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / avgdl))
+            for at in range(0, len(chunk), step):
+                lo, hi = np.searchsorted(row, [at, at + step])
+                first, n = ends[code[lo:hi]], np.diff(ends)[code[lo:hi]]
+                place = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if hi > lo else np.zeros(0, np.int64)
+                cell = np.repeat(row[lo:hi] - at, n) * len(ids) + query[place]
+                keeper.add(chunk[at : at + step], cell, np.repeat(gain[lo:hi], n) * weight[place])
+        q, c, s = keeper.rows()
+        yield pa.RecordBatch.from_pydict({"query_id": ids[q], "chunk_id": c, "score": s}, schema=pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())]))
+
+    return texts.mapInArrow(best, "query_id long, chunk_id long, score double")
+
+
+class _Best:
+    """The running k best texts of each question within a task; ties go to the smaller chunk_id."""
+
+    def __init__(self, n: int, k: int, signed: bool) -> None:
+        self.n, self.k, self.signed = n, k, signed
+        self.least = np.full(n, -np.inf)
+        self.kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        self.new: list[tuple] = []
+        self.waiting = 0
+
+    def add(self, chunk: np.ndarray, cell: np.ndarray, gain: np.ndarray) -> None:
+        """``cell``: text x questions + question of each gain."""
+        size = len(chunk) * self.n
+        score = np.round(np.bincount(cell, gain, size), 6)
+        # without negative weights, a text that shares a term scores above nothing
+        shared = np.bincount(cell, minlength=size) > 0 if self.signed else score > 0
+        found = np.nonzero(shared & (score >= np.tile(self.least, len(chunk))))[0]
+        self.new.append((found % self.n, chunk[found // self.n], score[found]))
+        self.waiting += len(found)
+        if self.waiting > max(CELLS, 2 * self.n * self.k):
+            self._merge()
+
+    def _merge(self) -> None:
+        q, c, s = (np.concatenate(x) for x in zip(self.kept, *self.new, strict=True))
+        order = np.lexsort((c, -s, q))
+        q, c, s = q[order], c[order], s[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = place == self.k - 1
+        self.least[q[last]] = s[last]
+        self.kept = tuple(x[place < self.k] for x in (q, c, s))
+        self.new, self.waiting = [], 0
+
+    def rows(self) -> tuple:
+        self._merge()
+        return self.kept
+
+
 def top_k(scored: DataFrame, k: int, by: Sequence[Column] | None = None, partition: str = "query_id") -> DataFrame:
     """Adds rank, by falling score and then chunk_id, and keeps k of each question."""
     order = by or (F.desc("score"), F.asc("chunk_id"))
@@ -149,7 +249,7 @@ def enhanced_search(corpus: DataFrame, questions: DataFrame, tokens: Column, que
     """query_id, chunk_id, score, rank: forced recall before BM25, exact phrases where they score higher, one row a text."""
     texts = corpus.select("chunk_id", "text")
     forced = forced_recall(corpus, questions, keywords, 2 * k).select("query_id", "chunk_id", "text", "score", F.lit("forced").alias("channel"))
-    ranked = top_k(bm25_scores(corpus, questions, tokens, query_tokens), 2 * k).join(texts, "chunk_id").select("query_id", "chunk_id", "text", "score", F.lit("bm25").alias("channel"))
+    ranked = bm25_top_k(corpus, questions, tokens, query_tokens, 2 * k).join(texts, "chunk_id").select("query_id", "chunk_id", "text", "score", F.lit("bm25").alias("channel"))
     exact = phrases_asked(questions, phrases).join(top_k(phrase_matches(corpus, phrases), k, partition="phrase"), "phrase")
     exact = exact.select("query_id", "chunk_id", "text", (F.col("score") + 500.0).alias("score"), F.lit("phrase").alias("channel"))
     both = forced.unionByName(ranked).unionByName(exact).withColumn("key", F.md5("text"))

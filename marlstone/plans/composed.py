@@ -12,7 +12,7 @@ from marlstone.operators import classify, context, fusion, lexical, rerank, stag
 from marlstone.plans.details import _TEMPLATES
 from marlstone.plans.registry import query
 from marlstone.plans.retrieval import (
-    _ALL_CHANNELS, _BONUS, _ENHANCED, _FORCED, _PAIR, _TASK, K, SQL_BM25, _relevance_sql, _rrf,
+    _CHANNELS, _BONUS, _ENHANCED, _FORCED, _PAIR, _TASK, K, SQL_BM25, _relevance_sql, _rrf, swap,
     bm25_hits, channels_of, d_tokens, main_word_questions, q_tokens, sql_list, sql_tokens, vector_channel,
 )
 from marlstone.plans.textual import _FILLERS, _TYPES, _type_sql, target_files
@@ -36,7 +36,7 @@ merged AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid_sc
 _REFINED = f"""judged AS (SELECT m.*, {_MODEL} AS model_score, text, q.question FROM merged m JOIN d USING (chunk_id) JOIN q ON q.query_id = m.query_id),
 final AS (SELECT *, round(0.6 * model_score + 0.4 * hybrid_score, 6) AS final_score FROM judged),
 refined AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) AS rank FROM final QUALIFY rank <= {FINAL})"""
-_WIDE = _ALL_CHANNELS.replace(f"rank <= {2 * K}", f"rank <= {WIDE}")
+_WIDE = swap(_CHANNELS, f"rank <= {2 * K}", f"rank <= {WIDE}")
 _TEXTED = "texted AS (SELECT own.query_id, own.channel, own.key AS chunk_id, own.rank, own.score, d.source, d.text FROM own JOIN d ON d.chunk_id = own.key)"
 
 
@@ -54,7 +54,7 @@ def _refine(spark: SparkSession, sf_dir: str, merged: DataFrame, asked: DataFram
 SELECT query_id, chunk_id, source_type, hybrid_score, model_score, final_score, rank FROM refined""")
 def multi_stage_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """40 hits of either channel, the 60 best after the merge, the 15 best after the model."""
-    asked = main_word_questions(spark, sf_dir, without_vector=True)
+    asked = main_word_questions(spark, sf_dir)
     merged = staged.merge_candidates(_with_texts(spark, sf_dir, channels_of(spark, sf_dir, asked, WIDE)), CANDIDATES)
     return _refine(spark, sf_dir, merged, asked).select("query_id", "chunk_id", "source_type", "hybrid_score", "model_score", "final_score", "rank")
 
@@ -65,9 +65,9 @@ def _cleaned_sql() -> str:
     return f"c0 AS (SELECT query_id, question AS t FROM q0){steps}"
 
 
-_STRATEGY_SQL = _type_sql().replace("(SELECT item_id, text AS t FROM benchmark)", "(SELECT query_id AS item_id, question AS t FROM q0)")
+_STRATEGY_SQL = swap(_type_sql(), "(SELECT item_id, text AS t FROM benchmark)", "(SELECT query_id AS item_id, question AS t FROM q0)")
 _OPTIMISED = (
-    _WIDE.replace("q AS (SELECT chunk_id AS query_id,", "q0 AS (SELECT chunk_id AS query_id,")
+    swap(_WIDE, "q AS (SELECT chunk_id AS query_id,", "q0 AS (SELECT chunk_id AS query_id,")
     .replace(",\nstats AS", f""",
 {_cleaned_sql()},
 plan AS (SELECT query_id, kind, CASE WHEN confidence > 0.3 AND kind <> 'factual' THEN 0.3 ELSE 0.5 END AS alpha, CASE WHEN confidence > 0.3 AND kind <> 'factual' THEN 15 ELSE {WIDE} END AS vector_k, CASE WHEN confidence > 0.3 AND kind <> 'factual' THEN 35 ELSE {WIDE} END AS bm25_k FROM (WITH {_STRATEGY_SQL})),
@@ -83,7 +83,7 @@ marked AS (SELECT r.query_id, chunk_id, kind, alpha, hybrid_score, final_score,
 SELECT query_id, chunk_id, kind, alpha::DOUBLE AS alpha, hybrid_score, final_score, matches, CASE WHEN matches THEN 2.0 ELSE 1.0 END::DOUBLE AS match_score, row_number() OVER (PARTITION BY query_id ORDER BY matches DESC, before) AS rank FROM marked QUALIFY rank <= {K}""")
 def strategy_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fillers go, the question's type sets weights and sizes, and texts with the type's words come first."""
-    asked = main_word_questions(spark, sf_dir, without_vector=True)
+    asked = main_word_questions(spark, sf_dir)
     kind, sure = classify.weighted_type(F.col("question"), _TYPES, "factual")
     # The default type has the confidence 0.5 but no strategy of its own.
     chosen = classify.retrieval_strategy(F.when(kind != "factual", sure).otherwise(0.0))
@@ -101,7 +101,7 @@ def strategy_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FEW = f"count(*) OVER (PARTITION BY query_id) <= {K}"
 
 
-@query("two_stage_rerank", f"""WITH {SQL_BM25.replace('WHERE rank <= 20', f'WHERE rank <= {CANDIDATES}')},
+@query("two_stage_rerank", f"""WITH {swap(SQL_BM25, 'WHERE rank <= 20', f'WHERE rank <= {CANDIDATES}')},
 ruled AS (SELECT query_id, chunk_id, question, text, CASE WHEN {_FEW} THEN score ELSE {_relevance_sql('lower(question)', 'lower(text)', 100, 1000, 0.5, 0.3, 2000, 0.3)} END AS stage_score FROM hits),
 first_stage AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY stage_score DESC, chunk_id) AS place FROM ruled QUALIFY place <= 50),
 judged AS (SELECT *, {_MODEL} AS model_score FROM first_stage), final AS (SELECT *, round(0.6 * model_score + 0.4 * stage_score, 6) AS final_score FROM judged)
@@ -122,10 +122,10 @@ def model_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BY_CONTENT = "ranked_parts AS (SELECT query_id, channel, chunk_id, rank, CASE channel WHEN 'vector' THEN score ELSE 1 / (1 + (rank - 1)) END AS score, source, text FROM texted)"
 
 
-@query("content_merge", f"WITH {_ALL_CHANNELS}, {_TEXTED}, {_BY_CONTENT}, {_merged('ranked_parts', '0.4', K, 'text')} SELECT query_id, chunk_id, source_type, hybrid_score, place AS rank FROM merged")
+@query("content_merge", f"WITH {_CHANNELS}, {_TEXTED}, {_BY_CONTENT}, {_merged('ranked_parts', '0.4', K, 'text')} SELECT query_id, chunk_id, source_type, hybrid_score, place AS rank FROM merged")
 def content_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The merge keyed by the whole text, a lexical hit scored by its rank alone."""
-    asked = main_word_questions(spark, sf_dir, without_vector=True)
+    asked = main_word_questions(spark, sf_dir)
     hits = _with_texts(spark, sf_dir, channels_of(spark, sf_dir, asked, 2 * K))
     by_rank = hits.withColumn("score", F.when(F.col("channel") == "vector", F.col("score")).otherwise(1 / F.col("rank")))
     return staged.merge_candidates(by_rank, K, 0.4, key=[F.col("text")])
@@ -134,33 +134,32 @@ def content_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LEGACY = _relevance_sql("question", "text", 100, 1000, 0.5, 0.3, 2000, 0.3)
 
 
-@query("legacy_retrieve", f"""WITH {_ALL_CHANNELS}, {_TEXTED}, r AS (SELECT t.query_id, chunk_id, channel, round(0.7 * {_LEGACY} + 0.3 * score, 6) AS final_score FROM texted t JOIN q ON q.query_id = t.query_id)
+@query("legacy_retrieve", f"""WITH {_CHANNELS}, {_TEXTED}, r AS (SELECT t.query_id, chunk_id, channel, round(0.7 * {_LEGACY} + 0.3 * score, 6) AS final_score FROM texted t JOIN q ON q.query_id = t.query_id)
 SELECT query_id, chunk_id, channel, final_score, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id, channel) AS rank FROM r QUALIFY rank <= {K}""")
 def legacy_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both channels' hits one after the other, none merged, ranked by the rule."""
-    asked = main_word_questions(spark, sf_dir, without_vector=True)
+    asked = main_word_questions(spark, sf_dir)
     hits = _with_texts(spark, sf_dir, channels_of(spark, sf_dir, asked, 2 * K)).join(asked, "query_id")
     relevance = F.round(rerank.simple_relevance(F.col("question"), F.col("text")), 6)
     scored = hits.select("query_id", "chunk_id", "channel", rerank.fallback_score(relevance, F.col("score")).alias("final_score"))
     return lexical.top_k(scored, K, (F.desc("final_score"), F.asc("chunk_id"), F.asc("channel")))
 
 
-@query("channel_report", f"WITH {_ALL_CHANNELS}, {_TEXTED} SELECT query_id, channel, rank, chunk_id, source, CASE WHEN length(text) > 200 THEN substring(text, 1, 200) || '...' ELSE text END AS preview FROM texted WHERE rank <= 5")
+@query("channel_report", f"WITH {_CHANNELS}, {_TEXTED} SELECT query_id, channel, rank, chunk_id, source, CASE WHEN length(text) > 200 THEN substring(text, 1, 200) || '...' ELSE text END AS preview FROM texted WHERE rank <= 5")
 def channel_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best of each channel with previews of 200 characters."""
-    asked = main_word_questions(spark, sf_dir, without_vector=True)
+    asked = main_word_questions(spark, sf_dir)
     preview = F.when(F.length("text") > 200, F.concat(F.substring("text", 1, 200), F.lit("..."))).otherwise(F.col("text"))
     return _with_texts(spark, sf_dir, channels_of(spark, sf_dir, asked, 5)).select("query_id", "channel", "rank", "chunk_id", "source", preview.alias("preview"))
 
 
-_BLANKS = SQL_BM25.replace(sql_tokens("text"), r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')")
+_BLANKS = swap(SQL_BM25, sql_tokens("text"), r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')")
 
 
 @query("bm25_whitespace", f"WITH {_BLANKS} SELECT query_id, chunk_id, rank FROM ranked WHERE rank <= {K}")
 def bm25_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stock lexical retriever: words between blanks, ranks only."""
-    scores = lexical.bm25_scores(corpus(spark, sf_dir), questions(spark, sf_dir), X.whitespace_words(F.col("text")), X.whitespace_words(F.col("question")))
-    return lexical.top_k(scores, K).drop("score")
+    return lexical.bm25_top_k(corpus(spark, sf_dir), questions(spark, sf_dir), X.whitespace_words(F.col("text")), X.whitespace_words(F.col("question")), K).drop("score")
 
 
 _PATTERN = "*e*"
@@ -199,7 +198,7 @@ def file_aware_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged.within_files(ranked, words, targets, K)
 
 
-_FIRST_STAGE = f"""{_ALL_CHANNELS}, {_FORCED.replace(f'r <= {2 * K}', f'r <= {4 * K}')},
+_FIRST_STAGE = f"""{_CHANNELS}, {swap(_FORCED, f'r <= {2 * K}', f'r <= {4 * K}')},
 exact_of AS (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY score DESC, chunk_id) AS r FROM ph QUALIFY r <= {2 * K}),
 everything AS (SELECT query_id, chunk_id, text, score, 'forced' AS channel FROM forced
   UNION ALL SELECT r.query_id, r.chunk_id, d.text, r.score, 'bm25' FROM ranked r JOIN d USING (chunk_id) WHERE r.rank <= {4 * K} AND NOT EXISTS (SELECT 1 FROM forced f WHERE f.query_id = r.query_id AND f.text = d.text)
@@ -219,7 +218,7 @@ def first_stage(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame
 
 @query("optimized_retrieve", f"WITH {_FIRST_STAGE} SELECT query_id, key AS chunk_id, rrf_score, rank FROM fused WHERE rank <= {K}")
 def optimized_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_stage(spark, sf_dir, main_word_questions(spark, sf_dir, without_vector=True))
+    return first_stage(spark, sf_dir, main_word_questions(spark, sf_dir))
 
 
 _SHOWN = 5
@@ -249,7 +248,7 @@ rated AS (SELECT *, round(coalesce({_FOUND} * {_WEIGHT}, 0), 6)::DOUBLE AS relev
 SELECT query_id, kind, sources, CASE WHEN prompt IS NULL THEN 'no hits' ELSE 'answered' END AS status, md5(coalesce(prompt, '')) AS prompt_hash, answer, relevance, quality, says_not_found, says_not_found = (relevance < 0.2) AS fitting, round((relevance + quality) / 2, 6) AS overall FROM rated""")
 def answer_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every question from retrieval to a rated answer; a question without hits, or a failed model, has a status of its own."""
-    asked = main_word_questions(spark, sf_dir, without_vector=True)
+    asked = main_word_questions(spark, sf_dir)
     docs = corpus(spark, sf_dir).select("chunk_id", "source", "text")
     found = first_stage(spark, sf_dir, asked).select("query_id", "chunk_id", F.col("rrf_score").alias("score")).join(docs, "chunk_id").join(asked, "query_id")
     ordered = rerank.enhanced_rerank(found, L.PROSE_ENTITIES, L.PROSE_INDICATORS, _SHOWN)

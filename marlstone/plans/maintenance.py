@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators import chunking, incremental, lexical, vector
+from marlstone.operators import chunking, incremental, lexical, pruned, vector
 from marlstone.plans.registry import ORACLE_SQL, query
 from marlstone.plans.retrieval import K, d_tokens, q_tokens, sql_tokens
 from marlstone.plans.textual import sql_strip
@@ -110,16 +110,16 @@ def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("saved_index_topk", ORACLE_SQL["bm25_topk"])
 def saved_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``bm25_topk`` from an index on disk."""
+    """``bm25_topk`` from an index in blocks on disk."""
     docs, path = corpus(spark, sf_dir), tables.shared_path(spark)
-    tables.save_index(lexical.term_counts(docs, d_tokens()), lexical.corpus_stats(docs, d_tokens()), path)
-    return lexical.top_k(lexical.index_scores(*tables.load_index(spark, path), questions(spark, sf_dir), q_tokens()), K)
+    pruned.save(docs, d_tokens(), path)
+    return pruned.top_k(pruned.load(spark, path), questions(spark, sf_dir), q_tokens(), K)
 
 
 @query("saved_vectors_topk", ORACLE_SQL["vector_topk"])
 def saved_vectors_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``vector_topk`` from vectors on disk."""
+    """``vector_topk`` from inverted lists on disk."""
     path = tables.shared_path(spark)
-    tables.save_vectors(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "chunk_id"), path)
-    saved = tables.load_vectors(spark, path)
-    return vector.top_k(saved.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), saved, K)
+    vector.save(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "chunk_id"), path)
+    saved = vector.load(spark, path)
+    return vector.search(saved, saved.lists.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), K)

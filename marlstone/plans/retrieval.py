@@ -26,6 +26,13 @@ def sql_tokens(column: str) -> str:
     return rf"list_filter(regexp_extract_all(lower({column}), '[\p{{L}}\p{{N}}]+'), lambda t: length(t) >= 2)"
 
 
+def swap(sql: str, old: str, new: str) -> str:
+    """``sql`` with a part replaced, which must be there."""
+    if old not in sql:
+        raise ValueError(f"not in the SQL: {old}")
+    return sql.replace(old, new)
+
+
 def sql_list(values: tuple[str, ...]) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
@@ -48,14 +55,14 @@ hits AS (SELECT r.query_id, r.chunk_id, r.score, r.rank, d.source, d.text, q.que
 def bm25_hits(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
     """query_id, chunk_id, score, rank, source, text, question of the k best of every question."""
     docs, asked = corpus(spark, sf_dir), questions(spark, sf_dir)
-    top = lexical.top_k(lexical.bm25_scores(docs, asked, d_tokens(), q_tokens()), k)
+    top = lexical.bm25_top_k(docs, asked, d_tokens(), q_tokens(), k)
     top = top.repartition(spark.sparkContext.defaultParallelism)  # few bytes, which would be coalesced into one task, but each pair of texts costs much
     return top.join(docs.select("chunk_id", "source", "text"), "chunk_id").join(asked, "query_id")
 
 
 @query("bm25_topk", f"WITH {SQL_BM25} SELECT query_id, chunk_id, score, rank FROM ranked WHERE rank <= {K}")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.top_k(lexical.bm25_scores(corpus(spark, sf_dir), questions(spark, sf_dir), d_tokens(), q_tokens()), K)
+    return lexical.bm25_top_k(corpus(spark, sf_dir), questions(spark, sf_dir), d_tokens(), q_tokens(), K)
 
 
 @query("bm25_corpus_stats", f"WITH {SQL_CORPUS} SELECT n, round(avgdl, 6) AS avgdl, (SELECT count(DISTINCT term) FROM post) AS terms FROM stats")
@@ -143,12 +150,13 @@ def embedding_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(unit, F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
-# Questions of the hybrid queries: the ten main words of each document whose id is divisible by 20 and that has a vector.
-_HYBRID = SQL_BM25.replace(
+# Questions of the hybrid queries: the ten main words of each document whose id is divisible by 20, with or without a vector.
+_HYBRID = swap(
+    SQL_BM25,
     f"q AS (SELECT item_id AS query_id, text AS question, {sql_tokens('text')} AS toks FROM benchmark)",
     f"""words AS (SELECT chunk_id, term, count(*) AS tf, min(pos) AS first FROM (SELECT chunk_id, unnest(toks) AS term, generate_subscripts(toks, 1) AS pos FROM d WHERE chunk_id % 20 = 0) GROUP BY chunk_id, term),
 main AS (SELECT chunk_id, term, row_number() OVER (PARTITION BY chunk_id ORDER BY tf DESC, first) AS r FROM words QUALIFY r <= 10),
-q AS (SELECT chunk_id AS query_id, string_agg(term, ' ' ORDER BY r) AS question, list(term) AS toks FROM main WHERE chunk_id IN (SELECT vec_id FROM embeddings) GROUP BY chunk_id)""",
+q AS (SELECT chunk_id AS query_id, string_agg(term, ' ' ORDER BY r) AS question, list(term) AS toks FROM main GROUP BY chunk_id)""",
 )
 _CHANNELS = f"""{_HYBRID}, {SQL_VECTORS},
 own AS (SELECT query_id, 'vector' AS channel, chunk_id AS key, rank, 1 / (1 + distance) AS score FROM vector_top WHERE query_id IN (SELECT query_id FROM q)
@@ -156,12 +164,9 @@ own AS (SELECT query_id, 'vector' AS channel, chunk_id AS key, rank, 1 / (1 + di
 per AS (SELECT query_id, key, channel, max(rank) AS rank FROM own GROUP BY ALL)"""
 
 
-def main_word_questions(spark: SparkSession, sf_dir: str, without_vector: bool = False) -> DataFrame:
-    """query_id, question of the hybrid queries; with ``without_vector`` also of the documents that have no vector."""
-    asking = corpus(spark, sf_dir).filter("chunk_id % 20 = 0")
-    if not without_vector:
-        asking = asking.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id")), "chunk_id", "left_semi")
-    words = lexical.document_keywords(asking, d_tokens())
+def main_word_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, question of the hybrid queries."""
+    words = lexical.document_keywords(corpus(spark, sf_dir).filter("chunk_id % 20 = 0"), d_tokens())
     return words.groupBy(F.col("chunk_id").alias("query_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("rank", "term")))["term"], " ").alias("question"))
 
 
@@ -170,15 +175,13 @@ def vector_channel(spark: SparkSession, sf_dir: str, asked: DataFrame, k: int) -
     return near.select("query_id", F.lit("vector").alias("channel"), F.col("chunk_id").alias("key"), "rank", vector.similarity(F.col("distance")).alias("score"))
 
 
-def channels(spark: SparkSession, sf_dir: str, without_vector: bool = False) -> DataFrame:
-    """query_id, channel, key, rank, score: vector and lexical hits of the same questions; with
-    ``without_vector`` also of the questions that have no vector, and so lexical hits alone."""
-    return channels_of(spark, sf_dir, main_word_questions(spark, sf_dir, without_vector), 2 * K)
+def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, channel, key, rank, score: vector and lexical hits of the same questions; one without a vector has lexical hits alone."""
+    return channels_of(spark, sf_dir, main_word_questions(spark, sf_dir), 2 * K)
 
 
 def channels_of(spark: SparkSession, sf_dir: str, asked: DataFrame, k: int) -> DataFrame:
-    scores = lexical.bm25_scores(corpus(spark, sf_dir), asked, d_tokens(), q_tokens())
-    bm25 = lexical.top_k(scores, k).select("query_id", F.lit("bm25").alias("channel"), F.col("chunk_id").alias("key"), "rank", "score")
+    bm25 = lexical.bm25_top_k(corpus(spark, sf_dir), asked, d_tokens(), q_tokens(), k).select("query_id", F.lit("bm25").alias("channel"), F.col("chunk_id").alias("key"), "rank", "score")
     return vector_channel(spark, sf_dir, asked, k).unionByName(bm25)
 
 
@@ -202,13 +205,10 @@ def hybrid_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused.join(corpus(spark, sf_dir).select("chunk_id", "source", F.length("text").alias("chars")), "chunk_id", "left").drop("ranks")
 
 
-_ALL_CHANNELS = _CHANNELS.replace(" WHERE chunk_id IN (SELECT vec_id FROM embeddings)", "")
-
-
-@query("hybrid_all_questions", f"WITH {_ALL_CHANNELS}, {_rrf(_PAIR)} SELECT query_id, key AS chunk_id, rrf_score, rank FROM fused WHERE rank <= {K}")
+@query("hybrid_all_questions", f"WITH {_CHANNELS}, {_rrf(_PAIR)} SELECT query_id, key AS chunk_id, rrf_score, rank FROM fused WHERE rank <= {K}")
 def hybrid_all_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As the flagship, but every document whose id is divisible by 20 is asked, with or without a vector."""
-    fused = fusion.reciprocal_rank_fusion(channels(spark, sf_dir, without_vector=True), _PAIR)
+    """The fused ranks of the flagship alone."""
+    fused = fusion.reciprocal_rank_fusion(channels(spark, sf_dir), _PAIR)
     return fused.filter(F.col("rank") <= K).withColumnRenamed("key", "chunk_id").drop("ranks")
 
 
@@ -256,7 +256,7 @@ def max_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.max_merge(*_sides(spark, sf_dir), K, 0.4, 0.6)
 
 
-@query("detailed_hits", f"""WITH {_SIDES.replace("bs AS (SELECT query_id, key, score FROM own", "bs AS (SELECT query_id, key, 1 / (1 + (rank - 1)) AS score FROM own")}, m AS (SELECT query_id, key, {_KIND} AS source, round(coalesce(vs.score, bs.score), 6) AS score FROM vs FULL JOIN bs USING (query_id, key))
+@query("detailed_hits", f"""WITH {swap(_SIDES, "bs AS (SELECT query_id, key, score FROM own", "bs AS (SELECT query_id, key, 1 / (1 + (rank - 1)) AS score FROM own")}, m AS (SELECT query_id, key, {_KIND} AS source, round(coalesce(vs.score, bs.score), 6) AS score FROM vs FULL JOIN bs USING (query_id, key))
 SELECT query_id, key, source, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM m QUALIFY rank <= {K}""")
 def detailed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.detailed_hits(*_sides(spark, sf_dir), K)

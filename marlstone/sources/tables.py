@@ -41,7 +41,11 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shared_path(spark: SparkSession) -> str:
     """A new path below the folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/marlstone-{uuid.uuid4().hex}"
 
 
@@ -54,12 +58,9 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def read_files(spark: SparkSession, folder: str, patterns: Sequence[str] = ("*",), recursive: bool = False) -> DataFrame:
     """path, size, modified, content of the files below a folder that match any pattern, each once."""
-    found = None
-    for pattern in patterns:
-        reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
-        part = reader.load(folder).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
-        found = part if found is None else found.unionByName(part)
-    return found.dropDuplicates(["path"]) if len(patterns) > 1 else found
+    glob = patterns[0] if len(patterns) == 1 else "{" + ",".join(patterns) + "}"
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower())
+    return reader.load(folder).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
 
 
 def write_answers(records: DataFrame, path: str, kind: str = "parquet") -> None:
@@ -68,25 +69,6 @@ def write_answers(records: DataFrame, path: str, kind: str = "parquet") -> None:
     out.write.mode("overwrite").format(kind).options(**({"header": "true"} if kind == "csv" else {})).save(path)
 
 
-def save_index(postings: DataFrame, stats: DataFrame, path: str) -> None:
-    """A lexical index is two tables; postings are clustered by term so that a question reads few files."""
-    postings.repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
-    stats.write.mode("overwrite").parquet(f"{path}/stats")
-
-
-def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
-
-
-def save_vectors(vectors: DataFrame, path: str) -> None:
-    """A vector index is one table (chunk_id, embedding)."""
-    vectors.select("chunk_id", "embedding").write.mode("overwrite").parquet(path)
-
-
-def load_vectors(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def read_questions(spark: SparkSession, path: str, column: str = "question", kind: str = "csv") -> DataFrame:
     """question: the non-blank cells of a column of a question sheet, as CSV with a header or as any other format."""
     sheet = spark.read.format(kind).options(**({"header": "true", "multiLine": "true", "escape": '"'} if kind == "csv" else {})).load(path)

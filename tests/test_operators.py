@@ -125,14 +125,6 @@ def test_parsers_fall_back(spark, tmp_path):
     assert {r.error for r in pages.load_pages(files, (broken,)).collect()} == {"no"}
 
 
-def test_index_round_trip(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "alpha beta beta")], "chunk_id long, text string")
-    tokens = X.tokens(F.col("text"))
-    tables.save_index(lexical.postings(docs, tokens), lexical.corpus_stats(docs, tokens), str(tmp_path / "index"))
-    posted, stats = tables.load_index(spark, str(tmp_path / "index"))
-    assert sorted((r.term, r.tf) for r in posted.collect()) == [("alpha", 1), ("beta", 2)] and stats.first().n == 1
-
-
 def test_terms_are_counted_alike_on_either_way(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "b a b, ab"), (2, ""), (3, None), (4, "a a")], "chunk_id long, text string")
     asked = spark.createDataFrame([(7, "a b b"), (8, "")], "query_id long, question string")
