@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +36,7 @@ def section_level(line: Column, levels: Sequence[tuple[int, str]], default: int
 
 
 def sections(corpus: DataFrame, patterns: tuple[str, ...], keywords: tuple[str, ...] = (), least: int = 50, levels: Sequence[tuple[int, str]] = ()) -> DataFrame:
-    """doc_id, section_idx, title, level, start_pos, end_pos, body of sections longer than ``least``.
+    """doc_id, section_idx, title, level, start_pos, end_pos, body, body_pos (where the body starts) of sections longer than ``least``.
 
     A section runs from its title's line to the next title; text before the first is not part of one.
     start_pos is the length of the lines before the title, joined.  Each line travels once, to its document; a section's body is put together from its lines.
@@ -50,13 +49,14 @@ def sections(corpus: DataFrame, patterns: tuple[str, ...], keywords: tuple[str,
     numbered = placed.withColumn("section", F.count("title").over(order)).filter("section > 0")
     whole = numbered.groupBy("doc_id", "section").agg(
         F.min_by("title", "n").alias("title"), F.min_by("level", "n").alias("level"), F.greatest(F.min("start") - 1, F.lit(0)).alias("start_pos"),
+        F.min(F.col("start") + F.when(F.col("title").isNotNull(), F.length("line") - F.length(F.regexp_replace("line", f"^{X.SPACE}+", "")))).alias("body_pos"),
         F.max(F.col("start") + F.length("line")).alias("last"), F.array_sort(F.collect_list(F.struct("n", "line"))).alias("lines"),
     )
     following = Window.partitionBy("doc_id").orderBy("section")
     ended = whole.withColumn("end_pos", F.coalesce(F.lead("start_pos").over(following), F.col("last")))
     kept = ended.filter(F.col("end_pos") - F.col("start_pos") > least)
     body = X.strip(F.array_join("lines.line", "\n"))
-    return kept.select("doc_id", (F.row_number().over(following) - 1).alias("section_idx"), "title", "level", "start_pos", "end_pos", body.alias("body")).filter("body <> ''")
+    return kept.select("doc_id", (F.row_number().over(following) - 1).alias("section_idx"), "title", "level", "start_pos", "end_pos", body.alias("body"), "body_pos").filter("body <> ''")
 
 
 def enriched_section(title: Column, body: Column, level: Column, keywords: Column, entities: Column, marks: Mapping[int, str], tags: tuple[str, str, str]) -> Column:
@@ -95,69 +95,165 @@ def tagged_paragraphs(corpus: DataFrame, keywords: tuple[str, ...], separator: s
     return cut.select("doc_id", "paragraph_index", "tags", F.when(F.size("tags") > 0, F.concat(head, "p")).otherwise(F.col("p")).alias("content"))
 
 
-def _sentence_cuts(text: str, size: int, overlap: int, delimiters: str, progress: int, tail: int) -> list[tuple[int, int]]:
-    """Ends snap to the last occurrence, in the window, of the first delimiter that occurs there."""
-    n = len(text)
-    if n <= size:
-        return [(0, n)]
-    out, start = [], 0
-    while n - start > tail:
-        end = min(start + size, n)
-        if end < n:
-            end = next((at + 1 for d in delimiters if (at := text.rfind(d, start, end)) > start), end)
-        out.append((start, end))
-        if end >= n:
-            break
-        start = end - overlap if end - overlap > start else start + progress
-    return out
+def _last_place(window: Column, delimiter: str) -> Column:
+    """Place, from 0, of the last occurrence; null if there is none."""
+    return F.when(F.contains(window, F.lit(delimiter)), F.length(window) - F.length(F.substring_index(window, delimiter, -1)) - len(delimiter))
+
+
+def _blocks(size: int) -> Column:
+    """``text`` in blocks of ``size`` characters, so that any range of up to ``size`` lies in two of them, however long the text is."""
+    return F.regexp_extract_all("text", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
+def _range(blocks: str, start: Column, length: Column, size: int) -> Column:
+    place = F.floor(start / size).cast("int")
+    return F.substring(F.concat(F.get(blocks, place), F.coalesce(F.get(blocks, place + 1), F.lit(""))), start - place * size + 1, length)
 
 
-def sentence_chunks(corpus: DataFrame, size: int = 800, overlap: int = 100, delimiters: str = "。！？\n", progress: int = 200, tail: int = 50) -> DataFrame:
-    """doc_id, chunk_index, chunk_start, chunk_end, is_continuation, chunk.  Each cut depends on the one before it: an Arrow-batched map."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(d, i, a, b, i > 0, t[a:b]) for d, t in zip(frame["doc_id"], frame["text"].fillna(""), strict=True) for i, (a, b) in enumerate(_sentence_cuts(t, size, overlap, delimiters, progress, tail))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "chunk_start", "chunk_end", "is_continuation", "chunk"])
-
-    return corpus.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_index int, chunk_start int, chunk_end int, is_continuation boolean, chunk string")
-
-
-def _recursive(text: str, size: int, overlap: int, separators: tuple[str, ...]) -> list[str]:
-    """Split by the first separator that occurs, merge pieces up to ``size``, go on with the next one for longer pieces."""
-    if len(text) <= size:
-        return [text]
-    rest = next((i for i, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
-    separator, deeper = separators[rest], separators[rest + 1 :]
-    pieces = list(text) if separator == "" else text.split(separator)
-    out: list[str] = []
-    window: list[str] = []
-
-    def flush() -> None:
-        if window and (joined := separator.join(window).strip()):
-            out.append(joined)
-
-    for piece in pieces:
-        if len(piece) > size and deeper:
-            flush()
-            window.clear()
-            out += _recursive(piece, size, overlap, deeper)
-            continue
-        if window and len(separator.join([*window, piece])) > size:
-            flush()
-            while window and (len(separator.join(window)) > overlap or len(separator.join([*window, piece])) > size):
-                window.pop(0)
-        window.append(piece)
-    flush()
+def sentence_chunks(corpus: DataFrame, size: int = 800, overlap: int = 100, delimiters: str = "。！？\n", tail: int = 50, mark: str = "【续：{}】\n\n") -> DataFrame:
+    """The columns of ``corpus`` (title, text among them) and chunk_index, chunk_start, chunk_end, is_continuation, chunk.
+
+    A text of up to ``size`` characters stays as it is.  Else each chunk ends after the last occurrence, in its window, of the first of the
+    delimiters that occurs there; the next starts ``overlap`` before, or a quarter of the window on where that is no way forward.  Cutting
+    stops with ``tail`` characters or fewer left, or after as many steps as half windows and ten.  Chunks are stripped, blank ones go, and
+    all but the first name the title.  Null texts give no chunk.
+
+    Each cut depends on the one before, so the cuts are a fold over the steps, within the row.
+    """
+    n = F.length("text")
+    steps = F.sequence(F.lit(1), F.floor(n / (size // 2)).cast("int") + 10)
+    start = F.struct(F.lit(0).alias("start"), F.array().cast("array<struct<a:int,b:int,chunk:string>>").alias("cuts"))
+
+    def step(state: Column, _: Column) -> Column:
+        at = state["start"]
+        window = _range("__blocks", at, F.lit(size), size)
+        found = F.coalesce(*[_last_place(window, d) for d in delimiters], F.lit(0))
+        cut = F.when((at + size < n) & (found > 0), found + 1).otherwise(size)
+        chunk = X.strip(F.substring(window, F.lit(1), cut))
+        cuts = F.when(chunk != "", F.array_append(state["cuts"], F.struct(at.alias("a"), (at + cut).cast("int").alias("b"), chunk.alias("chunk")))).otherwise(state["cuts"])
+        ahead = at + F.when(cut > overlap, cut - overlap).otherwise(max(1, size // 4))
+        going = (at < n) & ((at == 0) | (at < n - tail))
+        return F.when(going, F.struct(ahead.cast("int").alias("start"), cuts.alias("cuts"))).otherwise(state)
+
+    whole = F.array(F.struct(F.lit(0).alias("a"), n.alias("b"), F.col("text").alias("chunk")))
+    cuts = F.when(n <= size, whole).otherwise(F.aggregate(steps, start, step)["cuts"])
+    cut = corpus.withColumn("__blocks", F.when(n > size, _blocks(size))).select(*corpus.columns, F.posexplode(cuts).alias("chunk_index", "c"))
+    later = F.col("chunk_index") > 0
+    before, after = mark.split("{}")
+    chunk = F.when(later, F.concat(F.lit(before), F.coalesce("title", F.lit("")), F.lit(after), F.col("c.chunk"))).otherwise(F.col("c.chunk"))
+    return cut.select(*corpus.columns, "chunk_index", F.col("c.a").alias("chunk_start"), F.col("c.b").alias("chunk_end"), later.alias("is_continuation"), chunk.alias("chunk"))
+
+
+_PIECE = "array<struct<start:int,node:bigint,piece:string>>"
+
+
+def _split_parts(size: int, level: int, separator: str, levels: int) -> Callable[[Column], Column]:
+    """What a part becomes at a separator: itself, or its parts, each with the separator before it."""
+
+    def split(p: Column) -> Column:
+        node = (p["start"].cast("long") * levels + level).alias("node")
+        if separator:
+            texts = F.transform(F.split(p["piece"], rf"\Q{separator}\E"), lambda x, i: F.when(i > 0, F.concat(F.lit(separator), x)).otherwise(x))
+            # Parts follow each other without a gap, so a running sum of lengths is the next part's start.
+            begin = F.struct(p["start"].alias("at"), F.array().cast(_PIECE).alias("out"))
+            placed = F.aggregate(
+                F.filter(texts, lambda x: x != ""), begin,
+                lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.array_append(s["out"], F.struct(s["at"].alias("start"), node, x.alias("piece"))).alias("out")),
+            )["out"]
+            held = F.contains(p["piece"], F.lit(separator))
+        else:
+            letters = F.filter(F.split(p["piece"], ""), lambda x: x != "")
+            placed, held = F.transform(letters, lambda x, i: F.struct((p["start"] + i).alias("start"), node, x.alias("piece"))), F.lit(True)
+        todo = (F.length(p["piece"]) >= size) | (p["node"] == -1)
+        return F.when(todo & held, placed).otherwise(F.array(p)).cast(_PIECE)
+
+    return split
+
+
+def _pieces(size: int, separators: Sequence[str]) -> Column:
+    """The parts of ``text`` that chunks are put together from: start, node (the part that was split into them), piece.
+
+    The text, and then each part of ``size`` characters or more, is split by the first separator of the list that occurs in it.
+    """
+    out = F.array(F.struct(F.lit(0).alias("start"), F.lit(-1).cast("long").alias("node"), F.col("text").alias("piece"))).cast(_PIECE)
+    for level, separator in enumerate(separators):
+        out = F.flatten(F.transform(out, _split_parts(size, level, separator, len(separators))))
     return out
 
 
-def recursive_chunks(corpus: DataFrame, size: int = 500, overlap: int = 50, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> DataFrame:
-    """doc_id, chunk_index, chunk by recursive separators."""
+def recursive_chunks(corpus: DataFrame, size: int = 500, overlap: int = 50, separators: Sequence[str] = ("\n\n", "\n", " ", "")) -> DataFrame:
+    """The columns of ``corpus`` (text among them) and chunk_index, start, chunk, by recursive separators, the last of which is empty.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(d, i, c) for d, t in zip(frame["doc_id"], frame["text"].fillna(""), strict=True) for i, c in enumerate(x for x in _recursive(t, size, overlap, separators) if x)]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "chunk"])
+    Parts keep the separator before them.  Parts of one node follow each other in a chunk of up to ``size`` characters; the next chunk
+    begins with as many of the last parts as fit ``overlap``, and the part to come fits with them.  Chunks are stripped, blank ones go.
 
-    return corpus.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_index int, chunk string")
+    As parts have no gaps, a chunk is a range of the text: a fold over the parts keeps the range's start, and looks back over
+    the last ``overlap`` parts for the next one's.
+    """
+    if not separators or separators[-1] != "":
+        raise ValueError("the last separator must be empty")
+    kind = "array<struct<a:int,b:int>>"
+    start = F.struct(F.lit(-1).cast("long").alias("node"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.array().cast(kind).alias("cuts"))
+
+    def step(state: Column, i: Column) -> Column:
+        p = F.get("__pieces", i)
+        at, length = p["start"], F.length(p["piece"])
+        closed = F.array_append(state["cuts"], F.struct(state["a"].alias("a"), state["b"].alias("b")))
+        other, full = p["node"] != state["node"], at - state["a"] + length > size
+        room = at - F.least(F.lit(overlap), size - length)
+        back = F.slice("__pieces", F.greatest(i - overlap, F.lit(0)) + 1, F.least(i, F.lit(overlap)))
+        kept = F.filter(back, lambda q: (q["node"] == p["node"]) & (q["start"] >= F.greatest(state["a"], room)))
+        first = F.coalesce(F.get(kept, F.lit(0))["start"], at)
+        return F.struct(
+            p["node"].alias("node"), F.when(other, at).when(full & (at > state["a"]), first).otherwise(state["a"]).cast("int").alias("a"), (at + length).cast("int").alias("b"),
+            F.when((other & (state["b"] > state["a"])) | (~other & full & (at > state["a"])), closed).otherwise(state["cuts"]).cast(kind).alias("cuts"),
+        )
+
+    folded = F.aggregate(F.when(F.size("__pieces") > 0, F.sequence(F.lit(0), F.size("__pieces") - 1)).otherwise(F.array().cast("array<int>")), start, step)
+    rows = corpus.withColumns({"__pieces": _pieces(size, separators), "__blocks": _blocks(size)}).withColumn("__state", folded)
+    ranges = F.when(F.col("__state.b") > F.col("__state.a"), F.array_append("__state.cuts", F.struct(F.col("__state.a").alias("a"), F.col("__state.b").alias("b")))).otherwise(F.col("__state.cuts"))
+    cut = F.transform(ranges, lambda r: F.struct(r["a"].alias("start"), X.strip(_range("__blocks", r["a"], r["b"] - r["a"], size)).alias("chunk")))
+    out = rows.select(*corpus.columns, F.posexplode(F.filter(cut, lambda c: c["chunk"] != "")).alias("chunk_index", "c"))
+    return out.select(*corpus.columns, "chunk_index", "c.start", "c.chunk")
+
+
+def page_files(pages: DataFrame) -> DataFrame:
+    """path, text, spans (page, start, end) from (path, page, text): the pages of a file in their order, a line feed after each, and where each lies.
+
+    A null page text counts as empty.  Pages of one number follow each other by their text.
+    """
+    gathered = pages.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("page", F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("text")))).alias("__pages"))
+    kind = "array<struct<page:bigint,start:int,end:int>>"
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
+    placed = F.aggregate("__pages", begin, lambda s, p: F.struct((s["at"] + F.length(p["text"])).alias("at"), F.array_append(s["spans"], F.struct(p["page"].cast("long").alias("page"), s["at"].alias("start"), (s["at"] + F.length(p["text"])).alias("end"))).alias("spans")))
+    return gathered.select("path", F.array_join("__pages.text", "").alias("text"), placed["spans"].alias("spans"))
+
+
+def pages_of(spans: Column, start: Column, end: Column) -> Column:
+    """The pages that a range of the file's text touches."""
+    return F.filter(spans, lambda p: (p["start"] < end) & (p["end"] > start))["page"]
+
+
+def load_chapters(
+    pages: DataFrame, patterns: tuple[str, ...], levels: Sequence[tuple[int, str]], keywords: tuple[str, ...], entities: Column, marks: Mapping[int, str], tags: tuple[str, str, str],
+    size: int = 800, overlap: int = 100, delimiters: str = "。！？\n", mark: str = "【续：{}】\n\n",
+) -> DataFrame:
+    """path, section_idx, title, level, chunk_index, chunk, pages of files given by their pages (path, page, text).
+
+    A file's pages become one text, which is cut into sections; each section, below its enriched title, into chunks at sentence ends.
+    A chunk's pages are those that its part of the file's text touches.  A file without sections gives its pages' paragraphs (no title).
+    ``entities`` is an array column over ``path``.
+    """
+    files = page_files(pages)
+    found = sections(files.withColumnRenamed("path", "doc_id"), patterns, levels=levels).withColumnRenamed("doc_id", "path")
+    chapters = found.join(files.select("path", "spans"), "path")
+    words = F.array(*[F.lit(k) for k in keywords])
+    content = enriched_section(F.col("title"), F.col("body"), F.col("level"), words, entities, marks, tags)
+    cut = sentence_chunks(chapters.withColumn("text", content).select("path", "section_idx", "title", "level", "spans", "text", "body_pos", F.length("body").alias("size"), (F.length(content) - F.length("body")).alias("head")), size, overlap, delimiters, mark=mark)
+    place = lambda at, least: F.col("body_pos") + F.least(F.greatest(F.col(at) - F.col("head"), F.lit(least)), F.col("size"))
+    begin, end = place("chunk_start", 0), place("chunk_end", 1)
+    chunks = cut.select("path", "section_idx", "title", "level", "chunk_index", "chunk", pages_of(F.col("spans"), begin, end).alias("pages"))
+    plain = pages.join(found.select("path").distinct(), "path", "left_anti")
+    named = tagged_paragraphs(plain.select(F.struct("path", F.col("page").cast("long").alias("page")).alias("doc_id"), "text"), keywords)
+    rest = named.select("doc_id.path", F.lit(None).cast("int").alias("section_idx"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("level"), F.col("paragraph_index").alias("chunk_index"), F.col("content").alias("chunk"), F.array("doc_id.page").alias("pages"))
+    return chunks.unionByName(rest)

@@ -98,8 +98,8 @@ def _scored(posted: DataFrame, asked: DataFrame, terms: DataFrame, k1: float, b:
     return _hits(posted, terms, asked).groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-#: Cells of a task's table of scores, and entries that are summed into it at a time: some 100 MB together.
-CELLS, ENTRIES = 1 << 21, 1 << 22
+#: Cells of a task's table of scores, entries that are summed into it at a time, and texts whose tokens are looked up at a time: some 100 MB together.
+CELLS, ENTRIES, TEXTS = 1 << 19, 1 << 20, 256
 #: Question blocks of MOST_TERMS terms, each of which reads the corpus once; beyond them both sides meet by term.
 MOST_BLOCKS = 16
 
@@ -139,19 +139,19 @@ def _best_of(texts: DataFrame, asked: DataFrame, k: int, avgdl: float, k1: float
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, ends, query, weight, ids = shipped.value
         keeper = _Best(len(ids), k, signed=bool((weight <= 0).any()))
-        for batch in batches:
+        for batch in (whole.slice(at, TEXTS) for whole in batches for at in range(0, whole.num_rows, TEXTS)):
             chunk, toks = batch.column(0).to_numpy(), batch.column(1)
             dl = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(chunk)), dl)
-            code = pc.fill_null(pc.index_in(toks.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            key, tf = np.unique(row[code >= 0] * len(terms) + code[code >= 0], return_counts=True)
+            code = pc.fill_null(pc.index_in(toks.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(chunk)), dl)[code >= 0]
+            key, tf = np.unique(row * len(terms) + code[code >= 0], return_counts=True)
             row, code = np.divmod(key, max(len(terms), 1))
             gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / avgdl))
             for at in range(0, len(chunk), step):
                 lo, hi = np.searchsorted(row, [at, at + step])
                 first, n = ends[code[lo:hi]], np.diff(ends)[code[lo:hi]]
                 place = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if hi > lo else np.zeros(0, np.int64)
-                cell = np.repeat(row[lo:hi] - at, n) * len(ids) + query[place]
+                cell = np.repeat((row[lo:hi] - at) * len(ids), n) + query[place]
                 keeper.add(chunk[at : at + step], cell, np.repeat(gain[lo:hi], n) * weight[place])
         q, c, s = keeper.rows()
         yield pa.RecordBatch.from_pydict({"query_id": ids[q], "chunk_id": c, "score": s}, schema=pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())]))

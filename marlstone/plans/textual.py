@@ -16,6 +16,10 @@ from marlstone.sources.tables import answers, corpus, questions, table
 _STRIP = r"regexp_replace({}, '^[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+|[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+$', '', 'g')"
 
 
+#: White space in the Unicode sense.
+_SQL_SPACE = _STRIP[_STRIP.index("[") : _STRIP.index("]") + 1].replace("{{", "{").replace("}}", "}")
+
+
 def sql_strip(column: str) -> str:
     return _STRIP.format(column)
 
@@ -71,14 +75,14 @@ def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.fixed_chunks(corpus(spark, sf_dir)).select("doc_id", "chunk_idx", "start", F.md5("chunk").alias("chunk_hash"))
 
 
-def _sections_sql() -> str:
+def _sections_sql(patterns: tuple[str, ...] = L.PROSE_SECTIONS, source: str = "documents") -> str:
     line = sql_strip("line")
-    title = "CASE " + " ".join(f"WHEN regexp_matches({line}, '{p}') THEN nullif({sql_strip(f'regexp_extract({line}, ' + chr(39) + p + chr(39) + ', 1)')}, '')" for p in L.PROSE_SECTIONS) + " END"
+    title = "CASE " + " ".join(f"WHEN regexp_matches({line}, '{p}') THEN nullif({sql_strip(f'regexp_extract({line}, ' + chr(39) + p + chr(39) + ', 1)')}, '')" for p in patterns) + " END"
     return f"""
-parts AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
+parts AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM {source}),
 placed AS (SELECT doc_id, text, {title} AS title, coalesce(sum(length(line)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + greatest(n - 1, 0) AS start_pos FROM parts),
 ended AS (SELECT *, coalesce(lead(start_pos) OVER (PARTITION BY doc_id ORDER BY start_pos), length(text)) AS end_pos FROM placed WHERE title IS NOT NULL),
-sections AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start_pos) - 1 AS section_idx, title, start_pos, end_pos, {sql_strip('substring(text, start_pos + 1, end_pos - start_pos)')} AS body FROM ended WHERE end_pos - start_pos > 50)"""
+sections AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start_pos) - 1 AS section_idx, title, start_pos, end_pos, start_pos + length(regexp_extract(substring(text, start_pos + 1, end_pos - start_pos), '^{_SQL_SPACE}*')) AS body_pos, {sql_strip('substring(text, start_pos + 1, end_pos - start_pos)')} AS body FROM ended WHERE end_pos - start_pos > 50)"""
 
 
 @query("detect_sections", f"WITH {_sections_sql()} SELECT doc_id, section_idx, title, start_pos, end_pos, md5(body) AS body_hash FROM sections WHERE body <> ''")
@@ -137,14 +141,74 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("doc_id", F.size(chunking.sentences(F.col("text"), ".!?。！？\n")).alias("sentences"))
 
 
-@query("chunk_sentence")
+def _sentence_sql(source: str, keys: str = "doc_id", size: int = 800, overlap: int = 100, mark: str = "continued") -> str:
+    """chunks: the texts of the relation ``source`` (keys, title, text) cut at sentence ends."""
+    window = f"substring(text, a + 1, {size})"
+    last = "CASE " + " ".join(f"WHEN contains(w, {d}) THEN length(regexp_extract(w, '(?s)^(.*){p}', 1))" for d, p in (("'.'", "[.]"), ("'!'", "!"), ("'?'", "[?]"), ("chr(10)", "[\\n]"))) + " ELSE 0 END"
+    return f"""
+cut_texts AS MATERIALIZED (SELECT *, length(text) AS n FROM {source} WHERE text IS NOT NULL),
+steps AS (
+  SELECT {keys}, 1 AS i, 0 AS a, CASE WHEN {size} < n AND {last} > 0 THEN {last} + 1 ELSE {size} END AS cut FROM (SELECT *, substring(text, 1, {size}) AS w FROM cut_texts WHERE n > {size})
+  UNION ALL
+  SELECT {keys}, i, a, CASE WHEN a + {size} < n AND {last} > 0 THEN {last} + 1 ELSE {size} END FROM (
+    SELECT {keys}, i, a, n, {window} AS w FROM (
+      SELECT {', '.join('s.' + k.strip() for k in keys.split(','))}, i + 1 AS i, a + CASE WHEN cut > {overlap} THEN cut - {overlap} ELSE {size // 4} END AS a, n, text FROM steps s JOIN cut_texts t USING ({keys})
+    ) WHERE a < n - 50 AND i <= n // {size // 2} + 10)
+),
+sentence_parts AS (
+  SELECT {keys}, title, a, a + cut AS b, {sql_strip('substring(text, a + 1, cut)')} AS chunk FROM steps JOIN cut_texts USING ({keys})
+  UNION ALL SELECT {keys}, title, 0, n, text FROM cut_texts WHERE n <= {size}
+),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY a) - 1 AS chunk_index FROM sentence_parts WHERE chunk <> '' OR b <= {size} AND a = 0),
+chunks AS (SELECT * EXCLUDE (chunk), CASE WHEN chunk_index > 0 THEN '[{mark}: ' || coalesce(title, '') || ']' || chr(10) || chr(10) || chunk ELSE chunk END AS chunk FROM numbered)"""
+
+
+_MARK = "[continued: {}]\n\n"
+_SENTENCES = ".!?\n"
+
+
+@query("chunk_sentence", f"WITH RECURSIVE titled AS (SELECT doc_id, source AS title, text FROM documents), {_sentence_sql('titled')} SELECT doc_id, chunk_index, a AS chunk_start, b AS chunk_end, chunk_index > 0 AS is_continuation, md5(chunk) AS chunk FROM chunks")
 def chunk_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.sentence_chunks(corpus(spark, sf_dir), delimiters=".!?\n").withColumn("chunk", F.md5("chunk"))
-
-
-@query("chunk_recursive")
-def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.recursive_chunks(corpus(spark, sf_dir)).withColumn("chunk", F.md5("chunk"))
+    titled = corpus(spark, sf_dir).select("doc_id", F.col("source").alias("title"), "text")
+    return chunking.sentence_chunks(titled, delimiters=_SENTENCES, mark=_MARK).select("doc_id", "chunk_index", "chunk_start", "chunk_end", "is_continuation", F.md5("chunk").alias("chunk"))
+
+
+def _recursive_sql(size: int, overlap: int, separators: tuple[str, ...]) -> str:
+    """The parts of a text level by level, then a fold over them that keeps the start of the chunk in work."""
+    levels, before = [], "p0"
+    for i, separator in enumerate(separators):
+        literal = "||".join(f"chr({ord(c)})" for c in separator)
+        todo = f"(length(piece) >= {size} OR node = -1)" + (f" AND contains(piece, {literal})" if separator else "")
+        parts = f"list_transform(string_split(piece, {literal}), lambda x, i: CASE WHEN i > 1 THEN {literal} || x ELSE x END)" if separator else "string_split(piece, '')"
+        levels.append(f"""
+s{i} AS (SELECT doc_id, start, node, x, i FROM (SELECT doc_id, start, node, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM (SELECT *, {parts} AS x FROM {before} WHERE {todo})) WHERE x <> ''),
+p{i + 1} AS (SELECT doc_id, start + coalesce(sum(length(x)) OVER (PARTITION BY doc_id, start, node ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, start * {len(separators)} + {i} AS node, x AS piece FROM s{i}
+  UNION ALL SELECT doc_id, start, node, piece FROM {before} WHERE NOT ({todo}))""")
+        before = f"p{i + 1}"
+    return f"""WITH p0 AS (SELECT doc_id, 0::BIGINT AS start, -1::BIGINT AS node, text AS piece FROM documents WHERE text <> ''),{','.join(levels)},
+placed AS (SELECT doc_id, node, start, length(piece) AS len, min(start) OVER (PARTITION BY doc_id, node ORDER BY start RANGE BETWEEN least({overlap}, {size} - length(piece)) PRECEDING AND CURRENT ROW) AS first FROM {before}),
+folded AS (
+  SELECT doc_id, list_reduce(list({{'node': node, 'start': start, 'len': len, 'first': first, 'a': start, 'cuts': []::STRUCT(a BIGINT, b BIGINT)[]}} ORDER BY start), lambda s, x: {{
+    'node': x.node, 'start': x.start, 'len': x.len, 'first': x.first,
+    'a': CASE WHEN x.node <> s.node THEN x.start WHEN x.start - s.a + x.len > {size} AND x.start > s.a THEN x.first ELSE s.a END,
+    'cuts': CASE WHEN x.node <> s.node OR (x.start - s.a + x.len > {size} AND x.start > s.a) THEN list_append(s.cuts, {{'a': s.a, 'b': s.start + s.len}}) ELSE s.cuts END}}) AS s FROM placed GROUP BY doc_id
+),
+ranges AS (SELECT doc_id, unnest(list_append(s.cuts, {{'a': s.a, 'b': s.start + s.len}})) AS r FROM folded),
+stripped AS (SELECT doc_id, r.a AS start, r.b AS b, {sql_strip('substring(text, r.a + 1, r.b - r.a)')} AS chunk FROM ranges JOIN documents USING (doc_id))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start, b) - 1 AS chunk_index, start, md5(chunk) AS chunk FROM stripped WHERE chunk <> ''"""
+
+
+def _recursive(name: str, size: int, overlap: int, separators: tuple[str, ...]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        cut = chunking.recursive_chunks(corpus(spark, sf_dir).select("doc_id", "text"), size, overlap, separators)
+        return cut.select("doc_id", "chunk_index", "start", F.md5("chunk").alias("chunk"))
+
+    query(name, _recursive_sql(size, overlap, separators))(run)
+
+
+_recursive("chunk_recursive", 500, 50, ("\n\n", "\n", " ", ""))
+# The rebuild's sizes, with the stops of the prose as separators.
+_recursive("chunk_recursive_rebuild", 800, 100, ("\n\n", "\n", ".", "!", "?", " ", ""))
 
 
 _HTML = r"""regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?i)</(p|h1|h2|h3|li|title|div|tr)>', chr(10), 'g'), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '[ \t]+', ' ', 'g')"""
@@ -293,3 +357,35 @@ def batch_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("context_stats", f"""WITH {SQL_BM25} SELECT query_id, count(*) AS texts, sum(length(text))::BIGINT AS characters, round(avg(length(text)), 6) AS mean_characters, count(DISTINCT source) AS sources FROM hits GROUP BY query_id""")
 def context_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_hits(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("texts"), F.sum(F.length("text")).alias("characters"), F.round(F.avg(F.length("text")), 6).alias("mean_characters"), F.countDistinct("source").alias("sources"))
+
+
+#: Two pages of the table are a file.
+_FILE = 2
+_FILES = f"""page_texts AS (SELECT page_id // {_FILE} AS path, page_id AS page, {_HTML} AS text FROM pages),
+spans AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY path ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s, sum(length(text) + 1) OVER (PARTITION BY path ORDER BY page)::BIGINT AS e FROM page_texts),
+files AS (SELECT path AS doc_id, string_agg(text || chr(10), '' ORDER BY page) AS text FROM page_texts GROUP BY path)"""
+
+
+def _load_sql() -> str:
+    tagged = lambda words, prefix: f"array_to_string(list_transform({words}, lambda w: ' {prefix}' || w), '')"
+    level = "CASE " + " ".join(f"WHEN regexp_matches(first_line, '{p}') THEN {n}" for n, p in L.PAGE_LEVELS) + " ELSE 2 END"
+    found = _sections_sql(L.PAGE_SECTIONS, "files")
+    content = f"""CASE level {' '.join(f"WHEN {n} THEN '{m}'" for n, m in _MARKS.items())} END || title || {tagged(f"list_filter({sql_list(L.PROSE_KEYWORDS)}, lambda w: contains(title, w))", _TAGS[0])} || {tagged('e', _TAGS[1])} || {tagged('list_filter(e, lambda w: contains(body, w) AND NOT contains(title, w))', _TAGS[2])} || chr(10) || chr(10) || body"""
+    return f"""WITH RECURSIVE {_FILES},{found},
+lined AS (SELECT *, {sql_strip("string_split(body, chr(10))[1]")} AS first_line, ['file ' || doc_id] AS e FROM sections WHERE body <> ''),
+titled AS (SELECT doc_id, section_idx, title, body_pos, length(body) AS size, level, {content} AS text, length({content}) - length(body) AS head FROM (SELECT *, {level} AS level FROM lined)),{_sentence_sql('titled', 'doc_id, section_idx')},
+chunked AS (SELECT c.doc_id AS path, c.section_idx, c.title, t.level, c.chunk_index, md5(c.chunk) AS chunk, (SELECT string_agg(page, ',' ORDER BY page) FROM spans p WHERE p.path = c.doc_id AND p.s < t.body_pos + least(greatest(c.b - t.head, 1), t.size) AND p.e > t.body_pos + least(greatest(c.a - t.head, 0), t.size)) AS pages
+  FROM chunks c JOIN titled t ON t.doc_id = c.doc_id AND t.section_idx = c.section_idx),
+loose AS (SELECT path, page, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS paragraph_index FROM page_texts WHERE path NOT IN (SELECT doc_id FROM sections WHERE body <> '')),
+marked AS (SELECT *, list_filter({sql_list(L.PROSE_KEYWORDS)}, lambda k: contains(p, k)) AS tags FROM (SELECT path, page, paragraph_index, {sql_strip('raw')} AS p FROM loose) WHERE length(p) >= 20)
+SELECT * FROM chunked UNION ALL
+SELECT path, NULL, NULL, NULL, paragraph_index, md5(CASE WHEN len(tags) > 0 THEN '[' || array_to_string(tags, '][') || ']' || chr(10) || chr(10) || p ELSE p END), page::VARCHAR FROM marked"""
+
+
+@query("full_load", _load_sql())
+def full_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of two pages by chapters, each chunk with its pages; files without chapters by paragraphs."""
+    pages = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / _FILE).alias("path"), F.col("page_id").alias("page"), html_text(F.col("html")).alias("text"))
+    entities = F.array(F.concat(F.lit("file "), F.col("path").cast("string")))
+    cut = chunking.load_chapters(pages, L.PAGE_SECTIONS, L.PAGE_LEVELS, L.PROSE_KEYWORDS, entities, _MARKS, _TAGS, delimiters=_SENTENCES, mark=_MARK)
+    return cut.select("path", "section_idx", "title", "level", "chunk_index", F.md5("chunk").alias("chunk"), F.array_join(F.array_sort("pages"), ",").alias("pages"))
