@@ -104,6 +104,12 @@ CELLS, ENTRIES, TEXTS = 1 << 19, 1 << 20, 256
 MOST_BLOCKS = 16
 
 
+def few_tasks(rows: DataFrame, n: int, most: int) -> DataFrame:
+    """``rows``, of which there are ``n``, in tasks that return ``most`` rows each: where that is more than they read, in no more tasks than there are cores."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, n // max(most, 1))
+    return rows.coalesce(tasks) if rows.rdd.getNumPartitions() > tasks else rows
+
+
 def bm25_top_k(corpus: DataFrame, questions: DataFrame, tokens: Column, query_tokens: Column, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query_id, chunk_id, score, rank: the k best of ``bm25_scores``, of every question.
 
@@ -118,8 +124,9 @@ def bm25_top_k(corpus: DataFrame, questions: DataFrame, tokens: Column, query_to
     blocks = max(-(-size["n"] // MOST_TERMS), -(-size["chars"] // MOST_CHARACTERS), 1)
     if blocks > MOST_BLOCKS or corpus.schema["chunk_id"].dataType != LongType() or questions.schema["query_id"].dataType != LongType():
         return top_k(_scored(term_counts(corpus, tokens), asked.join(F.broadcast(stats)), asked, k1, b), k)
-    avgdl = (stats.first() or {"avgdl": None})["avgdl"] or 1.0
-    texts = corpus.select("chunk_id", tokens.alias("toks"))
+    row = stats.first()
+    n, avgdl = (row["n"], row["avgdl"] or 1.0) if row else (0, 1.0)
+    texts = few_tasks(corpus.select("chunk_id", tokens.alias("toks")), n, questions.count() * k)
     found = None
     for block in range(blocks):
         part = _best_of(texts, asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block), k, avgdl, k1, b)

@@ -33,7 +33,7 @@ SLACK = 1e-5
 
 
 class Index(NamedTuple):
-    """postings: block, term, chunk_id, dl, tf; bounds: block, term, most; champions: the best bounds of a term; terms: term, df; stats: n, avgdl, k1, b."""
+    """postings: block, term, chunk_id, dl, tf; bounds: block, term, most; champions: the best bounds of each term with more than CHAMPIONS; terms: term, df, blocks; stats: n, avgdl, k1, b."""
 
     postings: DataFrame
     bounds: DataFrame
@@ -63,9 +63,10 @@ def save(corpus: DataFrame, tokens: Column, path: str, k1: float = 1.5, b: float
     postings = put(counted.select("at.block", "term", "at.chunk_id", "dl", "tf"), "postings")
     stats = put(lexical.corpus_stats(corpus, tokens).withColumns({"k1": F.lit(k1), "b": F.lit(b)}), "stats")
     bounds = put(postings.join(F.broadcast(stats)).groupBy("block", "term").agg(F.max(_gain()).alias("most"), F.count("*").alias("df")), "bounds")
-    put(bounds.groupBy("term").agg(F.sum("df").alias("df")), "terms")
+    terms = put(bounds.groupBy("term").agg(F.sum("df").alias("df"), F.count("*").alias("blocks")), "terms")
     place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("most"), "block"))
-    put(bounds.withColumn("place", place).filter(F.col("place") <= CHAMPIONS).select("block", "term", "most"), "champions")
+    common = _small(terms.filter(F.col("blocks") > CHAMPIONS).select("term"))
+    put(bounds.join(common, "term", "left_semi").withColumn("place", place).filter(F.col("place") <= CHAMPIONS).select("block", "term", "most"), "champions")
     return load(spark, path)
 
 
@@ -103,7 +104,9 @@ def kth_scores(scores: DataFrame, k: int) -> DataFrame:
 
 def seed_blocks(index: Index, asked: DataFrame, seeds: int) -> DataFrame:
     """query_id, block: the blocks that offer most in the lists of best blocks of the question's terms."""
-    parts = index.champions.join(_small(asked), "term").groupBy("query_id", "block").agg(F.sum(F.col("weight") * F.col("most")).alias("part"))
+    rare = asked.join(index.terms.filter(F.col("blocks") <= CHAMPIONS).select("term"), "term", "left_semi")
+    offers = index.champions.join(_small(asked), "term").unionByName(index.bounds.select("block", "term", "most").join(_small(materialise(rare)), "term"))
+    parts = offers.groupBy("query_id", "block").agg(F.sum(F.col("weight") * F.col("most")).alias("part"))
     return _ranked(parts, F.desc("part"), F.col("block")).filter(F.col("rank") <= seeds).select("query_id", "block")
 
 

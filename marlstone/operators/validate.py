@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import difflib
+import re
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,31 +46,11 @@ def character_overlap(answer: Column, context: Column) -> Column:
 
 def facts(text: Column, patterns: tuple[str, ...] = L.FACT_PATTERNS, indicators: str = L.FACT_INDICATORS, delimiters: str = "。！？\n") -> Column:
     """Distinct matches of the patterns in their order, then the factual sentences."""
-    matched = F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)) for p in patterns]))
+    own = lambda p: p if re.compile(p).groups else f"({p})"  # noqa: E731  a pattern's group, if it has one, is the fact
+    matched = F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(own(p)), F.lit(1)) for p in patterns]))
     return F.concat(F.transform(matched, X.strip), F.filter(sentences(text, delimiters), lambda s: s.rlike(indicators)))
 
 
-def supported(answer_facts: Column, context_facts: Column, similarity: float = 0.6, share: float = 0.6) -> Column:
-    """The answer's facts that the context supports: equal, of edit ratio ``similarity``, or of enough shared words.
-
-    An Arrow-batched UDF: the edit ratio has no counterpart among the built-in functions.
-    """
-    def words(fact: str) -> set[str]:
-        return {w for w in fact.lower().split() if len(w) > 1}
-
-    def backed(fact: str, others: list[str]) -> bool:
-        if fact in others:
-            return True
-        own = words(fact)
-        return any(difflib.SequenceMatcher(None, fact, o).ratio() >= similarity or len(own & words(o)) >= share * len(own) for o in others)
-
-    @F.pandas_udf("array<string>")
-    def run(own: pd.Series, context: pd.Series) -> pd.Series:
-        return pd.Series([[f for f in a if backed(f, list(b))] for a, b in zip(own, context, strict=True)])
-
-    return run(answer_facts, context_facts)
-
-
 def confidence(rouge: Column, bleu: Column, overlap: Column, n_facts: Column, n_supported: Column, is_date: Column) -> Column:
     """Overlap and fact support by branch, less a penalty for unsupported facts, raised for high overlap; 0 to 1."""
     weighted = 0.3 * rouge + 0.2 * bleu + 0.5 * overlap
@@ -109,17 +88,5 @@ def complete(question: Column, answer: Column, uncertain: tuple[str, ...] = L.UN
     return (F.length(answer) >= least) & ~hedged & (F.size(F.array_intersect(asked, said)) >= share * F.size(asked))
 
 
-def validate(answers: DataFrame, stopwords: tuple[str, ...] = (), fact_patterns: tuple[str, ...] = L.FACT_PATTERNS, fact_indicators: str = L.FACT_INDICATORS, delimiters: str = "。！？\n", off_topic: tuple[float, float, float] = (0.3, 0.2, 0.25), hallucination: float = 0.2) -> DataFrame:
-    """answer_id and the measures of each answer; facts count as supported when the context has an equal one."""
-    a, c = F.col("answer"), F.col("context")
-    out = answers.withColumns({"rouge": F.round(unigram_overlap(a, c, stopwords), 6), "bleu": F.round(bigram_overlap(a, c, stopwords), 6), "overlap": F.round(character_overlap(a, c), 6), "facts": facts(a, fact_patterns, fact_indicators, delimiters), "known": facts(c, fact_patterns, fact_indicators, delimiters)})
-    out = out.withColumns({"n_facts": F.size("facts"), "n_supported": F.size(F.filter("facts", lambda f: F.array_contains("known", f)))})
-    off = (F.col("rouge") < off_topic[0]) & (F.col("bleu") < off_topic[1]) & (F.col("overlap") < off_topic[2])
-    date = F.array_join("facts", " ").rlike(L.DATE_PATTERN)
-    out = out.withColumns({"off_topic": off, "confidence": F.round(confidence(F.col("rouge"), F.col("bleu"), F.col("overlap"), F.col("n_facts"), F.col("n_supported"), date), 6)})
-    coverage = F.round(F.coalesce(F.try_divide(F.col("n_supported").cast("double"), F.col("n_facts").cast("double")), F.lit(1.0)), 6)
-    return out.withColumns({"hallucination": off | (F.col("confidence") < hallucination), "coverage": coverage}).drop("facts", "known")
-
-
 def validation_stats(validated: DataFrame) -> DataFrame:
     return validated.agg(F.count("*").alias("answers"), F.round(F.avg(F.col("hallucination").cast("double")), 6).alias("hallucination_rate"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.round(F.avg("coverage"), 6).alias("mean_coverage"), F.count_if(F.col("confidence") >= 0.8).alias("high"), F.count_if(F.col("confidence") < 0.5).alias("low"))

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.lexical import few_tasks
 from marlstone.sources.tables import materialise
 
 BLOCK = 1024
@@ -69,7 +70,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     width = (corpus.filter("embedding IS NOT NULL").select(F.size("embedding").alias("n")).first() or {"n": 1})["n"]
     asked = queries.filter("embedding IS NOT NULL").select("query_id", "embedding")
     blocks = max(1, -(-asked.count() * max(width, 1) // MOST_NUMBERS))
-    vectors = corpus.filter("embedding IS NOT NULL").select("chunk_id", "embedding")
+    vectors = few_tasks(corpus.filter("embedding IS NOT NULL").select("chunk_id", "embedding"), corpus.count(), asked.count() * k)
     if blocks > MOST_BLOCKS:
         return _ranked(_blockwise(asked.withColumn("cell", F.lit(0)), vectors.withColumn("cell", F.lit(0)), k), k)
     found = None

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import lexicons as L
 from marlstone.functions import text as X
-from marlstone.operators import context, rerank, validate
+from marlstone.operators import context, grounding, rerank, validate
 from marlstone.plans.registry import query
 from marlstone.plans.retrieval import K, SQL_BM25, bm25_hits, q_tokens, sql_list, sql_tokens
 from marlstone.plans.textual import _ANSWERS, sql_strip
-from marlstone.sources.tables import answers, questions, table
+from marlstone.sources.tables import answer_turns, answers, questions, table
 
 #: The prose of the test tables ends its sentences with these.
 DELIMITERS = ".!?\n"
@@ -122,9 +124,11 @@ def context_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_hits(spark, sf_dir).select("query_id", "chunk_id", n.alias("keywords"), score.alias("relevance"), ((score >= 0.3) & (n >= 1)).alias("relevant"))
 
 
-def _one(name: str, sql: str, function) -> None:
+def _one(name: str, sql: str, part: Callable[[DataFrame, DataFrame], DataFrame], column: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return answers(spark, sf_dir).select("answer_id", F.round(function(F.col("answer"), F.col("context")), 6).alias("share"))
+        said, turns = answer_turns(spark, sf_dir)
+        said = said.join(turns.select("group").distinct(), "group", "left_semi")
+        return part(said, turns).select("answer_id", F.col(column).alias("share"))
 
     query(name, f"WITH {_ANSWERS} SELECT answer_id, round({sql}, 6) AS share FROM answers")(run)
 
@@ -145,9 +149,9 @@ def _share(a: str, b: str) -> str:
 _ROUGE = _share(f"list_distinct({_tokens('answer')})", f"list_distinct({_tokens('context')})")
 _BLEU = _share(_bigrams("answer"), _bigrams("context"))
 _CHARS = _share(*[f"list_distinct(string_split(regexp_replace(lower({c}), '[ \\n]', '', 'g'), ''))" for c in ("answer", "context")])
-_one("rouge1", _ROUGE, validate.unigram_overlap)
-_one("bleu2", _BLEU, validate.bigram_overlap)
-_one("char_overlap", _CHARS, validate.character_overlap)
+_one("rouge1", _ROUGE, grounding.shared_tokens, "rouge")
+_one("bleu2", _BLEU, grounding.shared_bigrams, "bleu")
+_one("char_overlap", _CHARS, grounding.shared_characters, "overlap")
 
 
 def _facts(column: str) -> str:
@@ -163,11 +167,13 @@ def fact_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers(spark, sf_dir).select("answer_id", found.alias("f")).select("answer_id", F.size("f").alias("facts"), F.md5(F.array_join("f", "|")).alias("facts_hash"))
 
 
+_RULES = {"patterns": FACT_PATTERNS, "indicators": FACT_INDICATORS, "delimiters": DELIMITERS}
+
+
 @query("fact_support")
 def fact_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    take = lambda c: validate.facts(F.col(c), FACT_PATTERNS, FACT_INDICATORS, DELIMITERS)
-    rows = answers(spark, sf_dir).select("answer_id", take("answer").alias("own"), take("context").alias("known"))
-    return rows.select("answer_id", F.size("own").alias("facts"), F.size(validate.supported(F.col("own"), F.col("known"))).alias("supported"))
+    """Facts of each answer, and those that its context supports by equality, edit ratio or words."""
+    return grounding.support(*answer_turns(spark, sf_dir), **_RULES).select("answer_id", F.col("n_facts").alias("facts"), F.col("n_supported").alias("supported"))
 
 
 _VALID = f"""{_ANSWERS},
@@ -180,12 +186,13 @@ v AS (SELECT answer_id, rouge, bleu, overlap, n_facts, n_supported, off_topic, r
 
 
 def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.validate(answers(spark, sf_dir), fact_patterns=FACT_PATTERNS, fact_indicators=FACT_INDICATORS, delimiters=DELIMITERS)
+    """By equal facts alone, which SQL can repeat."""
+    return grounding.validate(*answer_turns(spark, sf_dir), **_RULES, fuzzy=False)
 
 
 @query("answer_confidence", f"WITH {_VALID} SELECT *, off_topic OR confidence < 0.2 AS hallucination FROM v")
 def answer_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _validated(spark, sf_dir).drop("question", "answer", "context")
+    return _validated(spark, sf_dir)
 
 
 @query("validation_stats", f"""WITH {_VALID} SELECT count(*) AS answers, round(avg((off_topic OR confidence < 0.2)::INT), 6) AS hallucination_rate, round(avg(confidence), 6) AS mean_confidence, round(avg(coverage), 6) AS mean_coverage,
@@ -197,12 +204,28 @@ def validation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAIRS = (("not ", "tion"), ("no ", "thing"))
 
 
-@query("enhanced_validation", f"""WITH {_ANSWERS}, t AS (SELECT *, list_distinct(regexp_extract_all(answer, '[\\p{{L}}\\p{{N}}]+')) AS a, list_distinct(regexp_extract_all(context, '[\\p{{L}}\\p{{N}}]+')) AS c, list_distinct(regexp_extract_all(question, '[\\p{{L}}\\p{{N}}]+')) AS q FROM answers)
-SELECT answer_id, ((contains(answer, 'not ') AND contains(context, 'tion')) OR (contains(answer, 'no ') AND contains(context, 'thing'))) AND len(list_intersect(a, c)) > 3 AS contradicts,
-  length(answer) >= 10 AND NOT contains(answer, 'unknown') AND len(list_intersect(list_filter(q, lambda x: length(x) >= 2), list_filter(a, lambda x: length(x) >= 2))) >= 0.3 * len(list_filter(q, lambda x: length(x) >= 2)) AS complete FROM t""")
+#: Numbers of three digits and more stand for the times of the prose.
+_TIMES = ("[0-9]{3,}",)
+_CHECKED = f"""{_VALID}, t AS (SELECT *, list_distinct(regexp_extract_all(answer, '[\\p{{L}}\\p{{N}}]+')) AS a, list_distinct(regexp_extract_all(context, '[\\p{{L}}\\p{{N}}]+')) AS c, list_distinct(regexp_extract_all(question, '[\\p{{L}}\\p{{N}}]+')) AS q FROM answers),
+checks AS (SELECT answer_id, ((contains(answer, 'not ') AND contains(context, 'tion')) OR (contains(answer, 'no ') AND contains(context, 'thing'))) AND len(list_intersect(a, c)) > 3 AS contradicts,
+  len(list_filter(regexp_extract_all(answer, '{_TIMES[0]}'), lambda x: NOT list_contains(regexp_extract_all(context, '{_TIMES[0]}'), x))) = 0 AS times_agree,
+  length(answer) >= 10 AND NOT contains(answer, 'unknown') AND len(list_intersect(list_filter(q, lambda x: length(x) >= 2), list_filter(a, lambda x: length(x) >= 2))) >= 0.3 * len(list_filter(q, lambda x: length(x) >= 2)) AS complete FROM t),
+checked AS (SELECT answer_id, contradicts, times_agree, complete, off_topic, CASE WHEN contradicts OR NOT times_agree OR NOT complete THEN round(confidence * 0.8, 6) ELSE confidence END AS confidence FROM v JOIN checks USING (answer_id))"""
+_CHECKS = {"pairs": _PAIRS, "times": _TIMES, "uncertain": ("unknown",)}
+
+
+@query("enhanced_validation", f"WITH {_CHECKED} SELECT answer_id, contradicts, times_agree, complete, confidence, off_topic OR confidence < 0.2 AS hallucination FROM checked")
 def enhanced_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, a, c = F.col("question"), F.col("answer"), F.col("context")
-    return answers(spark, sf_dir).select("answer_id", validate.contradicts(a, c, _PAIRS).alias("contradicts"), validate.complete(q, a, ("unknown",)).alias("complete"))
+    """Checks for contradictions, times and completeness lower the confidence of the plain validation."""
+    checked = grounding.enhance(_validated(spark, sf_dir), *answer_turns(spark, sf_dir), **_CHECKS)
+    return checked.select("answer_id", "contradicts", "times_agree", "complete", "confidence", "hallucination")
+
+
+@query("validated_answers")
+def validated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole validation: facts supported by equality, edit ratio or words, and all checks."""
+    said, turns = answer_turns(spark, sf_dir)
+    return grounding.enhance(grounding.validate(said, turns, **_RULES), said, turns, **_CHECKS)
 
 
 _MISSING = {"of": ("number", "[0-9]"), "general": ("thing", "thing")}

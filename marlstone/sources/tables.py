@@ -39,6 +39,15 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), "question", "answer", "context")
 
 
+def answer_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(answer_id, group, question, answer) and (group, place, text): the answers of ``answers`` and the turns of their context, as rows."""
+    rows = table(spark, sf_dir, "conversations")
+    said = rows.filter("role = 'assistant'").select(F.col("conv_id").alias("group"), "turn", F.col("text").alias("answer"))
+    asked = rows.filter("role = 'user'").select(F.col("conv_id").alias("group"), (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
+    joined = said.join(asked, ["group", "turn"]).select((F.col("group") * 1000 + F.col("turn")).alias("answer_id"), "group", "question", "answer")
+    return joined, rows.filter("role <> 'assistant'").select(F.col("conv_id").alias("group"), F.col("turn").alias("place"), "text")
+
+
 def shared_path(spark: SparkSession) -> str:
     """A new path below the folder that all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
