@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,5 +60,10 @@ def first_matching(text: Column, rules: Sequence[tuple[str, str]], default: str
     return out
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: within a lambda Spark computes an expression anew for each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def whitespace_words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")

@@ -124,16 +124,22 @@ def sentence_chunks(corpus: DataFrame, size: int = 800, overlap: int = 100, deli
     steps = F.sequence(F.lit(1), F.floor(n / (size // 2)).cast("int") + 10)
     start = F.struct(F.lit(0).alias("start"), F.array().cast("array<struct<a:int,b:int,chunk:string>>").alias("cuts"))
 
-    def step(state: Column, _: Column) -> Column:
+    def advance(state: Column, window: Column, cut: Column) -> Column:
         at = state["start"]
-        window = _range("__blocks", at, F.lit(size), size)
-        found = F.coalesce(*[_last_place(window, d) for d in delimiters], F.lit(0))
-        cut = F.when((at + size < n) & (found > 0), found + 1).otherwise(size)
-        chunk = X.strip(F.substring(window, F.lit(1), cut))
-        cuts = F.when(chunk != "", F.array_append(state["cuts"], F.struct(at.alias("a"), (at + cut).cast("int").alias("b"), chunk.alias("chunk")))).otherwise(state["cuts"])
+        added = X.let(X.strip(F.substring(window, F.lit(1), cut)), lambda chunk: F.when(chunk != "", F.array_append(state["cuts"], F.struct(at.alias("a"), (at + cut).cast("int").alias("b"), chunk.alias("chunk")))).otherwise(state["cuts"]))
         ahead = at + F.when(cut > overlap, cut - overlap).otherwise(max(1, size // 4))
+        return F.struct(ahead.cast("int").alias("start"), added.alias("cuts"))
+
+    def step(state: Column, _: Column) -> Column:
+        at = state["start"]
+
+        def cut_in(window: Column) -> Column:
+            found = F.coalesce(*[_last_place(window, d) for d in delimiters], F.lit(0))
+            cut = F.when(at + size < n, X.let(found, lambda f: F.when(f > 0, f + 1).otherwise(size))).otherwise(size)
+            return X.let(cut, lambda c: advance(state, window, c))
+
         going = (at < n) & ((at == 0) | (at < n - tail))
-        return F.when(going, F.struct(ahead.cast("int").alias("start"), cuts.alias("cuts"))).otherwise(state)
+        return F.when(going, X.let(_range("__blocks", at, F.lit(size), size), cut_in)).otherwise(state)
 
     whole = F.array(F.struct(F.lit(0).alias("a"), n.alias("b"), F.col("text").alias("chunk")))
     cuts = F.when(n <= size, whole).otherwise(F.aggregate(steps, start, step)["cuts"])
@@ -196,17 +202,18 @@ def recursive_chunks(corpus: DataFrame, size: int = 500, overlap: int = 50, sepa
     start = F.struct(F.lit(-1).cast("long").alias("node"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.array().cast(kind).alias("cuts"))
 
     def step(state: Column, i: Column) -> Column:
-        p = F.get("__pieces", i)
+        return X.let(F.get("__pieces", i), lambda p: X.let(p["start"] - state["a"] + F.length(p["piece"]) > size, lambda full: placed(state, i, p, full)))
+
+    def placed(state: Column, i: Column, p: Column, full: Column) -> Column:
         at, length = p["start"], F.length(p["piece"])
+        other, full = p["node"] != state["node"], full & (at > state["a"])
         closed = F.array_append(state["cuts"], F.struct(state["a"].alias("a"), state["b"].alias("b")))
-        other, full = p["node"] != state["node"], at - state["a"] + length > size
         room = at - F.least(F.lit(overlap), size - length)
         back = F.slice("__pieces", F.greatest(i - overlap, F.lit(0)) + 1, F.least(i, F.lit(overlap)))
-        kept = F.filter(back, lambda q: (q["node"] == p["node"]) & (q["start"] >= F.greatest(state["a"], room)))
-        first = F.coalesce(F.get(kept, F.lit(0))["start"], at)
+        first = F.get(F.filter(back, lambda q: (q["node"] == p["node"]) & (q["start"] >= room) & (q["start"] >= state["a"])), F.lit(0))["start"]
         return F.struct(
-            p["node"].alias("node"), F.when(other, at).when(full & (at > state["a"]), first).otherwise(state["a"]).cast("int").alias("a"), (at + length).cast("int").alias("b"),
-            F.when((other & (state["b"] > state["a"])) | (~other & full & (at > state["a"])), closed).otherwise(state["cuts"]).cast(kind).alias("cuts"),
+            p["node"].alias("node"), F.when(other, at).when(full, F.coalesce(first, at)).otherwise(state["a"]).cast("int").alias("a"), (at + length).cast("int").alias("b"),
+            F.when((other & (state["b"] > state["a"])) | (~other & full), closed).otherwise(state["cuts"]).cast(kind).alias("cuts"),
         )
 
     folded = F.aggregate(F.when(F.size("__pieces") > 0, F.sequence(F.lit(0), F.size("__pieces") - 1)).otherwise(F.array().cast("array<int>")), start, step)

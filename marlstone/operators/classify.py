@@ -55,16 +55,6 @@ def retrieval_strategy(confidence: Column) -> Column:
     return F.when(confidence > 0.3, sure).otherwise(even)
 
 
-def file_score(question: Column, words: Column, keywords: Column) -> Column:
-    """Share of a file's keyword weight that a question meets: 2 per character directly, 1 as a token, half within a token."""
-    def part(k: Column) -> Column:
-        return F.when(F.contains(question, k), 2.0 * F.length(k)).when(F.array_contains(words, k), 1.0 * F.length(k)).when(F.exists(words, lambda w: F.contains(w, k) | F.contains(k, w)), 0.5 * F.length(k)).otherwise(0.0)
-
-    got = F.aggregate(keywords, F.lit(0.0), lambda a, k: a + part(k))
-    most = F.aggregate(keywords, F.lit(0.0), lambda a, k: a + 2.0 * F.length(k))
-    return F.coalesce(F.try_divide(got, most), F.lit(0.0))
-
-
 def _first_best(scores: Mapping[str, Column], default: Column) -> tuple[Column, Column]:
     top = F.greatest(*scores.values()) if len(scores) > 1 else next(iter(scores.values()))
     out = default

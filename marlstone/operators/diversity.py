@@ -50,6 +50,6 @@ def balanced_rerank(scored: DataFrame, k: int, cap: int = 2) -> DataFrame:
 
 
 def source_balance(hits: DataFrame) -> DataFrame:
-    """One row: most, fewest and mean hits of a source, most over fewest, number of sources."""
-    each = hits.groupBy("source").agg(F.count("*").alias("n"))
-    return each.agg(F.max("n").alias("max_count"), F.min("n").alias("min_count"), F.round(F.avg("n"), 6).alias("avg_count"), F.round(F.max("n") / F.min("n"), 6).alias("bias_ratio"), F.count("*").alias("source_count"))
+    """A row per question: most, fewest and mean hits of a source, most over fewest, number of sources."""
+    each = hits.groupBy("query_id", "source").agg(F.count("*").alias("n"))
+    return each.groupBy("query_id").agg(F.max("n").alias("max_count"), F.min("n").alias("min_count"), F.round(F.avg("n"), 6).alias("avg_count"), F.round(F.max("n") / F.min("n"), 6).alias("bias_ratio"), F.count("*").alias("source_count"))

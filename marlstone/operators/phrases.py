@@ -3,7 +3,7 @@
 A text is its words between single blanks, so a phrase of m words occurs where a
 word ends with its first, the next ones equal its inner ones, and the last
 begins with its last (a phrase of one word: where a word holds it).  Words of the
-vocabulary that fit a part are found through runs of GRAM letters, which
+vocabulary that fit a part are found through runs of a few letters, which
 either side has, and are then compared; texts are not read again.  Postings hold
 character offsets, so each fitting word tells where the phrase would begin,
 and the parts meet on (phrase, text, beginning).
@@ -16,13 +16,12 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.substrings import first_gram, grams
 from marlstone.sources.tables import materialise
 
-GRAM = 3
-
 
 class Index(NamedTuple):
     """postings: term, chunk_id, offsets; terms: term; texts: chunk_id, chars, digest."""
@@ -56,18 +55,6 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(*[spark.read.parquet(f"{path}/{name}") for name in Index._fields])
 
 
-def _grams(text: Column) -> Column:
-    """Distinct runs of up to GRAM letters, one to GRAM long."""
-    pieces = F.array().cast("array<string>")
-    for n in range(1, GRAM + 1):
-        pieces = F.concat(pieces, F.when(F.length(text) >= n, _runs(text, n)).otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(pieces)
-
-
-def _runs(text: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
-
-
 def parts_of(phrases: DataFrame) -> DataFrame:
     """phrase, parts, part, kind, rel: a row per part with letters; kind: whole, suffix, prefix or inside; rel: its place in the phrase."""
     split = phrases.select("phrase").filter("phrase IS NOT NULL AND trim(phrase) <> ''").distinct().withColumn("w", F.split("phrase", " "))
@@ -81,10 +68,10 @@ def fitting_terms(index: Index, parts: DataFrame) -> DataFrame:
     """The rows of ``parts`` with each term of the vocabulary that fits."""
     whole = parts.filter("kind = 'whole'").join(index.terms, F.col("part") == F.col("term"))
     # a fitting term holds the first run of the part
-    keyed = parts.filter("kind <> 'whole'").withColumn("gram", F.substring("part", 1, GRAM))
-    grams = index.terms.select("term", F.explode(_grams(F.col("term"))).alias("gram"))
+    keyed = parts.filter("kind <> 'whole'").withColumn("gram", first_gram(F.col("part")))
+    held = index.terms.select("term", F.explode(grams(F.col("term"))).alias("gram"))
     fits = F.when(F.col("kind") == "suffix", F.endswith("term", F.col("part"))).when(F.col("kind") == "prefix", F.startswith("term", F.col("part"))).otherwise(F.contains("term", F.col("part")))
-    return whole.unionByName(grams.join(keyed, "gram").filter(fits).drop("gram"))
+    return whole.unionByName(held.join(keyed, "gram").filter(fits).drop("gram"))
 
 
 def matches(index: Index, phrases: DataFrame) -> DataFrame:

@@ -84,3 +84,28 @@ def within_files(ranked: DataFrame, keyworded: DataFrame, targets: DataFrame, k:
     others = best(ranked.join(asked, "query_id", "left_anti"), "score", k).withColumn("mode", F.lit("global"))
     columns = ["query_id", "chunk_id", "mode", "rank"]
     return inside.select(*columns).unionByName(best(words, "score", k).withColumn("mode", F.lit("keyword")).select(*columns)).unionByName(others.select(*columns))
+
+
+def topped_up(scored: DataFrame, k: int) -> DataFrame:
+    """query_id, chunk_id, inside, score, rank: the k best rows ``inside``; where they are fewer than k // 2, the other rows among the k less their number best of all follow."""
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    n = F.count_if("inside").over(Window.partitionBy("query_id"))
+    placed = scored.withColumn("n_inside", n).withColumn("place", F.row_number().over(best))
+    kept = placed.filter(F.col("inside") | ((F.col("n_inside") < k // 2) & (F.col("place") <= k - F.col("n_inside"))))
+    order = Window.partitionBy("query_id").orderBy(F.desc("inside"), F.desc("score"), "chunk_id")
+    return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "chunk_id", "inside", "score", "rank")
+
+
+def merge_adding(hits: DataFrame, boost: Column, k: int, vector_weight: float = 0.4, lexical_weight: float = 0.6) -> DataFrame:
+    """query_id, chunk_id, source_type, boosted, rank: hits merged by source and first 100 characters; repeats add up on both sides, then ``boost`` multiplies.
+
+    hits: query_id, channel, chunk_id, rank, score, source, text and what ``boost`` needs; the text that a key met first, vector hits before lexical ones, stands for it.
+    """
+    weight = F.when(F.col("channel") == "vector", vector_weight).otherwise(lexical_weight)
+    met = F.struct((F.col("channel") != "vector").alias("late"), "rank", "chunk_id")
+    keyed = hits.withColumns({"key": F.md5(F.concat(F.coalesce("source", F.lit("unknown")), F.lit("_"), F.substring("text", 1, 100))), "boost": boost})
+    summed = keyed.groupBy("query_id", "key").agg(F.min_by("chunk_id", met).alias("chunk_id"), F.min_by("boost", met).alias("boost"), F.sum(F.col("score") * weight).alias("score"), F.max(F.col("channel") == "vector").alias("v"), F.max(F.col("channel") != "vector").alias("b"))
+    kind = F.when(F.col("v") & F.col("b"), "hybrid").when(F.col("v"), "vector").otherwise("bm25")
+    scored = summed.select("query_id", "chunk_id", kind.alias("source_type"), F.round(F.col("score") * F.col("boost"), 6).alias("boosted"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("boosted"), "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

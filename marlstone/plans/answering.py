@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import lexicons as L
 from marlstone.functions import text as X
-from marlstone.operators import context, grounding, rerank, validate
-from marlstone.plans.registry import query
-from marlstone.plans.retrieval import K, SQL_BM25, bm25_hits, q_tokens, sql_list, sql_tokens
+from marlstone.operators import answer, context, grounding, rerank, validate
+from marlstone.plans.registry import ORACLE_SQL, QUERIES, query
+from marlstone.plans.retrieval import K, SQL_BM25, bm25_hits, q_tokens, sql_list, sql_tokens, swap
 from marlstone.plans.textual import _ANSWERS, sql_strip
-from marlstone.sources.tables import answer_turns, answers, questions, table
+from marlstone.sources.tables import answer_turns, answers, corpus, materialise, questions, table
 
 #: The prose of the test tables ends its sentences with these.
 DELIMITERS = ".!?\n"
@@ -139,7 +139,7 @@ def _tokens(column: str) -> str:
 
 def _bigrams(column: str) -> str:
     t = _tokens(column)
-    return f"list_distinct(list_transform(range(1, len({t})), lambda i: ({t})[i] || ' ' || ({t})[i + 1]))"
+    return f"list_distinct(list_transform((list_zip({t}, ({t})[2:]))[:len({t}) - 1], lambda x: x[1] || ' ' || x[2]))"
 
 
 def _share(a: str, b: str) -> str:
@@ -270,3 +270,23 @@ def knowledge_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = source(best, "document", 0.9, F.least(F.lit(1.0), F.col("best") / 50), 0.6).unionByName(source(asked, "domain", 0.8, domain, 0.3)).unionByName(source(asked, "common", 0.7, F.when(F.length("question") > 200, 0.5).otherwise(0.2), 0.1))
     part = F.col("confidence") * F.col("relevance") * F.col("weight")
     return rows.filter("relevance > 0").groupBy("query_id").agg(F.count("*").alias("sources"), F.round(F.sum(part) / F.sum("weight"), 6).alias("confidence"))
+
+
+_NO_HIT, _FOUND, _LEAD = "Nothing was found.", 5, "From the documents:\n\n"
+_FROM_HITS = f"""{ORACLE_SQL['hierarchical_retrieve'].removeprefix('WITH ').rsplit('SELECT * FROM r WHERE rank <= 10', 1)[0].rstrip()},
+taken AS (SELECT r.query_id, r.rank, d.text FROM r JOIN d USING (chunk_id) WHERE r.rank <= 10),
+replies AS (SELECT query_id, '{_LEAD.replace(chr(10) * 2, "' || chr(10) || chr(10) || '")}' || substring(string_agg(substring(text, 1, 800), chr(10) || chr(10) ORDER BY rank) FILTER (rank <= {_FOUND}), 1, 500) || '...' AS answer, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n_sources FROM taken GROUP BY query_id),
+answers AS (SELECT query_id AS answer_id, question, answer, context FROM replies JOIN q USING (query_id))"""
+
+
+@query("traditional_answer", f"""WITH {swap(_VALID, _ANSWERS, _FROM_HITS)}
+SELECT q.query_id, CASE WHEN answer IS NULL THEN 'no_hits' ELSE 'answered' END AS status, coalesce(n_sources, 0) AS n_sources, md5(coalesce(answer, '{_NO_HIT}')) AS answer_hash, coalesce(confidence, 0.0)::DOUBLE AS confidence, coalesce(off_topic OR confidence < 0.2, false) AS hallucination
+FROM q LEFT JOIN replies USING (query_id) LEFT JOIN v ON v.answer_id = q.query_id""")
+def traditional_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The traditional chain: hierarchical hits, an answer from their beginnings, its validation against the whole texts; a fixed reply where nothing is found."""
+    asked = questions(spark, sf_dir)
+    hits = QUERIES["hierarchical_retrieve"](spark, sf_dir).select("query_id", "chunk_id", F.col("rank").alias("place"))
+    sources = materialise(hits.join(corpus(spark, sf_dir).select("chunk_id", "text"), "chunk_id").select(F.col("query_id").alias("group"), "place", "text"))
+    said = answer.from_sources(asked, sources, _LEAD, _FOUND)
+    checked = grounding.validate(said.withColumn("group", F.col("query_id")).withColumnRenamed("query_id", "answer_id"), sources, **_RULES, fuzzy=False).withColumnRenamed("answer_id", "query_id")
+    return answer.with_fallback(asked, said, checked, _NO_HIT).select("query_id", "status", "n_sources", F.md5("answer").alias("answer_hash"), "confidence", "hallucination")

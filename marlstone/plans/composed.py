@@ -314,3 +314,19 @@ def strategy_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     guide = F.create_map(*[x for n, (p, g) in _GUIDES.items() for x in (F.lit(n), F.struct(F.lit(p).alias("prompt"), F.lit(g).alias("guide")))])
     typed = questions(spark, sf_dir).withColumn("kind", kind).withColumn("g", guide[F.col("kind")])
     return typed.select("query_id", "kind", "g.guide", F.md5(F.concat("g.prompt", "question")).alias("prompt_hash"))
+
+
+_INDICATORS, _STRONG = ("thing", "tion"), ("erble",)
+_BOOST = "CASE WHEN contains(lower(question), 'thing') OR contains(lower(question), 'tion') OR contains(lower(question), 'erble') THEN 1 + 0.2 * (contains(lower(text), 'thing')::INT + contains(lower(text), 'tion')::INT) + 0.5 * contains(lower(text), 'erble')::INT ELSE 1.0 END"
+
+
+@query("merge_definition_boost", f"""WITH {_CHANNELS}, {_TEXTED},
+keyed AS (SELECT t.*, md5(source || '_' || substring(text, 1, 100)) AS h, (CASE channel WHEN 'vector' THEN 0 ELSE 1 END, rank, chunk_id) AS met, ({_BOOST})::DOUBLE AS boost FROM texted t JOIN q ON q.query_id = t.query_id),
+sums AS (SELECT query_id, h, arg_min(chunk_id, met) AS chunk_id, round(sum(score * CASE channel WHEN 'vector' THEN 0.4 ELSE 0.6 END::DOUBLE) * arg_min(boost, met), 6) AS boosted,
+  CASE WHEN count(DISTINCT channel) = 2 THEN 'hybrid' ELSE min(channel) END AS source_type FROM keyed GROUP BY query_id, h)
+SELECT query_id, chunk_id, source_type, boosted, row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, chunk_id) AS rank FROM sums QUALIFY rank <= {2 * K}""")
+def merge_definition_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both channels added up by source and beginning, raised for texts that define what the question asks for."""
+    asked = main_word_questions(spark, sf_dir)
+    hits = _with_texts(spark, sf_dir, channels_of(spark, sf_dir, asked, 2 * K)).join(asked, "query_id")
+    return staged.merge_adding(hits, fusion.definition_boost(F.lower("question"), F.lower("text"), _INDICATORS, _STRONG), 2 * K)

@@ -275,24 +275,31 @@ def detailed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 _INDICATORS, _STRONG = ("thing", "tion"), ("erble",)
 
 
-@query("merge_definition_boost", f"""WITH {SQL_BM25},
-b AS (SELECT query_id, chunk_id, round(score * CASE WHEN contains(question, 'thing') OR contains(question, 'tion') OR contains(question, 'erble') THEN 1 + 0.2 * (contains(text, 'thing')::INT + contains(text, 'tion')::INT) + 0.5 * contains(text, 'erble')::INT ELSE 1.0 END, 6) AS boosted FROM hits)
-SELECT query_id, chunk_id, boosted, row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, chunk_id) AS rank FROM b""")
-def merge_definition_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boosted = bm25_hits(spark, sf_dir).withColumn("boosted", F.round(F.col("score") * fusion.definition_boost(F.col("question"), F.col("text"), _INDICATORS, _STRONG), 6))
-    return lexical.top_k(boosted.select("query_id", "chunk_id", "boosted"), 20, (F.desc("boosted"), F.asc("chunk_id")))
-
-
 _CAPPED = f"""{SQL_BM25},
 o AS (SELECT query_id, chunk_id, source, score, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, chunk_id) AS n FROM hits)"""
 
 
-@query("diversity_select", f"""WITH {_CAPPED},
+def _relevance_sql(q: str, t: str, low: int, high: int, floor: float, least: float, fall: int, bonus: float) -> str:
+    words = rf"list_distinct(list_filter(regexp_split_to_array({q}, '\s+'), lambda w: w <> ''))"
+    have = rf"list_distinct(list_filter(regexp_split_to_array({t}, '\s+'), lambda w: w <> ''))"
+    factor = f"CASE WHEN length({t}) < {low} THEN {floor} + length({t}) / {low} * {1 - floor} WHEN length({t}) <= {high} THEN 1.0 ELSE greatest({least}, 1 - (length({t}) - {high}) / {fall}) END"
+    early = f"len(list_filter({words}, lambda w: instr({t}, w) > 0 AND instr({t}, w) - 1 < length({t}) * 0.3))"
+    return f"round(least(len(list_intersect({words}, {have}))::DOUBLE / len({words}) * {factor} + least(0.1 * {early}, {bonus}), 1.0), 6)"
+
+
+_LEXICAL = _relevance_sql("lower(question)", "lower(text)", 200, 800, 0.6, 0.4, 1500, 0.2)
+
+
+@query("diversity_select", f"""WITH {swap(SQL_BM25, 'WHERE rank <= 20', f'WHERE rank <= {3 * K}')},
+judged AS (SELECT query_id, chunk_id, source, {_LEXICAL}::DOUBLE AS score FROM hits),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, chunk_id) AS n FROM judged),
 p AS (SELECT *, CASE WHEN n <= 2 THEN 1 ELSE 2 END AS pass, count(*) FILTER (n <= 2) OVER (PARTITION BY query_id) >= {K} AS enough FROM o WHERE n <= 3)
 SELECT query_id, chunk_id, source, score, row_number() OVER (PARTITION BY query_id ORDER BY pass, score DESC, chunk_id) AS rank FROM p WHERE pass = 1 OR NOT enough
 QUALIFY rank <= CASE WHEN enough THEN {2 * K} ELSE {K} END""")
 def diversity_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diversity.select_diverse(bm25_hits(spark, sf_dir).select("query_id", "chunk_id", "source", "score"), K)
+    """Three times as many candidates, ranked by their share of the question's words."""
+    judged = F.round(diversity.lexical_relevance(F.col("question"), F.col("text")), 6)
+    return diversity.select_diverse(bm25_hits(spark, sf_dir, 3 * K).select("query_id", "chunk_id", "source", judged.alias("score")), K)
 
 
 @query("diversity_bonus", f"""WITH {SQL_BM25}, b AS (SELECT query_id, chunk_id, source, score, round(score * 0.7 + 0.3 / count(*) OVER (PARTITION BY query_id, source), 6) AS diverse_score FROM hits)
@@ -307,21 +314,13 @@ def balanced_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diversity.balanced_rerank(bm25_hits(spark, sf_dir).select("query_id", "chunk_id", "source", "score"), K)
 
 
-@query("source_balance", f"""WITH {SQL_BM25}, e AS (SELECT source, count(*) AS n FROM hits GROUP BY source)
-SELECT max(n) AS max_count, min(n) AS min_count, round(avg(n), 6) AS avg_count, round(max(n) / min(n), 6) AS bias_ratio, count(*) AS source_count FROM e""")
+@query("source_balance", f"""WITH {SQL_BM25}, e AS (SELECT query_id, source, count(*) AS n FROM hits GROUP BY query_id, source)
+SELECT query_id, max(n) AS max_count, min(n) AS min_count, round(avg(n), 6) AS avg_count, round(max(n) / min(n), 6) AS bias_ratio, count(*) AS source_count FROM e GROUP BY query_id""")
 def source_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diversity.source_balance(bm25_hits(spark, sf_dir))
 
 
-def _relevance_sql(q: str, t: str, low: int, high: int, floor: float, least: float, fall: int, bonus: float) -> str:
-    words = rf"list_distinct(list_filter(regexp_split_to_array({q}, '\s+'), lambda w: w <> ''))"
-    have = rf"list_distinct(list_filter(regexp_split_to_array({t}, '\s+'), lambda w: w <> ''))"
-    factor = f"CASE WHEN length({t}) < {low} THEN {floor} + length({t}) / {low} * {1 - floor} WHEN length({t}) <= {high} THEN 1.0 ELSE greatest({least}, 1 - (length({t}) - {high}) / {fall}) END"
-    early = f"len(list_filter({words}, lambda w: instr({t}, w) > 0 AND instr({t}, w) - 1 < length({t}) * 0.3))"
-    return f"round(least(len(list_intersect({words}, {have}))::DOUBLE / len({words}) * {factor} + least(0.1 * {early}, {bonus}), 1.0), 6)"
-
-
-@query("lexical_relevance", f"WITH {SQL_BM25} SELECT query_id, chunk_id, {_relevance_sql('lower(question)', 'lower(text)', 200, 800, 0.6, 0.4, 1500, 0.2)} AS relevance FROM hits")
+@query("lexical_relevance", f"WITH {SQL_BM25} SELECT query_id, chunk_id, {_LEXICAL} AS relevance FROM hits")
 def lexical_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_hits(spark, sf_dir).select("query_id", "chunk_id", F.round(diversity.lexical_relevance(F.col("question"), F.col("text")), 6).alias("relevance"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import lexicons as L
 from marlstone.functions import text as X
-from marlstone.operators import chunking, classify, lexical, reports
+from marlstone.operators import chunking, classify, lexical, reports, staged, substrings
 from marlstone.plans.registry import query
 from marlstone.plans.retrieval import SQL_BM25, bm25_hits, d_tokens, q_tokens, sql_list, sql_tokens
 from marlstone.sources.pages import html_text
@@ -249,16 +249,16 @@ def question_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("hierarchical_retrieve", f"""WITH {SQL_BM25}, dc AS (SELECT doc_id AS chunk_id, category FROM ({_CATEGORY})), qc AS (SELECT item_id AS query_id, {_category_sql('t', 3, ' * 2')} AS category FROM (SELECT item_id, lower(text) AS t FROM benchmark)),
 s AS (SELECT bm.query_id, bm.chunk_id, bm.score, coalesce(dc.category = qc.category, false) AS inside FROM bm JOIN dc USING (chunk_id) JOIN qc USING (query_id)),
-r AS (SELECT query_id, chunk_id, inside, score, row_number() OVER (PARTITION BY query_id ORDER BY inside DESC, score DESC, chunk_id) AS rank FROM s)
+w AS (SELECT *, count(*) FILTER (inside) OVER (PARTITION BY query_id) AS n_inside, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM s),
+r AS (SELECT query_id, chunk_id, inside, score, row_number() OVER (PARTITION BY query_id ORDER BY inside DESC, score DESC, chunk_id) AS rank FROM w WHERE inside OR (n_inside < 5 AND place <= 10 - n_inside))
 SELECT * FROM r WHERE rank <= 10""")
 def hierarchical_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of the question's category first, the general ranking after them."""
+    """Documents of the question's category; where they fill less than half the places, the best general hits besides."""
     docs, asked = corpus(spark, sf_dir), questions(spark, sf_dir)
     dc = docs.select("chunk_id", classify.best_category(F.col("text"), L.PROSE_CATEGORIES).alias("dc"))
     qc = asked.select("query_id", classify.best_category(F.col("question"), L.PROSE_CATEGORIES, 3, 2).alias("qc"))
     scored = lexical.bm25_scores(docs, asked, d_tokens(), q_tokens()).join(dc, "chunk_id").join(qc, "query_id")
-    scored = scored.select("query_id", "chunk_id", F.coalesce(F.col("dc") == F.col("qc"), F.lit(False)).alias("inside"), "score")
-    return lexical.top_k(scored, 10, (F.desc("inside"), F.desc("score"), F.asc("chunk_id")))
+    return staged.topped_up(scored.select("query_id", "chunk_id", F.coalesce(F.col("dc") == F.col("qc"), F.lit(False)).alias("inside"), "score"), 10)
 
 
 _TYPES = {"question": (("what", "which", "the thing"), ("of the",)), "process": (("how", "ing "), ("ed and",)), "advice": (("should", "tion"), ("tion [a-z]+ing",))}
@@ -308,11 +308,8 @@ SELECT query_id, source, score FROM s WHERE score >= 0.6""")
 def target_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files whose main words a question names: the ten most frequent words of each source."""
     counted = corpus(spark, sf_dir).select("source", F.explode(d_tokens()).alias("term")).groupBy("source", "term").agg(F.count("*").alias("n"))
-    words = lexical.top_k(counted, 10, (F.desc("n"), F.asc("term")), partition="source").groupBy("source").agg(F.collect_list("term").alias("keywords"))
-    # Every question against every file: files are sources, questions a stated set.
-    pairs = questions(spark, sf_dir).select("query_id", "question", q_tokens().alias("words")).join(words)
-    scored = pairs.select("query_id", "source", F.round(classify.file_score(F.col("question"), F.col("words"), F.col("keywords")), 6).alias("score"))
-    return scored.filter("score >= 0.6")
+    words = lexical.top_k(counted, 10, (F.desc("n"), F.asc("term")), partition="source").select("source", "term")
+    return substrings.named_files(questions(spark, sf_dir), q_tokens(), words)
 
 
 @query("doc_stats", "SELECT count(*) AS documents, sum(length(text))::BIGINT AS characters, count(DISTINCT source) AS sources, count(DISTINCT lang) AS languages, round(avg(length(text)), 6) AS mean_characters FROM documents")
