@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators import chunking, incremental, lexical, pruned, vector
+from marlstone.operators import chunking, incremental, lexical, pruned, store, vector
 from marlstone.plans.registry import ORACLE_SQL, query
 from marlstone.plans.retrieval import K, d_tokens, q_tokens, sql_tokens
 from marlstone.plans.textual import sql_strip
@@ -123,3 +123,19 @@ def saved_vectors_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vector.save(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "chunk_id"), path)
     saved = vector.load(spark, path)
     return vector.search(saved, saved.lists.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), K)
+
+
+@query("store_upsert", f"""WITH {_PRINTS}, cut AS (SELECT path, chunk_hash FROM {_chunks_sql(_NEW)}), had AS (SELECT DISTINCT path, chunk_hash FROM {_chunks_sql(_OLD)}),
+laid AS (SELECT path, count(*) AS chunks, count(DISTINCT chunk_hash) FILTER (h.path IS NULL) AS written FROM cut LEFT JOIN had h USING (path, chunk_hash) GROUP BY path)
+SELECT path, CASE WHEN o.hash IS NOT NULL AND (o.hash <> n.hash OR o.size <> n.size) THEN 2 ELSE 1 END AS version, coalesce(chunks, 0) AS chunks, coalesce(written, 0) AS written FROM new n LEFT JOIN old o USING (path) LEFT JOIN laid USING (path)""")
+def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The old files stored, then the new ones: each file's version, its chunks, and those that the second version had to write."""
+    old, new = snapshots(spark, sf_dir)
+    kept = store.Store(spark, tables.shared_path(spark))
+    kept.upsert(old)
+    kept.upsert(new)
+    files, before, after = kept.files(), kept.manifest(1), kept.manifest(2)
+    chunks = kept.read().groupBy("path").agg(F.count("*").alias("chunks"))
+    added = kept._read("chunks", {"chunks": [n for n in after["chunks"] if n not in before["chunks"]]})
+    written = added.groupBy("path").agg(F.count("*").alias("written"))
+    return files.select("path", "version").join(chunks, "path", "left").join(written, "path", "left").na.fill(0, ["chunks", "written"])
