@@ -56,10 +56,11 @@ def _kmeans(points: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.nd
 
 
 def unit(rows: list, dim: int) -> np.ndarray:
-    """Vectors of length one, padded with zeros."""
+    """Vectors of length one, padded with zeros.  A power of two, which changes no digit, brings the largest component near one first, so no square under- or overflows."""
     out = np.zeros((len(rows), dim))
     for i, row in enumerate(rows):
         out[i, : len(row)] = row
+    out = np.ldexp(out, -np.frexp(np.abs(out).max(axis=1, keepdims=True, initial=0))[1])
     return out / np.sqrt((out**2).sum(axis=1, keepdims=True))
 
 

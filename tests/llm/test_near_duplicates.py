@@ -168,3 +168,9 @@ def test_op3_on_embeddings(spark, sf_dir):
     expected = components([r[0] for r in rows], edges)
     out = queries.op3_embedding_dedup(spark, sf_dir).collect()
     assert {r.vec_id: r.component_id for r in out} == expected and sum(r.n_links for r in out) == 2 * len(edges)
+
+
+def test_extreme_finite_vectors_link_and_cost_others_nothing(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.001], 0), (4, [1e-170, 1e-170], 0), (5, [1e200, 1.001e200], 0), (6, [5e-324, 5e-324], 0), (7, [1e308, -1e308], 0), (8, [0.0, 0.0], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 4: (2, 4), 5: (2, 4), 6: (2, 4), 7: (0, 7), 8: (0, 8)}
