@@ -150,26 +150,20 @@ def sentence_chunks(corpus: DataFrame, size: int = 800, overlap: int = 100, deli
     return cut.select(*corpus.columns, "chunk_index", F.col("c.a").alias("chunk_start"), F.col("c.b").alias("chunk_end"), later.alias("is_continuation"), chunk.alias("chunk"))
 
 
-_PIECE = "array<struct<start:int,node:bigint,piece:string>>"
+_PIECE = "array<struct<node:bigint,piece:string>>"
 
 
-def _split_parts(size: int, level: int, separator: str, levels: int) -> Callable[[Column], Column]:
-    """What a part becomes at a separator: itself, or its parts, each with the separator before it."""
+def _split_parts(size: int, level: int, separator: str, levels: int) -> Callable[[Column, Column], Column]:
+    """What the i-th part becomes at a separator: itself, or its parts, each with the separator before it."""
 
-    def split(p: Column) -> Column:
-        node = (p["start"].cast("long") * levels + level).alias("node")
+    def split(p: Column, i: Column) -> Column:
+        node = (i.cast("long") * levels + level).alias("node")
         if separator:
-            texts = F.transform(F.split(p["piece"], rf"\Q{separator}\E"), lambda x, i: F.when(i > 0, F.concat(F.lit(separator), x)).otherwise(x))
-            # Parts follow each other without a gap, so a running sum of lengths is the next part's start.
-            begin = F.struct(p["start"].alias("at"), F.array().cast(_PIECE).alias("out"))
-            placed = F.aggregate(
-                F.filter(texts, lambda x: x != ""), begin,
-                lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.array_append(s["out"], F.struct(s["at"].alias("start"), node, x.alias("piece"))).alias("out")),
-            )["out"]
-            held = F.contains(p["piece"], F.lit(separator))
+            texts = F.transform(F.split(p["piece"], rf"\Q{separator}\E"), lambda x, j: F.when(j > 0, F.concat(F.lit(separator), x)).otherwise(x))
         else:
-            letters = F.filter(F.split(p["piece"], ""), lambda x: x != "")
-            placed, held = F.transform(letters, lambda x, i: F.struct((p["start"] + i).alias("start"), node, x.alias("piece"))), F.lit(True)
+            texts = F.split(p["piece"], "")
+        placed = F.transform(F.filter(texts, lambda x: x != ""), lambda x: F.struct(node, x.alias("piece")))
+        held = F.contains(p["piece"], F.lit(separator)) if separator else F.lit(True)
         todo = (F.length(p["piece"]) >= size) | (p["node"] == -1)
         return F.when(todo & held, placed).otherwise(F.array(p)).cast(_PIECE)
 
@@ -177,48 +171,44 @@ def _split_parts(size: int, level: int, separator: str, levels: int) -> Callable
 
 
 def _pieces(size: int, separators: Sequence[str]) -> Column:
-    """The parts of ``text`` that chunks are put together from: start, node (the part that was split into them), piece.
+    """The parts of ``text``, in order and without gaps, that chunks are put together from: node (the part that was split into them), piece.
 
     The text, and then each part of ``size`` characters or more, is split by the first separator of the list that occurs in it.
     """
-    out = F.array(F.struct(F.lit(0).alias("start"), F.lit(-1).cast("long").alias("node"), F.col("text").alias("piece"))).cast(_PIECE)
+    out = F.array(F.struct(F.lit(-1).cast("long").alias("node"), F.col("text").alias("piece"))).cast(_PIECE)
     for level, separator in enumerate(separators):
         out = F.flatten(F.transform(out, _split_parts(size, level, separator, len(separators))))
-    return out
+    return F.transform(out, lambda p: F.struct(p["node"].alias("node"), F.length(p["piece"]).alias("length")))
 
 
 def recursive_chunks(corpus: DataFrame, size: int = 500, overlap: int = 50, separators: Sequence[str] = ("\n\n", "\n", " ", "")) -> DataFrame:
     """The columns of ``corpus`` (text among them) and chunk_index, start, chunk, by recursive separators, the last of which is empty.
 
     Parts keep the separator before them.  Parts of one node follow each other in a chunk of up to ``size`` characters; the next chunk
-    begins with as many of the last parts as fit ``overlap``, and the part to come fits with them.  Chunks are stripped, blank ones go.
+    begins with as many of the last parts as fit ``overlap``, and the part to come fits with them.  Chunks are stripped, blank ones go;
+    null and empty texts give none.
 
-    As parts have no gaps, a chunk is a range of the text: a fold over the parts keeps the range's start, and looks back over
-    the last ``overlap`` parts for the next one's.
+    As parts have no gaps, a chunk is a range of the text: a fold over the parts keeps the range's start, and where the parts of the last ``overlap`` characters begin.
     """
     if not separators or separators[-1] != "":
         raise ValueError("the last separator must be empty")
     kind = "array<struct<a:int,b:int>>"
-    start = F.struct(F.lit(-1).cast("long").alias("node"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.array().cast(kind).alias("cuts"))
-
-    def step(state: Column, i: Column) -> Column:
-        return X.let(F.get("__pieces", i), lambda p: X.let(p["start"] - state["a"] + F.length(p["piece"]) > size, lambda full: placed(state, i, p, full)))
-
-    def placed(state: Column, i: Column, p: Column, full: Column) -> Column:
-        at, length = p["start"], F.length(p["piece"])
-        other, full = p["node"] != state["node"], full & (at > state["a"])
-        closed = F.array_append(state["cuts"], F.struct(state["a"].alias("a"), state["b"].alias("b")))
-        room = at - F.least(F.lit(overlap), size - length)
-        back = F.slice("__pieces", F.greatest(i - overlap, F.lit(0)) + 1, F.least(i, F.lit(overlap)))
-        first = F.get(F.filter(back, lambda q: (q["node"] == p["node"]) & (q["start"] >= room) & (q["start"] >= state["a"])), F.lit(0))["start"]
+    start = F.struct(F.lit(-1).cast("long").alias("node"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.array().cast("array<int>").alias("recent"), F.array().cast(kind).alias("cuts"))
+
+    def step(state: Column, p: Column) -> Column:
+        at, length = state["b"], p["length"]
+        other = p["node"] != state["node"]
+        full = ~other & (at > state["a"]) & (at - state["a"] + length > size)
+        closed = F.array_append(state["cuts"], F.struct(state["a"].alias("a"), at.alias("b")))
+        first = F.get(F.filter(state["recent"], lambda r: r >= at - F.least(F.lit(overlap), size - length)), F.lit(0))
         return F.struct(
-            p["node"].alias("node"), F.when(other, at).when(full, F.coalesce(first, at)).otherwise(state["a"]).cast("int").alias("a"), (at + length).cast("int").alias("b"),
-            F.when((other & (state["b"] > state["a"])) | (~other & full), closed).otherwise(state["cuts"]).cast(kind).alias("cuts"),
+            p["node"].alias("node"), F.when(other, at).when(full, F.coalesce(first, at)).otherwise(state["a"]).alias("a"), (at + length).alias("b"),
+            F.when(other, F.array(at)).otherwise(F.array_append(F.filter(state["recent"], lambda r: r >= at - overlap), at)).alias("recent"),
+            F.when((other & (at > state["a"])) | full, closed).otherwise(state["cuts"]).alias("cuts"),
         )
 
-    folded = F.aggregate(F.when(F.size("__pieces") > 0, F.sequence(F.lit(0), F.size("__pieces") - 1)).otherwise(F.array().cast("array<int>")), start, step)
-    rows = corpus.withColumns({"__pieces": _pieces(size, separators), "__blocks": _blocks(size)}).withColumn("__state", folded)
-    ranges = F.when(F.col("__state.b") > F.col("__state.a"), F.array_append("__state.cuts", F.struct(F.col("__state.a").alias("a"), F.col("__state.b").alias("b")))).otherwise(F.col("__state.cuts"))
+    rows = corpus.filter("text <> ''").withColumns({"__blocks": _blocks(size), "__state": F.aggregate(_pieces(size, separators), start, step)})
+    ranges = F.array_append("__state.cuts", F.struct(F.col("__state.a").alias("a"), F.col("__state.b").alias("b")))
     cut = F.transform(ranges, lambda r: F.struct(r["a"].alias("start"), X.strip(_range("__blocks", r["a"], r["b"] - r["a"], size)).alias("chunk")))
     out = rows.select(*corpus.columns, F.posexplode(F.filter(cut, lambda c: c["chunk"] != "")).alias("chunk_index", "c"))
     return out.select(*corpus.columns, "chunk_index", "c.start", "c.chunk")
