@@ -5,15 +5,7 @@ from oracle import connect, rows_of, sql_rows
 
 from marlstone.plans import catalog
 
-CHOSEN = """bm25_topk bm25_corpus_stats tf_overlap exact_phrase forced_recall lexical_enhanced vector_topk embedding_normalise hybrid_flagship
-rrf_three_sources diversity_select balanced_rerank enhanced_rerank tokens_stats normalise_text doc_keywords chunk_fixed detect_sections paragraph_tags
-page_text category_classify open_question_type query_rewrite target_files batch_answers context_compress rouge1 bleu2 fact_extract answer_confidence
-snapshot_diff chunk_hash new_chunks version_upsert debounced_updates usage_flags multi_stage_retrieve strategy_retrieve two_stage_rerank model_rerank
-content_merge file_aware_retrieve optimized_retrieve answer_driver boost_filter pattern_classify name_scores creative_mode section_enrichment detailed_hits
-adaptive_compress bm25_whitespace changed_files index_upsert saved_index_topk saved_vectors_topk""".split()
-
-
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_same_rows_as_sql(spark, sf_dir, name):
     con = connect(sf_dir)
     assert rows_of(catalog.QUERIES[name](spark, sf_dir)) == sql_rows(con, catalog.ORACLE_SQL[name])
