@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import lexicons as L
 from marlstone.functions import text as X
-from marlstone.operators import chunking, classify, lexical, reports, staged, substrings
+from marlstone.operators import chunking, classify, lexical, reports, segment, staged, substrings
 from marlstone.plans.registry import query
-from marlstone.plans.retrieval import SQL_BM25, bm25_hits, d_tokens, q_tokens, sql_list, sql_tokens
+from marlstone.plans.retrieval import SQL_BM25, bm25_hits, d_tokens, q_tokens, sql_list, sql_tokens, swap
 from marlstone.sources.pages import html_text
-from marlstone.sources.tables import answers, corpus, questions, table
+from marlstone.sources.tables import answers, corpus, materialise, questions, table
 
 _STRIP = r"regexp_replace({}, '^[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+|[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+$', '', 'g')"
 
@@ -24,9 +24,48 @@ def sql_strip(column: str) -> str:
     return _STRIP.format(column)
 
 
-@query("tokens_stats", f"SELECT doc_id, len(t) AS tokens, len(list_distinct(t)) AS distinct_tokens FROM (SELECT doc_id, {sql_tokens('text')} AS t FROM documents)")
+@query("tokens_stats", f"SELECT doc_id, len(t) AS tokens, len(list_distinct(t)) AS distinct_tokens FROM (SELECT doc_id, {swap(sql_tokens('text'), 'lower(text)', 'text')} AS t FROM documents)")
 def tokens_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir).select("doc_id", F.size(d_tokens()).alias("tokens"), F.size(F.array_distinct(d_tokens())).alias("distinct_tokens"))
+    """Tokens as they are written; case is kept."""
+    cased = X.tokens(F.col("text"), lower=False)
+    return corpus(spark, sf_dir).select("doc_id", F.size(cased).alias("tokens"), F.size(F.array_distinct(cased)).alias("distinct_tokens"))
+
+
+# The prose is cut into the parts that its words are made of.
+_LETTERS, _LEAST, _COHESION, _FREEDOM = "[a-z]", 50, 4.0, 1.5
+_DICTIONARY = f"""
+runs AS MATERIALIZED (SELECT run, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{_LETTERS}{{1,1000}}')) AS run FROM documents) GROUP BY run),
+grams AS MATERIALIZED (SELECT gram, sum(n)::BIGINT AS n FROM (SELECT n, unnest(flatten(list_transform(range(1, length(run) + 1), lambda i: list_transform(range(1, least(5, length(run) - i + 1) + 1), lambda k: substring(run, i::INT, k::INT))))) AS gram FROM runs) GROUP BY gram),
+total AS (SELECT sum(n)::BIGINT AS total FROM grams WHERE length(gram) = 1),
+longer AS (SELECT * FROM grams WHERE length(gram) BETWEEN 2 AND 4 AND n >= {_LEAST}),
+splits AS (SELECT gram, n, substring(gram, 1, i::INT) AS head, substring(gram, i::INT + 1) AS tail FROM longer, unnest(range(1, length(gram))) u(i)),
+held AS (SELECT s.gram, min(round(s.n * total::DOUBLE / h.n / t.n, 6)) AS cohesion FROM splits s JOIN grams h ON h.gram = s.head JOIN grams t ON t.gram = s.tail, total GROUP BY s.gram),
+before AS (SELECT substring(gram, 2) AS gram, sum(n) AS inside, sum(n * ln(n)) AS kk FROM grams WHERE length(gram) >= 2 GROUP BY 1),
+after AS (SELECT substring(gram, 1, length(gram) - 1) AS gram, sum(n) AS inside, sum(n * ln(n)) AS kk FROM grams WHERE length(gram) >= 2 GROUP BY 1),
+free AS (SELECT g.gram, round(ln(g.n) - (coalesce(b.kk, 0) + CASE WHEN g.n > coalesce(b.inside, 0) THEN (g.n - coalesce(b.inside, 0)) * ln(g.n - coalesce(b.inside, 0)) ELSE 0 END) / g.n, 6) AS before_,
+  round(ln(g.n) - (coalesce(a.kk, 0) + CASE WHEN g.n > coalesce(a.inside, 0) THEN (g.n - coalesce(a.inside, 0)) * ln(g.n - coalesce(a.inside, 0)) ELSE 0 END) / g.n, 6) AS after_ FROM grams g LEFT JOIN before b ON b.gram = g.gram LEFT JOIN after a ON a.gram = g.gram),
+dictionary AS MATERIALIZED (SELECT gram AS word, n, round(ln(n / total::DOUBLE) * 1000000)::BIGINT AS weight FROM (
+  SELECT l.gram, l.n FROM longer l JOIN held USING (gram) JOIN free USING (gram) WHERE cohesion >= {_COHESION} AND before_ >= {_FREEDOM} AND after_ >= {_FREEDOM} UNION ALL SELECT gram, n FROM grams WHERE length(gram) = 1), total)"""
+
+
+@query("learnt_words", f"WITH {_DICTIONARY} SELECT * FROM dictionary")
+def learnt_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary of the parts that the corpus's words are made of."""
+    return segment.learn(segment.runs(corpus(spark, sf_dir), _LETTERS), least=_LEAST, cohesion=_COHESION, freedom=_FREEDOM)
+
+
+@query("segmented_runs", f"""WITH {_DICTIONARY},
+spans AS (SELECT run, e, e - k AS b, substring(run, (e - k + 1)::INT, k::INT) AS word FROM runs, unnest(range(1, length(run) + 1)) u(e), unnest(range(1, 5)) v(k) WHERE k <= e),
+places AS (SELECT run, e, list({{'b': b, 'w': weight}}) AS edges FROM spans JOIN dictionary USING (word) GROUP BY run, e),
+folded AS (SELECT run, list_reduce(list_concat([{{'edges': []::STRUCT(b BIGINT, w BIGINT)[], 'best': [{{'score': 0::BIGINT, 'size': 0::BIGINT, 'path': ''}}]}}], list({{'edges': edges, 'best': []::STRUCT(score BIGINT, size BIGINT, path VARCHAR)[]}} ORDER BY e)),
+  lambda s, x: {{'edges': x.edges, 'best': list_append(s.best, list_max(list_transform(x.edges, lambda d: {{'score': s.best[d.b + 1].score + d.w, 'size': len(s.best) - d.b, 'path': s.best[d.b + 1].path || d.b || ','}})))}}) AS s FROM places GROUP BY run),
+cuts AS (SELECT run, list_transform(list_filter(string_split(s.best[-1].path, ','), lambda x: x <> ''), lambda x: x::INT) AS c FROM folded)
+SELECT run, n, array_to_string(list_transform(c, lambda x, i: substring(run, x + 1, coalesce(c[i + 1], length(run)) - x)), '|') AS words FROM cuts JOIN runs USING (run)""")
+def segmented_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct run of the corpus, along its best path."""
+    counted = materialise(segment.runs(corpus(spark, sf_dir), _LETTERS))
+    dictionary = materialise(segment.learn(counted, least=_LEAST, cohesion=_COHESION, freedom=_FREEDOM))
+    return segment.segment(counted.select("run"), dictionary).join(counted, "run").select("run", "n", F.array_join("words", "|").alias("words"))
 
 
 _NORMAL = r"regexp_replace(regexp_replace(regexp_replace(text, '[^\x{4e00}-\x{9fa5}a-zA-Z0-9\s%s]', ' ', 'g'), '\s+', ' ', 'g'), '^ | $', '', 'g')"
