@@ -111,7 +111,7 @@ def _range(blocks: str, start: Column, length: Column, size: int) -> Column:
 
 
 def sentence_chunks(corpus: DataFrame, size: int = 800, overlap: int = 100, delimiters: str = "。！？\n", tail: int = 50, mark: str = "【续：{}】\n\n") -> DataFrame:
-    """The columns of ``corpus`` (title, text among them) and chunk_index, chunk_start, chunk_end, is_continuation, chunk.
+    """The columns of ``corpus`` (text and, if there is one, title among them) and chunk_index, chunk_start, chunk_end, is_continuation, chunk.
 
     A text of up to ``size`` characters stays as it is.  Else each chunk ends after the last occurrence, in its window, of the first of the
     delimiters that occurs there; the next starts ``overlap`` before, or a quarter of the window on where that is no way forward.  Cutting
@@ -146,7 +146,8 @@ def sentence_chunks(corpus: DataFrame, size: int = 800, overlap: int = 100, deli
     cut = corpus.withColumn("__blocks", F.when(n > size, _blocks(size))).select(*corpus.columns, F.posexplode(cuts).alias("chunk_index", "c"))
     later = F.col("chunk_index") > 0
     before, after = mark.split("{}")
-    chunk = F.when(later, F.concat(F.lit(before), F.coalesce("title", F.lit("")), F.lit(after), F.col("c.chunk"))).otherwise(F.col("c.chunk"))
+    title = F.coalesce("title", F.lit("")) if "title" in corpus.columns else F.lit("")
+    chunk = F.when(later, F.concat(F.lit(before), title, F.lit(after), F.col("c.chunk"))).otherwise(F.col("c.chunk"))
     return cut.select(*corpus.columns, "chunk_index", F.col("c.a").alias("chunk_start"), F.col("c.b").alias("chunk_end"), later.alias("is_continuation"), chunk.alias("chunk"))
 
 

@@ -59,8 +59,8 @@ def shared_bigrams(said: DataFrame, turns: DataFrame) -> DataFrame:
     return _shares(said, own, within.unionByName(across).distinct(), "bleu")
 
 
-#: Facts of a block of either side, about, and counted letter classes.
-BLOCK, CLASSES = 256, 64
+#: Facts of a bucket of groups, about; facts of a block of either side of a large one; counted letter classes.
+BUCKET, BLOCK, CLASSES = 256, 2048, 64
 
 
 def subsequence(a: str, b: str) -> int:
@@ -105,16 +105,16 @@ def _ratio_blocks(similarity: float):
 def similar_facts(own: DataFrame, known: DataFrame, similarity: float = 0.6) -> DataFrame:
     """group, fact of ``own`` (distinct) with a fact of edit ratio ``similarity`` among the group's ``known`` ones (distinct).
 
-    Groups are dealt to buckets of about BLOCK facts, and a bucket's sides to blocks that meet in pairs, so
+    Groups are dealt to buckets of about BUCKET facts, and a larger bucket's sides to blocks that meet in pairs, so
     neither many small groups nor a large one make a task large.  Within a block, lengths, counts of letters and
     the longest common subsequence bound the ratio from above; it is computed for what is left.
     """
     kind = dict(own.dtypes)["group"]
     size = known.count()
-    buckets = max(1, -(-size // BLOCK))
+    buckets = max(1, -(-size // BUCKET))
     deal = lambda df: df.select("group", "fact", F.pmod(F.xxhash64("group"), F.lit(buckets)).alias("bucket"))
     own, known = deal(own), deal(known)
-    blocks = lambda df, name: df.groupBy("bucket").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias(name))
+    blocks = lambda df, name: df.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
     sizes = materialise(blocks(own, "no").join(blocks(known, "nk"), "bucket"))
     place = lambda n: F.pmod(F.xxhash64("fact"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

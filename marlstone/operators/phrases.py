@@ -23,8 +23,12 @@ from marlstone.operators.substrings import first_gram, grams
 from marlstone.sources.tables import materialise
 
 
+#: Words that are placed in one array.
+RUN = 128
+
+
 class Index(NamedTuple):
-    """postings: term, chunk_id, offsets; terms: term; texts: chunk_id, chars, digest."""
+    """postings: term, chunk_id, at; terms: term; texts: chunk_id, chars, digest."""
 
     postings: DataFrame
     terms: DataFrame
@@ -32,20 +36,19 @@ class Index(NamedTuple):
 
 
 def save(corpus: DataFrame, path: str) -> Index:
-    """Write the index of (chunk_id, text) below ``path``; postings are made beside the scan and clustered by term."""
+    """Write the index of (chunk_id, text) below ``path``; postings are made and written beside the scan."""
     spark = corpus.sparkSession
     words = F.split("text", " ")
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<term:string,at:int>>").alias("out"))
-    # Runs of words are placed by a running length; of 1024 at a time, as a long array is costly to extend.
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 1024).cast("int")), lambda i: F.slice("w", i * 1024 + 1, F.lit(1024)))
+    # Words are placed by a running length, within runs of RUN words, as a long array is costly to extend; the runs by the lengths before them.
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / RUN).cast("int")), lambda i: F.slice("w", i * RUN + 1, F.lit(RUN)))
     placed = F.aggregate("block", begin, lambda s, w: F.struct((s["at"] + F.length(w) + 1).alias("at"), F.array_append(s["out"], F.struct(w.alias("term"), s["at"].alias("at"))).alias("out")))["out"]
     lengths = F.transform("blocks", lambda b: F.length(F.array_join(b, " ")) + 1)
     cut = corpus.filter("text IS NOT NULL").select("chunk_id", words.alias("w")).select("chunk_id", blocks.alias("blocks")).withColumn("sizes", lengths)
     cut = cut.select("chunk_id", "sizes", F.posexplode("blocks").alias("b", "block"))
     base = F.aggregate(F.slice("sizes", F.lit(1), F.col("b")), F.lit(0), lambda a, x: a + x)
     rows = cut.select("chunk_id", base.alias("base"), F.explode(placed).alias("p")).filter("p.term <> ''")
-    rows = rows.groupBy("chunk_id", F.col("p.term").alias("term")).agg(F.array_sort(F.collect_list(F.col("base") + F.col("p.at"))).alias("offsets"))
-    rows.select("term", "chunk_id", "offsets").sortWithinPartitions("term").write.mode("error").parquet(f"{path}/postings")
+    rows.select("p.term", "chunk_id", (F.col("base") + F.col("p.at")).alias("at")).write.mode("error").parquet(f"{path}/postings")
     spark.read.parquet(f"{path}/postings").select("term").distinct().write.mode("error").parquet(f"{path}/terms")
     corpus.filter("text IS NOT NULL").select("chunk_id", F.length("text").alias("chars"), F.md5("text").alias("digest")).write.mode("error").parquet(f"{path}/texts")
     return load(spark, path)
@@ -81,7 +84,7 @@ def matches(index: Index, phrases: DataFrame) -> DataFrame:
     size, part = F.length("phrase"), F.length("part")
     within = lambda t, p: F.filter(F.transform(F.sequence(F.lit(0), F.length(t) - F.length(p)), lambda i: F.when(F.substring(t, i + 1, F.length(p)) == p, i)), lambda i: i.isNotNull())
     inner = F.when(F.col("kind") == "inside", within(F.col("term"), F.col("part"))).when(F.col("kind") == "suffix", F.array(F.length("term") - part)).otherwise(F.array(F.lit(0)))
-    begins = F.flatten(F.transform("offsets", lambda o: F.transform(F.col("inner"), lambda i: o + i - F.col("rel"))))
+    begins = F.transform("inner", lambda i: F.col("at") + i - F.col("rel"))
     rows = met.withColumn("inner", inner).select("phrase", "chunk_id", "rel", "parts", begins.alias("begins"))
     # one row per phrase, text and part; then those beginnings that every part has
     by_part = rows.groupBy("phrase", "chunk_id", "parts", "rel").agg(F.flatten(F.collect_list("begins")).alias("begins"))

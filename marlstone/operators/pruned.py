@@ -33,7 +33,7 @@ SLACK = 1e-5
 
 
 class Index(NamedTuple):
-    """postings: block, term, chunk_id, dl, tf; bounds: block, term, most; champions: the best bounds of each term with more than CHAMPIONS; terms: term, df, blocks; stats: n, avgdl, k1, b."""
+    """postings: block, term, chunk_id, dl, tf; bounds: block, term, most of each common term, one of more than CHAMPIONS documents; champions: its best bounds; terms: term, df; stats: n, avgdl, k1, b."""
 
     postings: DataFrame
     bounds: DataFrame
@@ -62,11 +62,11 @@ def save(corpus: DataFrame, tokens: Column, path: str, k1: float = 1.5, b: float
     counted = lexical.term_counts(_dealt(corpus.select("chunk_id", "text"), per_block).select(F.struct("chunk_id", "block").alias("at"), "text"), tokens, "at")
     postings = put(counted.select("at.block", "term", "at.chunk_id", "dl", "tf"), "postings")
     stats = put(lexical.corpus_stats(corpus, tokens).withColumns({"k1": F.lit(k1), "b": F.lit(b)}), "stats")
-    bounds = put(postings.join(F.broadcast(stats)).groupBy("block", "term").agg(F.max(_gain()).alias("most"), F.count("*").alias("df")), "bounds")
-    terms = put(bounds.groupBy("term").agg(F.sum("df").alias("df"), F.count("*").alias("blocks")), "terms")
+    terms = put(postings.groupBy("term").agg(F.count("*").alias("df")), "terms")
+    common = _small(terms.filter(F.col("df") > CHAMPIONS).select("term"))
+    bounds = put(postings.join(common, "term", "left_semi").join(F.broadcast(stats)).groupBy("block", "term").agg(F.max(_gain()).alias("most")), "bounds")
     place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("most"), "block"))
-    common = _small(terms.filter(F.col("blocks") > CHAMPIONS).select("term"))
-    put(bounds.join(common, "term", "left_semi").withColumn("place", place).filter(F.col("place") <= CHAMPIONS).select("block", "term", "most"), "champions")
+    put(bounds.withColumn("place", place).filter(F.col("place") <= CHAMPIONS).select("block", "term", "most"), "champions")
     return load(spark, path)
 
 
@@ -102,18 +102,24 @@ def kth_scores(scores: DataFrame, k: int) -> DataFrame:
     return _ranked(scores, F.desc("score")).filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
 
 
+def rare_gains(index: Index, asked: DataFrame) -> DataFrame:
+    """block, term, most, query_id, weight of the postings of asked terms that have no bounds, of which each has CHAMPIONS at most."""
+    rare = materialise(asked.join(index.terms.filter(F.col("df") <= CHAMPIONS).select("term"), "term", "left_semi"))
+    met = index.postings.join(_small(rare), "term").join(F.broadcast(index.stats))
+    return met.groupBy("block", "term", "query_id", "weight").agg(F.max(_gain()).alias("most"))
+
+
 def seed_blocks(index: Index, asked: DataFrame, seeds: int) -> DataFrame:
     """query_id, block: the blocks that offer most in the lists of best blocks of the question's terms."""
-    rare = asked.join(index.terms.filter(F.col("blocks") <= CHAMPIONS).select("term"), "term", "left_semi")
-    offers = index.champions.join(_small(asked), "term").unionByName(index.bounds.select("block", "term", "most").join(_small(materialise(rare)), "term"))
+    offers = index.champions.join(_small(asked), "term").unionByName(rare_gains(index, asked))
     parts = offers.groupBy("query_id", "block").agg(F.sum(F.col("weight") * F.col("most")).alias("part"))
     return _ranked(parts, F.desc("part"), F.col("block")).filter(F.col("rank") <= seeds).select("query_id", "block")
 
 
 def open_blocks(index: Index, asked: DataFrame, least: DataFrame) -> DataFrame:
     """query_id, block of the blocks that may hold a document of the question's best."""
-    bounds = index.bounds.select("block", "term", "most").join(_small(asked.select("term").distinct()), "term", "left_semi").repartition("block")
-    met = bounds.join(_small(asked), "term")
+    bounds = index.bounds.join(_small(asked.select("term").distinct()), "term", "left_semi").repartition("block")
+    met = bounds.join(_small(asked), "term").unionByName(rare_gains(index, asked))
     bound = met.groupBy("query_id", "block").agg(F.sum(F.greatest(F.col("weight"), F.lit(0.0)) * F.col("most")).alias("bound"))
     return bound.join(_small_ids(least), "query_id", "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least") - SLACK)).select("query_id", "block")
 

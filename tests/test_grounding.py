@@ -52,7 +52,7 @@ def test_support_of_the_whole_table(spark, sf_dir):
     assert got == brute(rows, [tuple(r) for r in t.select("group", "place", "text").collect()]) and got
 
 
-@pytest.mark.parametrize("block", [3, 256])
+@pytest.mark.parametrize("block", [3, 2048])
 def test_support_with_near_facts_and_one_large_group(spark, monkeypatch, block):
     monkeypatch.setattr(grounding, "BLOCK", block)
     made = random.Random(4)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import lexicons as L
 from marlstone.functions import text as X
-from marlstone.operators import chunking, context, diversity, fusion, incremental, lexical, reports, rerank, validate
+from marlstone.operators import chunking, context, diversity, fusion, grounding, incremental, lexical, reports, rerank, validate
 from marlstone.sources import pages, tables
 from marlstone.streaming import watcher
 
@@ -93,10 +93,11 @@ def test_compression_stops_at_the_first_that_does_not_fit(spark):
 
 
 def test_fact_support_uses_edit_ratio(spark):
-    rows = spark.createDataFrame([(["the meeting is on 5 May"], ["the meeting is on 6 May"]), (["wholly different"], ["nothing alike here"])], "own array<string>, known array<string>")
-    got = [r.s for r in rows.select(validate.supported(F.col("own"), F.col("known")).alias("s")).collect()]
+    own = spark.createDataFrame([(1, "the meeting is on 5 May"), (2, "wholly different")], "group long, fact string")
+    known = spark.createDataFrame([(1, "the meeting is on 6 May"), (2, "nothing alike here")], "group long, fact string")
+    got = [tuple(r) for r in grounding.similar_facts(own, known).collect()]
     assert difflib.SequenceMatcher(None, "the meeting is on 5 May", "the meeting is on 6 May").ratio() >= 0.6
-    assert got == [["the meeting is on 5 May"], []]
+    assert got == [(1, "the meeting is on 5 May")]
 
 
 def test_snapshot_diff_with_itself_is_unchanged(spark):
