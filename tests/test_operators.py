@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import lexicons as L
 from marlstone.functions import text as X
-from marlstone.operators import chunking, context, diversity, fusion, grounding, incremental, lexical, reports, rerank, validate
+from marlstone.operators import chunking, context, diversity, fusion, grounding, incremental, lexical, reports, rerank
 from marlstone.sources import pages, tables
 from marlstone.streaming import watcher
 
