@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as X
+from marlstone.sources.tables import materialise
 
 
 def fixed_chunks(corpus: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
@@ -41,9 +42,9 @@ def sections(corpus: DataFrame, patterns: tuple[str, ...], keywords: tuple[str,
     A section runs from its title's line to the next title; text before the first is not part of one.
     start_pos is the length of the lines before the title, joined.  Each line travels once, to its document; a section's body is put together from its lines.
     """
-    lines = corpus.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    lines = corpus.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("stripped", X.strip(F.col("line")))
     order = Window.partitionBy("doc_id").orderBy("n")
-    stripped = X.strip(F.col("line"))
+    stripped = F.col("stripped")
     placed = lines.withColumn("start", F.coalesce(F.sum(F.length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = placed.withColumn("title", section_title(stripped, patterns, keywords)).withColumn("level", F.when(F.col("title").isNotNull(), section_level(stripped, levels)))
     numbered = placed.withColumn("section", F.count("title").over(order)).filter("section > 0")
@@ -242,8 +243,9 @@ def load_chapters(
     A chunk's pages are those that its part of the file's text touches.  A file without sections gives its pages' paragraphs (no title).
     ``entities`` is an array column over ``path``.
     """
-    files = page_files(pages)
-    found = sections(files.withColumnRenamed("path", "doc_id"), patterns, levels=levels).withColumnRenamed("doc_id", "path")
+    pages = materialise(pages.select("path", "page", "text"))  # what makes the texts is done once
+    files = materialise(page_files(pages))
+    found = materialise(sections(files.withColumnRenamed("path", "doc_id"), patterns, levels=levels).withColumnRenamed("doc_id", "path"))
     chapters = found.join(files.select("path", "spans"), "path")
     words = F.array(*[F.lit(k) for k in keywords])
     content = enriched_section(F.col("title"), F.col("body"), F.col("level"), words, entities, marks, tags)
