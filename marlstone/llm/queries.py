@@ -169,13 +169,23 @@ SELECT conv_id, count(*) AS n_turns,
   sum(chars)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id""",
     "op9_merkle_audit": r"""
-WITH sized AS (
-  SELECT page_id, page_id // 1000 AS file, strlen('WARC/1.0  WARC-Type: response  WARC-Record-ID: <urn:page:' || page_id || '>  WARC-Target-URI: ' || coalesce(url, '') || '  Content-Length: ' || strlen(coalesce(html, '')) || '        ')
-    + strlen(coalesce(html, '')) AS length FROM pages
+WITH stored AS (
+  SELECT 'a' AS side, page_id, url, coalesce(html, '') AS html FROM pages
+  UNION ALL SELECT 'b', page_id, url, CASE WHEN page_id % 97 = 5 THEN coalesce(html, '') || '!' ELSE coalesce(html, '') END FROM pages WHERE page_id % 89 <> 7
+  UNION ALL SELECT 'b', -1 - page_id, url, coalesce(html, '') FROM pages WHERE page_id % 101 = 11
 ),
-placed AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM sized)
-SELECT page_id, CASE WHEN page_id % 89 = 7 THEN 'missing' ELSE 'corrupt' END AS status, file, "offset", length FROM placed WHERE page_id % 97 = 5 OR page_id % 89 = 7
-UNION ALL SELECT -1 - page_id, 'extra', NULL, NULL, NULL FROM pages WHERE page_id % 101 = 11""",
+sized AS (
+  SELECT side, page_id, html, floor(page_id / 1000)::BIGINT AS file, strlen('WARC/1.0  WARC-Type: response  WARC-Record-ID: <urn:page:' || page_id || '>  WARC-Target-URI: ' || coalesce(url, '') || '  Content-Length: ' || strlen(html) || '        ')
+    + strlen(html) AS length FROM stored
+),
+placed AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY side, file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM sized),
+a AS (SELECT * FROM placed WHERE side = 'a'),
+b AS (SELECT * FROM placed WHERE side = 'b')
+SELECT coalesce(a.page_id, b.page_id) AS page_id,
+  CASE WHEN b.page_id IS NULL THEN 'missing' WHEN a.page_id IS NULL THEN 'extra' WHEN a.html = b.html THEN 'moved' ELSE 'corrupt' END AS status,
+  a.file, a."offset", a.length, b."offset" AS found_offset
+FROM a FULL JOIN b ON a.page_id = b.page_id
+WHERE a.page_id IS NULL OR b.page_id IS NULL OR a.html <> b.html OR a."offset" <> b."offset" """,
     "op11_rendezvous": rf"""
 WITH {_CRC_TABLE},
 rows AS (SELECT doc_id, coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))) AS key, coalesce(strlen(text), 0) + 8 AS size, {_crc32("coalesce(text, '')")} AS text_crc32 FROM documents, crc),

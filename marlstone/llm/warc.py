@@ -1,10 +1,12 @@
 """Operator 9: Merkle fixity audit of WARC replicas, with DataFrame functions only.
 
-Method: every record is hashed; records in key order are the leaves of a tree
-whose inner nodes hash up to sixteen children (ranges of neighbouring records)
-together with the bytes they span.  Two replicas are compared at the root;
+Method: every record is hashed; records in key order are the leaves of a tree.
+A leaf's mark hashes the record's digest and its offset range in the archive
+file; an inner node's mark those of up to sixteen children (neighbouring
+records) and the range that they span, from the first offset to the last end.  Two replicas are compared at the root;
 below a mismatch only the children of mismatching nodes are read, down to the
-records that differ.
+records that differ.  A record whose bytes are the same but whose offset is not
+has moved; offsets start anew in each file, so a loss moves no other file.
 
 Contract: a record's key is its page id; rows that share one are one leaf of
 all their contents.  Rows without an id are not part of an archive.  Null urls
@@ -46,29 +48,35 @@ def offsets(leaves: DataFrame) -> DataFrame:
 
 
 class Tree:
-    """levels[0]: leaves (node, hash, length, file); levels[i]: nodes that hash those below."""
+    """levels[0]: leaves (node, hash, length, file, offset, mark); levels[i]: nodes whose marks hash those below."""
 
     def __init__(self, pages: DataFrame) -> None:
         # Repeated contents of a key are counted before they are gathered.
         distinct = records(pages).groupBy("key", "file", "hash").agg(F.count("*").alias("times"), F.sum("length").alias("length"))
         content = F.transform(F.array_sort(F.collect_list(F.struct("hash", "times"))), lambda x: F.concat(x["hash"], F.lit("x"), x["times"].cast("string")))
         leaves = distinct.groupBy("key", "file").agg(F.sha2(F.array_join(content, ","), 256).alias("hash"), F.sum("length").alias("length"))
-        level = materialise(leaves.select(F.col("key").alias("node"), "hash", "length", "file"))
+        end = (F.col("offset") + F.col("length")).alias("end")
+        mark = F.sha2(F.concat_ws(":", "hash", F.col("file").cast("string"), F.col("offset").cast("string"), end.cast("string")), 256)
+        ranges = F.struct("file", "offset").alias("first"), F.struct("file", end).alias("last")
+        level = materialise(offsets(leaves).select(F.col("key").alias("node"), "hash", "length", "file", "offset", mark.alias("mark"), *ranges))
         self.levels = [level]
         edges = level.agg(F.min("node").alias("low"), F.max("node").alias("high")).first()
         low, high = edges.low or 0, edges.high or 0
         while low != high and (low, high) != (-1, 0):
-            children = F.transform(F.array_sort(F.collect_list(F.struct("node", "hash", "length"))), lambda x: F.concat_ws(":", x["node"].cast("string"), x["hash"], x["length"].cast("string")))
+            children = F.transform(F.array_sort(F.collect_list(F.struct("node", "mark"))), lambda x: F.concat_ws(":", x["node"].cast("string"), x["mark"]))
             parent = F.shiftright("node", FAN_OUT_BITS)
-            level = materialise(level.groupBy(parent.alias("node")).agg(F.sha2(F.array_join(children, ","), 256).alias("hash"), F.sum("length").alias("length")))
+            spans = level.groupBy(parent.alias("node")).agg(F.array_join(children, ",").alias("below"), F.min("first").alias("first"), F.max("last").alias("last"))
+            span = [F.col(c).cast("string") for c in ("first.file", "first.offset", "last.file", "last.end")]
+            level = materialise(spans.select("node", F.sha2(F.concat_ws("|", "below", *span), 256).alias("mark"), "first", "last"))
             self.levels.append(level)
             low, high = low >> FAN_OUT_BITS, high >> FAN_OUT_BITS
 
 
 def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
-    """page_id, status (corrupt, missing, extra), file, offset and length of every record that differs.
+    """page_id, status (corrupt, missing, extra, moved), file, offset, length and found_offset of every record that differs.
 
-    file, offset and length are the original's; null for an extra record.
+    file, offset and length are the original's, null for an extra record;
+    found_offset is the replica's, null for a missing one.  A corrupt record may have moved too.
     """
     a, b = Tree(original), Tree(replica)
     top = max(len(a.levels), len(b.levels)) - 1
@@ -77,28 +85,30 @@ def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
         sides = []
         for tree, name in ((a, "a"), (b, "b")):
             side = tree.levels[depth] if depth < len(tree.levels) else tree.levels[0].limit(0)
-            side = side.select("node", F.col("hash").alias(f"hash_{name}"))
+            side = side.select("node", *[F.col(c).alias(f"{c}_{name}") for c in (["mark"] if depth else _LEAF)])
             if suspects is not None:
                 side = side.withColumn("parent", F.shiftright("node", FAN_OUT_BITS)).join(suspects.withColumnRenamed("node", "parent"), "parent", "left_semi").drop("parent")
             sides.append(side)
         both = sides[0].join(sides[1], "node", "full_outer")
-        differing = both.filter(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
+        differing = both.filter(~F.col("mark_a").eqNullSafe(F.col("mark_b")))
         if depth:
             # A tree that is lower than the other has no node here: all of this level is suspect.
             whole = depth >= min(len(a.levels), len(b.levels))
             suspects = materialise((both if whole else differing).select("node"))
             if suspects.isEmpty():
-                return _located(both.limit(0), a)
+                none = [tree.levels[0].limit(0).select("node", *[F.col(c).alias(f"{c}_{name}") for c in _LEAF]) for tree, name in ((a, "a"), (b, "b"))]
+                return _located(none[0].join(none[1], "node"))
         else:
-            return _located(differing, a)
+            return _located(differing)
     raise AssertionError("a tree has a level")
 
 
-def _located(differing: DataFrame, original: Tree) -> DataFrame:
-    status = F.when(F.col("hash_b").isNull(), "missing").when(F.col("hash_a").isNull(), "extra").otherwise("corrupt")
-    found = materialise(differing.select("node", status.alias("status")))
-    leaves = original.levels[0].withColumnRenamed("node", "key")
-    # Offsets only in the files that hold a differing record.
-    files = found.select(F.floor(F.col("node") / FILE_RECORDS).alias("file")).distinct()
-    placed = offsets(leaves.join(files, "file", "left_semi")).select(F.col("key").alias("node"), "file", "offset", "length")
-    return found.join(placed, "node", "left").select(F.col("node").alias("page_id"), "status", "file", "offset", "length")
+_LEAF = ("mark", "hash", "file", "offset", "length")
+
+
+def _located(differing: DataFrame) -> DataFrame:
+    same = F.col("hash_a") == F.col("hash_b")
+    status = F.when(F.col("mark_b").isNull(), "missing").when(F.col("mark_a").isNull(), "extra").when(same, "moved").otherwise("corrupt")
+    return differing.select(
+        F.col("node").alias("page_id"), status.alias("status"), F.col("file_a").alias("file"), F.col("offset_a").alias("offset"), F.col("length_a").alias("length"), F.col("offset_b").alias("found_offset")
+    )
