@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,6 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces that one task packs at a time.
 PART_PIECES = 40_000
-MAX_EXCHANGES = 4
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -140,7 +140,7 @@ def _pack_parts(open_pieces: DataFrame, parts: int, round_: int, capacity: int)
         bins, offsets, n = best_fit_decreasing(lengths, capacity)
         gap = n > lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
         fill = np.bincount(bins, lengths, minlength=n).astype(np.int64)
-        base = (round_ << 56) + (int(key[0]) << 28)
+        base = (round_ << 52) + (int(key[0]) << 28)
         return group.assign(sequence_id=base + bins, offset=offsets, gap=gap, filled=(fill == capacity)[bins])
 
     dealt = open_pieces.withColumn("part", F.pmod(F.xxhash64("row", F.lit(round_)), F.lit(parts)).cast("int"))
@@ -151,8 +151,11 @@ def _bins(placed: DataFrame) -> int:
     return placed.filter(F.col("offset") == 0).count()
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES, max_exchanges: int = MAX_EXCHANGES) -> DataFrame:
-    """Adds sequence_id and offset to pieces (a column ``length``, 1 to capacity, is needed)."""
+def pack(cut: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES, max_exchanges: int | None = None) -> DataFrame:
+    """Adds sequence_id and offset to pieces (a column ``length``, 1 to capacity, is needed).
+
+    Every exchange but the last saves a bin at least, so exchanges end without a limit; one may be set.
+    """
     columns = cut.columns
     # A row's number is only for dealing; it is fixed by the written table.
     cut = materialise(cut.withColumn("row", F.monotonically_increasing_id()))
@@ -162,8 +165,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECE
     done: list[DataFrame] = [full]
     current: DataFrame | None = None
     current_bins = 0
-    for round_ in range(1 + max_exchanges):
-        if not n:
+    for round_ in count():
+        if not n or (max_exchanges is not None and round_ > max_exchanges):
             break
         parts = -(-n // part_pieces)
         packed = materialise(_pack_parts(todo, parts, round_, capacity))

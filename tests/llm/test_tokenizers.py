@@ -235,3 +235,18 @@ def test_lower_bound_is_exact_for_large_items():
     counts = np.zeros(11, np.int64)
     counts[6], counts[5] = 4, 3
     assert packing.lower_bound(counts, 10) == 6 and packing.best_fit_decreasing(np.array([6] * 4 + [5] * 3), 10)[2] == 6
+
+
+def test_op6_exchange_on_documents(spark, sf_dir):
+    cut = queries.op6_packing(spark, sf_dir).select("doc_id", "piece", "length")
+    bound = packing.lower_bound(np.bincount([r.length for r in cut.collect()], minlength=1025), 1024)
+    placed = [packing.pack(cut, part_pieces=60, max_exchanges=most).collect() for most in (0, None)]
+    alone, exchanged = (len({r.sequence_id for r in rows}) for rows in placed)
+    assert bound <= exchanged <= alone
+    for rows in placed:
+        assert len(rows) == cut.count()
+        ends = {}
+        for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+            assert r.offset == ends.get(r.sequence_id, 0)
+            ends[r.sequence_id] = r.offset + r.length
+        assert max(ends.values()) <= 1024
