@@ -2,9 +2,9 @@
 
 Method: every rule compares one measured rate with a cutoff.  The labelled good
 documents of each stratum that pass the base rules are dealt to two holdouts by
-id hash.  One only shapes the path: its maxima, with some slack, and then its
+id hash, one to three.  The smaller only shapes the path: its maxima, with some slack, and then its
 upper quantiles are settings of all cutoffs at once, from the loosest to the
-strictest.  On the other, for each setting in that order, the exact
+strictest.  On the larger, for each setting in that order, the exact
 (Clopper-Pearson) upper bound on the probability that any rule rejects a good
 document must stay within the allowed risk.  So ``risk`` limits what ``kept``
 does as a whole, beyond the base rules, which are fixed.  The order does not
@@ -64,6 +64,8 @@ RULES = (
 #: False rejection of good documents allowed in each stratum, and the error probability of all of it.
 RISK = 0.02
 ERROR = 0.05
+#: One in so many labelled good documents shapes the path; the others certify it.
+SHAPING = 4
 #: The path of settings: multiples of the greatest rate of the first holdout, then the shares of it beyond the cutoff.
 SLACKS = (8.0, 4.0, 2.0, 1.5, 1.25, 1.1)
 TAILS = (0.0, 0.001, 0.002, 0.003, 0.005, 0.0075, 0.01, 0.015, 0.02, 0.03, 0.05, 0.1)
@@ -184,7 +186,8 @@ def select_cutoffs(shaping: DataFrame, holdout: DataFrame, rules: tuple[Rule, ..
     """
     steps = len(SLACKS) + len(TAILS)
     paths = settings(shaping, rules, stratum)
-    met = holdout.withColumnRenamed(stratum, "__stratum").join(paths, F.col("__stratum").eqNullSafe(F.col("stratum")))
+    paths = materialise(paths)
+    met = holdout.withColumnRenamed(stratum, "__stratum").join(small(paths), F.col("__stratum").eqNullSafe(F.col("stratum")))
     # Settings only get stricter, so the first one that rejects a document tells all that do (0: none).
     broken = lambda i: F.array_max(F.array(*[F.col(f"rate_{r.name}") > F.get(f"path_{r.name}", i) for r in rules]))
     first = F.array_position(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), broken), True)
@@ -228,9 +231,11 @@ def holdouts(measured: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = R
     # A document counts once however often its label or its row is repeated.
     good = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select("doc_id")
     rates = measured.filter(~base_failed()).withColumns(rate_columns(rules))
-    rates = rates.join(good, "doc_id", "left_semi").select("doc_id", "lang", *rate_columns(rules)).dropDuplicates(["doc_id"])
-    side = F.pmod(F.xxhash64("doc_id"), F.lit(2))
-    return rates.filter(side == 0), rates.filter(side == 1)
+    rates = rates.join(good, "doc_id", "left_semi").select("doc_id", F.struct("lang", *rate_columns(rules)).alias("r"))
+    # Of several texts under one id the least in this order counts, in every run the same.
+    rates = rates.groupBy("doc_id").agg(F.min("r").alias("r")).select("doc_id", "r.*")
+    side = F.pmod(F.xxhash64("doc_id"), F.lit(SHAPING))
+    return rates.filter(side == 0), rates.filter(side != 0)
 
 
 def _cutoffs(measured: DataFrame, labels: DataFrame, rules: tuple[Rule, ...], risk: float, error: float) -> DataFrame:

@@ -76,7 +76,7 @@ def brute_kept(rows, labels, risk=quality.RISK, error=quality.ERROR):
 def test_op1_kept_is_the_certified_setting(documents, labels):
     marks = {r.doc_id: r.quality for r in labels.collect()}
     for risk in (0.3, 0.1, quality.RISK):
-        out = quality.judge(documents, labels, risk=risk).withColumn("side", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")).collect()
+        out = quality.judge(documents, labels, risk=risk).withColumn("side", (F.pmod(F.xxhash64("doc_id"), F.lit(quality.SHAPING)) != 0).cast("int")).collect()
         expected, steps = brute_kept(out, marks, risk)
         assert {r.doc_id: r.kept for r in out} == expected
         assert all(s < len(quality.SLACKS) + len(quality.TAILS) - 1 for s in steps.values())  # the bound stops the path
