@@ -12,6 +12,7 @@ import difflib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,8 +60,8 @@ def shared_bigrams(said: DataFrame, turns: DataFrame) -> DataFrame:
     return _shares(said, own, within.unionByName(across).distinct(), "bleu")
 
 
-#: Facts of a bucket of groups, about; facts of a block of either side of a large one; counted letter classes.
-BUCKET, BLOCK, CLASSES = 256, 2048, 64
+#: Facts of a bucket of groups, about; facts of a block of either side of a large one; counted letter classes; shared words that are counted at a time.
+BUCKET, BLOCK, CLASSES, MEETINGS = 256, 2048, 64, 1 << 20
 
 
 def subsequence(a: str, b: str) -> int:
@@ -75,23 +76,56 @@ def subsequence(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-def _ratio_blocks(similarity: float):
-    """A function of a block's rows that gives the facts with a known fact of the edit ratio."""
+def _by_words(own: np.ndarray, known: np.ndarray, group: np.ndarray, words: pa.ListArray, share: float) -> np.ndarray:
+    """Which of the rows ``own`` have at least ``share`` of their distinct words in one row of ``known`` of their group; one without words needs any row there."""
+    n = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    codes = words.flatten().dictionary_encode()
+    word, first, many = codes.indices.to_numpy().astype(np.int64), np.cumsum(n) - n, max(len(codes.dictionary), 1)
+    place = lambda rows: np.repeat(first[rows] - (np.cumsum(n[rows]) - n[rows]), n[rows]) + np.arange(n[rows].sum())  # noqa: E731  of the rows' words
+    held = np.repeat(group[known], n[known]) * many + word[place(known)]
+    order = np.argsort(held, kind="stable")
+    held, holder = held[order], np.repeat(np.arange(len(known)), n[known])[order]
+    asked = np.repeat(group[own], n[own]) * many + word[place(own)]
+    low, high = np.searchsorted(held, asked), np.searchsorted(held, asked, "right")
+    met = np.cumsum(np.concatenate([[0], high - low]))[np.cumsum(np.concatenate([[0], n[own]]))]  # words met by the rows before
+    found = (n[own] == 0) & np.isin(group[own], group[known])
+    at = 0
+    while at < len(own):
+        to = max(at + 1, int(np.searchsorted(met, met[at] + MEETINGS, "right")) - 1)
+        lo, hi = n[own][:at].sum(), n[own][:to].sum()
+        size = high[lo:hi] - low[lo:hi]
+        rows = holder[np.repeat(low[lo:hi] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        pair, common = np.unique(np.repeat(np.repeat(np.arange(at, to), n[own][at:to]), size) * max(len(known), 1) + rows, return_counts=True)
+        asks = pair // max(len(known), 1)
+        found[asks[common >= n[own][asks] * share]] = True
+        at = to
+    return found
+
+
+def _alike(similarity: float, share: float | None):
+    """A function of a block's rows that gives the facts that a known fact of their group holds by words or by edit ratio."""
 
     def compare(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
         asks = block.column("asks").to_numpy(zero_copy_only=False)
-        group, fact = block.column("group").to_pylist(), block.column("fact").to_pylist()
+        fact = block.column("fact").to_pylist()
         length = np.fromiter(map(len, fact), np.int64, len(fact))
         letters = np.frombuffer("".join(fact).encode("utf-32-le"), np.uint32).astype(np.int64) % CLASSES
         counts = np.bincount(np.repeat(np.arange(len(fact)), length) * CLASSES + letters, minlength=len(fact) * CLASSES).reshape(-1, CLASSES)
+        group = pc.rank(block.column("group"), tiebreaker="dense").to_numpy().astype(np.int64)
         own, known = np.nonzero(asks)[0], np.nonzero(~asks)[0]
-        codes = np.unique(np.array(list(map(str, group))), return_inverse=True)[1] if group else np.zeros(0, np.int64)
         out: list[int] = []
+        if share is not None and len(own):
+            held = _by_words(own, known, group, block.column("words").combine_chunks(), share)
+            out, own = own[held].tolist(), own[~held]
+        known = known[np.lexsort((length[known], group[known]))]
+        reach = int(length.max(initial=0)) + 1
+        key = group[known] * reach + length[known]
         for i in own:
-            same = known[codes[known] == codes[i]]
             # the matched characters are at most the shorter text's, and at most those that both have of each class
-            need = similarity * (length[i] + length[same]) / 2
-            same = same[(np.minimum(length[i], length[same]) >= need) & (np.minimum(counts[i], counts[same]).sum(axis=1) >= need)]
+            least, most = np.ceil(length[i] * similarity / (2 - similarity) - 1e-9), np.floor(length[i] * (2 - similarity) / similarity + 1e-9)
+            same = known[np.searchsorted(key, group[i] * reach + least) : np.searchsorted(key, group[i] * reach + min(most, reach - 1), "right")]
+            same = same[np.minimum(counts[i], counts[same]).sum(axis=1) >= similarity * (length[i] + length[same]) / 2]
             for j in same:
                 total = len(fact[i]) + len(fact[j])
                 if 2 * subsequence(fact[i], fact[j]) >= similarity * total and difflib.SequenceMatcher(None, fact[i], fact[j]).ratio() >= similarity:
@@ -102,11 +136,13 @@ def _ratio_blocks(similarity: float):
     return compare
 
 
-def similar_facts(own: DataFrame, known: DataFrame, similarity: float = 0.6) -> DataFrame:
-    """group, fact of ``own`` (distinct) with a fact of edit ratio ``similarity`` among the group's ``known`` ones (distinct).
+def similar_facts(own: DataFrame, known: DataFrame, similarity: float = 0.6, share: float | None = None) -> DataFrame:
+    """group, fact of ``own`` (distinct) with a fact of edit ratio ``similarity`` among the group's ``known`` ones (distinct) or,
+    if ``share`` is given, with one that holds that share of its distinct words.
 
     Groups are dealt to buckets of about BUCKET facts, and a larger bucket's sides to blocks that meet in pairs, so
-    neither many small groups nor a large one make a task large.  Within a block, lengths, counts of letters and
+    neither many small groups nor a large one make a task large.  Words are counted where the facts meet, so a fact travels once
+    for each block of the other side and not once for each of its words.  Within a block, lengths, counts of letters and
     the longest common subsequence bound the ratio from above; it is computed for what is left.
     """
     kind = dict(own.dtypes)["group"]
@@ -116,30 +152,13 @@ def similar_facts(own: DataFrame, known: DataFrame, similarity: float = 0.6) ->
     own, known = deal(own), deal(known)
     blocks = lambda df, name: df.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
     sizes = materialise(blocks(own, "no").join(blocks(known, "nk"), "bucket"))
-    place = lambda n: F.pmod(F.xxhash64("fact"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    a = own.join(sizes, "bucket").withColumn("bo", place("no")).select("bucket", "bo", every("nk").alias("bk"), F.lit(True).alias("asks"), "group", "fact")
-    b = known.join(sizes, "bucket").withColumn("bk", place("nk")).select("bucket", every("no").alias("bo"), "bk", F.lit(False).alias("asks"), "group", "fact")
-    return a.unionByName(b).groupBy("bucket", "bo", "bk").applyInArrow(_ratio_blocks(similarity), f"group {kind}, fact string").distinct()
-
-
-def similar_words(own: DataFrame, known: DataFrame, share: float = 0.6) -> DataFrame:
-    """group, fact of ``own`` of whose distinct words one known fact of the group holds ``share`` or more; a fact without words needs any known fact.
-
-    That many shared words include one of the rarest n - ceil(share n) + 1, so facts meet on those alone.
-    """
-    words = F.array_distinct(X.tokens(F.col("fact")))
-    o, k = own.withColumn("w", words), known.withColumn("kw", words).select("group", "kw")
-    held = k.select("group", F.explode("kw").alias("word"))
-    often = held.groupBy("word").agg(F.count("*").alias("df"))
-    ranked = o.select("group", "fact", "w", F.explode("w").alias("word")).join(often, "word", "left")
-    place = F.row_number().over(Window.partitionBy("group", "fact").orderBy(F.coalesce("df", F.lit(0)), "word"))
-    n = F.size("w")
-    rare = ranked.withColumn("place", place).filter(F.col("place") <= n - F.ceil(n * share - 1e-9) + 1)
-    met = rare.join(k.select("group", "kw", F.explode("kw").alias("word")), ["group", "word"])
-    enough = F.size(F.array_intersect("w", "kw")) >= n * F.lit(share)
-    wordless = o.filter(n == 0).join(known.select("group").distinct(), "group", "left_semi")
-    return met.filter(enough).select("group", "fact").unionByName(wordless.select("group", "fact")).distinct()
+    large = F.broadcast(sizes.filter("no > 1 OR nk > 1"))  # of which there are at most a BLOCK-th of the facts
+    place = lambda n: F.pmod(F.xxhash64("fact"), F.coalesce(F.col(n), F.lit(1))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
+    words = (F.array().cast("array<string>") if share is None else F.array_distinct(X.tokens(F.col("fact")))).alias("words")
+    a = own.join(large, "bucket", "left").withColumn("bo", place("no")).select("bucket", "bo", every("nk").alias("bk"), F.lit(True).alias("asks"), "group", "fact", words)
+    b = known.join(large, "bucket", "left").withColumn("bk", place("nk")).select("bucket", every("no").alias("bo"), "bk", F.lit(False).alias("asks"), "group", "fact", words)
+    return a.unionByName(b).groupBy("bucket", "bo", "bk").applyInArrow(_alike(similarity, share), f"group {kind}, fact string").distinct()
 
 
 def facts_of(rows: DataFrame, text: str, keys: tuple[str, ...], patterns: tuple[str, ...], indicators: str, delimiters: str) -> DataFrame:
@@ -159,9 +178,7 @@ def support(said: DataFrame, turns: DataFrame, patterns: tuple[str, ...] = L.FAC
     if fuzzy:
         backed = materialise(backed)
         left = materialise(own.select("group", "fact").distinct().join(backed, ["group", "fact"], "left_anti"))
-        by_words = materialise(similar_words(left, known))
-        left = left.join(by_words, ["group", "fact"], "left_anti")
-        backed = backed.unionByName(by_words).unionByName(similar_facts(left, known))
+        backed = backed.unionByName(similar_facts(left, known, share=0.6))
     met = own.join(backed.withColumn("found", F.lit(1)), ["group", "fact"], "left")
     counted = met.groupBy("answer_id").agg(F.count("*").alias("n_facts"), F.count("found").alias("n_supported"), F.max(F.col("fact").rlike(L.DATE_PATTERN)).alias("dated"))
     return said.select("answer_id").join(counted, "answer_id", "left").na.fill(0, ["n_facts", "n_supported"]).na.fill(False, ["dated"])
