@@ -28,11 +28,17 @@ def changed_files(stored: DataFrame, files: DataFrame) -> DataFrame:
     return files.join(seen, "path", "left_semi")
 
 
+#: Rows of an index that a task sorts, about.
+ROWS = 1 << 20
+
+
 def upsert_index(index: DataFrame, stored: DataFrame, files: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """An index (path, ...) brought up to date: rows of unchanged files stay as they are, those of changed and missing
-    files go, and only new and changed files pass through ``build``.  With an empty index this is a rebuild."""
+    files go, and only new and changed files pass through ``build``.  With an empty index this is a rebuild.  A task gets some ROWS rows of the index, however
+    many there are: dealt by their compressed size, as Spark does by itself, they are many times as large in memory."""
     same = fingerprints(files).join(stored, ["path", "hash", "size"], "left_semi").select("path")
-    return index.join(same, "path", "left_semi").unionByName(build(changed_files(stored, files)))
+    parts = max(1, -(-index.count() // ROWS))
+    return index.repartition(parts, "path").join(same.repartition(parts, "path"), "path", "left_semi").unionByName(build(changed_files(stored, files)))
 
 
 def new_chunks(old: DataFrame, new: DataFrame) -> DataFrame:

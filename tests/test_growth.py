@@ -1,11 +1,13 @@
 """What a step ships and holds grows with its input alone."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 from test_grounding import DELIMITERS, INDICATORS, PATTERNS, brute, support
 
-from marlstone.operators import grounding
+from marlstone.operators import grounding, incremental, phrases
+from marlstone.plans import retrieval
 
 
 def shuffled(spark):
@@ -35,3 +37,14 @@ def test_words_are_counted_in_parts(spark, monkeypatch):
     assert support(spark, said, turns) == brute(said, turns)
     own, known = (spark.createDataFrame(rows, "group long, fact string") for rows in ([(1, "!!!!"), (2, "!!!!")], [(1, "wholly different")]))
     assert [tuple(r) for r in grounding.similar_facts(own, known, share=0.6).collect()] == [(1, "!!!!")]
+
+
+def test_an_upsert_deals_the_index_by_rows(spark, monkeypatch):
+    rows = [(f"f{i}", f"t{j}") for i in range(40) for j in range(25)]
+    index = spark.createDataFrame(rows, "path string, term string")
+    files = spark.createDataFrame([(f"f{i}", "old" if i % 4 else "new") for i in range(40)], "path string, text string")
+    stored = incremental.fingerprints(spark.createDataFrame([(f"f{i}", "old") for i in range(40)], "path string, text string"))
+    monkeypatch.setattr(incremental, "ROWS", 100)
+    out = incremental.upsert_index(index, stored, files, lambda changed: changed.select("path", F.lit("x").alias("term")))
+    assert sorted(tuple(r) for r in out.collect()) == sorted([r for r in rows if int(r[0][1:]) % 4] + [(f"f{i}", "x") for i in range(0, 40, 4)])
+    assert re.search(r"hashpartitioning\(path#\d+, 10\), REPARTITION_BY_NUM", out._jdf.queryExecution().toString())
