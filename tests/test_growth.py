@@ -48,3 +48,8 @@ def test_an_upsert_deals_the_index_by_rows(spark, monkeypatch):
     out = incremental.upsert_index(index, stored, files, lambda changed: changed.select("path", F.lit("x").alias("term")))
     assert sorted(tuple(r) for r in out.collect()) == sorted([r for r in rows if int(r[0][1:]) % 4] + [(f"f{i}", "x") for i in range(0, 40, 4)])
     assert re.search(r"hashpartitioning\(path#\d+, 10\), REPARTITION_BY_NUM", out._jdf.queryExecution().toString())
+
+
+def test_fixed_phrases_are_counted_without_a_posting_for_each_word(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(phrases, "save", None)
+    assert retrieval.exact_phrase(spark, sf_dir).count() and retrieval.forced_recall(spark, sf_dir).count() is not None
