@@ -6,7 +6,8 @@ import re
 from pyspark.sql import functions as F
 from test_grounding import DELIMITERS, INDICATORS, PATTERNS, brute, support
 
-from marlstone.operators import grounding, incremental, phrases
+from marlstone.functions import text as X
+from marlstone.operators import grounding, incremental, lexical, phrases
 from marlstone.plans import retrieval
 
 
@@ -53,3 +54,59 @@ def test_an_upsert_deals_the_index_by_rows(spark, monkeypatch):
 def test_fixed_phrases_are_counted_without_a_posting_for_each_word(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(phrases, "save", None)
     assert retrieval.exact_phrase(spark, sf_dir).count() and retrieval.forced_recall(spark, sf_dir).count() is not None
+
+
+def text():
+    return X.tokens(F.col("text"))
+
+
+def question():
+    return X.tokens(F.col("question"))
+
+
+def made_corpus(spark, n=400):
+    made = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    texts = [(i, f"k{i % 3}" if i % 7 else None, " ".join(made.choices(words, [1 / (j + 1) for j in range(60)], k=made.randint(0, 40))) or None) for i in range(n)]
+    asked = [(i, " ".join(made.sample(words, 6))) for i in range(30)]
+    return spark.createDataFrame(texts, "chunk_id long, kind string, text string").repartition(3), spark.createDataFrame(asked, "query_id long, question string")
+
+
+def same(got, want):
+    columns = ["query_id", "chunk_id", "score", "rank"]
+    got, want = (sorted(tuple(r) for r in x.select(*columns).collect()) for x in (got, want))
+    assert got == want and got
+
+
+def test_terms_set_aside_lose_no_text(spark, monkeypatch):
+    docs, asked = made_corpus(spark)
+    want = lexical.top_k(lexical.bm25_scores(docs, asked, text(), question()), 4)
+    monkeypatch.setattr(lexical, "CELLS", 300)
+    for share in (0.0, 0.7, 1.0):
+        monkeypatch.setattr(lexical, "ASIDE", share)
+        same(lexical.bm25_top_k(docs, asked, text(), question(), 4), want)
+
+
+def test_best_texts_of_a_question_s_kinds(spark, monkeypatch):
+    docs, asked = made_corpus(spark)
+    kinds = spark.createDataFrame([(i, f"k{i % 3}") for i in range(25)] + [(1, "k2"), (2, None)], "query_id long, kind string")
+    allowed = docs.select("chunk_id", "kind").join(kinds, "kind").select("query_id", "chunk_id")
+    for scores, top in (
+        (lexical.bm25_scores, lambda: lexical.bm25_top_k(docs, asked, text(), question(), 4, kinds=(F.col("kind"), kinds))),
+        (lexical.keyword_frequency_scores, lambda: lexical.shared_top_k(docs, asked, text(), question(), "keyword", 4, (F.col("kind"), kinds))),
+    ):
+        want = lexical.top_k(scores(docs, asked, text(), question()).join(allowed, ["query_id", "chunk_id"], "left_semi"), 4)
+        same(top(), want)
+        with monkeypatch.context() as m:
+            m.setattr(lexical, "MOST_BLOCKS", 0)
+            same(top(), want)
+
+
+def test_counts_of_shared_terms_ship_no_row_for_each_pair(spark):
+    docs, asked = made_corpus(spark, 3000)
+    for count, scores in (("frequency", lexical.term_frequency_scores), ("overlap", lexical.overlap_scores), ("keyword", lexical.keyword_frequency_scores)):
+        want = lexical.top_k(scores(docs, asked, text(), question()), 4)
+        before = shuffled(spark)
+        got = lexical.shared_top_k(docs.coalesce(3), asked, text(), question(), count, 4).localCheckpoint()
+        assert shuffled(spark) - before < 500_000
+        same(got, want)
