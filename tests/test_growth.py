@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 from test_grounding import DELIMITERS, INDICATORS, PATTERNS, brute, support
 
@@ -110,3 +111,28 @@ def test_counts_of_shared_terms_ship_no_row_for_each_pair(spark):
         got = lexical.shared_top_k(docs.coalesce(3), asked, text(), question(), count, 4).localCheckpoint()
         assert shuffled(spark) - before < 500_000
         same(got, want)
+
+
+def test_equal_questions_are_scored_once(spark, monkeypatch):
+    docs, asked = made_corpus(spark)
+    again = asked.unionByName(asked.select((F.col("query_id") + 100).alias("query_id"), F.array_join(F.shuffle(F.split("question", " ")), " ").alias("question")))
+    want = lexical.top_k(lexical.bm25_scores(docs, again, text(), question()), 4)
+    shipped, whole = [], lexical._best_of
+    monkeypatch.setattr(lexical, "_best_of", lambda texts, asked, *rest: shipped.append(asked.select("query_id").distinct().count()) or whole(texts, asked, *rest))
+    same(lexical.bm25_top_k(docs, again, text(), question(), 4), want)
+    assert shipped == [30]
+
+
+@pytest.mark.parametrize("limits", [{"TILE": 7, "HEAD": 2}, {"TILE": 1, "HEAD": 0}, {"CELLS": 10, "ENTRIES": 5, "TEXTS": 11}])
+@pytest.mark.parametrize("weight", ["1 + pmod(hash(term), 7) / 4D", "pmod(hash(term), 5) - 2D"])
+def test_tiles_lose_no_text(spark, monkeypatch, limits, weight):
+    """Weights of nothing and below count, too: then a shared term alone makes a hit."""
+    docs, asked = made_corpus(spark)
+    terms = lexical.question_terms(asked, question()).select("query_id", "term", F.expr(weight).alias("weight"))
+    found = lambda: lexical.best_texts(docs, terms, text(), 4, lambda tf, dl: tf / (tf + dl), F.expr("weight * (tf / (tf + dl))"))
+    with monkeypatch.context() as m:
+        m.setattr(lexical, "MOST_BLOCKS", 0)
+        want = found().localCheckpoint()
+    for name, value in limits.items():
+        monkeypatch.setattr(lexical, name, value)
+    same(found(), want)
