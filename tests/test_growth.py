@@ -2,13 +2,16 @@
 
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_grounding import DELIMITERS, INDICATORS, PATTERNS, brute, support
 
 from marlstone.functions import text as X
-from marlstone.operators import grounding, incremental, lexical, phrases
+from marlstone.operators import grounding, incremental, lexical, phrases, vector
 from marlstone.plans import retrieval
 
 
@@ -136,3 +139,39 @@ def test_tiles_lose_no_text(spark, monkeypatch, limits, weight):
     for name, value in limits.items():
         monkeypatch.setattr(lexical, name, value)
     same(found(), want)
+
+
+class Frame:
+    """A table in this process that takes the place of a DataFrame."""
+
+    def __init__(self, table):
+        self.table, self.sparkSession, self.sparkContext = table, self, self
+
+    def toArrow(self):
+        return self.table
+
+    def broadcast(self, value):
+        return type("Shipped", (), {"value": value})
+
+    def mapInArrow(self, step, schema):
+        return pa.Table.from_batches(list(step(iter(self.table.to_batches(1000)))))
+
+
+def vectors(name, x):
+    return Frame(pa.table({name: pa.array(range(len(x)), pa.int64()), "embedding": pa.array(x.tolist(), pa.list_(pa.float64()))}))
+
+
+def test_nearest_vectors_hold_no_table_of_all_questions():
+    made = np.random.default_rng(4)
+    x, y = made.standard_normal((4000, 8)), made.standard_normal((3000, 8))
+    y[5], y[6:40], y[50, 2], x[3, 1] = x[7], y[5], np.nan, np.nan
+    asked, known = vectors("query_id", x), vectors("chunk_id", y)
+    tracemalloc.start()
+    got = vector._nearest_of(asked, known, 3).to_pandas().sort_values(["query_id", "distance", "chunk_id"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    distance = vector._squares(x, y)
+    order = np.lexsort((np.broadcast_to(np.arange(3000), distance.shape), distance))[:, :3]
+    assert (got["chunk_id"].to_numpy().reshape(-1, 3) == order).all() and len(got) == 12000
+    assert np.array_equal(got["distance"].to_numpy().reshape(-1, 3), np.take_along_axis(distance, order, 1), equal_nan=True)
