@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from test_grounding import DELIMITERS, INDICATORS, PATTERNS, brute, support
 
 from marlstone.functions import text as X
-from marlstone.operators import grounding, incremental, lexical, phrases, vector
+from marlstone.operators import grounding, incremental, lexical, phrases, pruned, vector
 from marlstone.plans import retrieval
 
 
@@ -175,3 +175,54 @@ def test_nearest_vectors_hold_no_table_of_all_questions():
     order = np.lexsort((np.broadcast_to(np.arange(3000), distance.shape), distance))[:, :3]
     assert (got["chunk_id"].to_numpy().reshape(-1, 3) == order).all() and len(got) == 12000
     assert np.array_equal(got["distance"].to_numpy().reshape(-1, 3), np.take_along_axis(distance, order, 1), equal_nan=True)
+
+
+def asked_of_an_index(spark, docs, per_block, path):
+    """Of a saved index: its answers, those of plain BM25, and the bytes shuffled for its own."""
+    words = lambda column: F.split(column, " ")
+    asked = spark.createDataFrame([(i, f"w{i} w{i + 1} w{i + 1} w0 w{3 * i}") for i in range(20)] + [(90, "none"), (91, None)], "query_id long, question string")
+    plain = lexical.top_k(lexical.bm25_scores(docs.filter("chunk_id IS NOT NULL"), asked, words("text"), words("question")), 5)
+    before = shuffled(spark)
+    index = pruned.save(docs, words("text"), path, per_block=per_block)
+    got = sorted(tuple(r) for r in pruned.top_k(index, asked, words("question"), 5).select("query_id", "chunk_id", "score", "rank").collect())
+    return got, shuffled(spark) - before, plain
+
+
+def texts_of_words(n):
+    made = random.Random(7)
+    return [(i, " ".join(f"w{min(int(made.expovariate(0.05)), 99)}" for _ in range(made.randint(1, 60)))) for i in range(n)]
+
+
+def test_a_saved_index_shuffles_terms_and_not_postings(spark, tmp_path):
+    sizes = []
+    for n in (1000, 8000):
+        docs = spark.createDataFrame(texts_of_words(n), "chunk_id long, text string").coalesce(2)
+        got, bytes_, plain = asked_of_an_index(spark, docs, 16, str(tmp_path / f"i{n}"))
+        assert got == sorted(tuple(r) for r in plain.select("query_id", "chunk_id", "score", "rank").collect()) and len(got) == 100
+        sizes.append(bytes_)
+    assert sizes[1] < 2 * sizes[0]
+
+
+def test_a_saved_index_in_small_parts(spark, tmp_path, monkeypatch):
+    rows = texts_of_words(300) + [(300, None), (301, "w1"), (302, "w1")]
+    docs = spark.createDataFrame(rows, "chunk_id long, text string").coalesce(3).cache()
+    want, _, plain = asked_of_an_index(spark, docs, 16, str(tmp_path / "whole"))
+    assert want == sorted(tuple(r) for r in plain.select("query_id", "chunk_id", "score", "rank").collect())
+    for name, value in {"TOKENS": 50, "TILE": 3, "CELLS": 40, "ENTRIES": 30}.items():
+        monkeypatch.setattr(pruned, name, value)
+    assert asked_of_an_index(spark, docs, 3, str(tmp_path / "small"))[0] == want
+    monkeypatch.setattr(lexical, "MOST_TERMS", 2)
+    assert asked_of_an_index(spark, docs, 7, str(tmp_path / "parts"))[0] == want
+    monkeypatch.setattr(lexical, "MOST_BLOCKS", 1)
+    assert asked_of_an_index(spark, docs, 7, str(tmp_path / "joined"))[0] == want
+    named = docs.withColumn("chunk_id", F.format_string("%04d", "chunk_id"))
+    assert [(q, int(c), s, r) for q, c, s, r in asked_of_an_index(spark, named, 7, str(tmp_path / "named"))[0]] == want
+
+
+def test_a_text_without_an_id_counts_and_is_no_hit(spark, tmp_path):
+    rows = texts_of_words(200)
+    docs = spark.createDataFrame([(None if i % 10 == 0 else i, t) for i, t in rows], "chunk_id long, text string")
+    whole = spark.createDataFrame(rows, "chunk_id long, text string")
+    got, _, _ = asked_of_an_index(spark, docs, 16, str(tmp_path / "index"))
+    scores = lexical.bm25_scores(whole, spark.createDataFrame([(i, f"w{i} w{i + 1} w{i + 1} w0 w{3 * i}") for i in range(20)], "query_id long, question string"), F.split("text", " "), F.split("question", " "))
+    assert got == sorted(tuple(r) for r in lexical.top_k(scores.filter("chunk_id % 10 <> 0"), 5).select("query_id", "chunk_id", "score", "rank").collect())
